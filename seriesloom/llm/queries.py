@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import bpe, lm, media, near, packing, quality, substrings, suffixes, token_counts
+from seriesloom.llm import bpe, html_pages, lm, media, near, packing, quality, substrings, suffixes, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_pages.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(_table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_scores, op2_token_counts, op3_quality_rules, op4_minhash_near_dedup, op6_substring_dedup, op7_bpe, op8_suffix_dedup, op9_media_columns, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ppm_scores, op2_token_counts, op3_quality_rules, op4_minhash_near_dedup, op5_html_extraction, op6_substring_dedup, op7_bpe, op8_suffix_dedup, op9_media_columns, op10_packing)}
 ORACLES: dict[str, str] = {}
