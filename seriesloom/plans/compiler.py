@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.parser import Expr, ParseError, parse
-from seriesloom.plans.frame import COLUMNS, SCHEMA, SeriesList, points, reordered
+from seriesloom.plans.frame import COLUMNS, SCHEMA, SeriesList, points, positions
 from seriesloom.plans.registry import FUNCTIONS
 from seriesloom.sources.store import Store
 
@@ -56,7 +56,7 @@ class Context:
 
 
 #: Lists that are put one after another have places this far apart.
-FAR = 1 << 40
+FAR = 1 << 48
 
 
 def concatenated(lists: list[SeriesList]) -> SeriesList:
@@ -73,7 +73,7 @@ class Engine:
         self.store = store
 
     def evaluate(self, target: str | list[str], start: int, stop: int) -> DataFrame:
-        """The series of one target or of several, one after the other, with places from 0."""
+        """The series of one target or of several, one after the other"""
         if start >= stop:
             raise ParseError("the range is empty")
         context = Context(self.store, start, stop)
@@ -82,7 +82,9 @@ class Engine:
         return found.df
 
     def render(self, target: str | list[str], start: int, stop: int) -> DataFrame:
-        return reordered(self.evaluate(target, start, stop), F.col("ord"), F.col("name"))
+        """As ``evaluate``, with places 0, 1, ..., in order."""
+        df = self.evaluate(target, start, stop)
+        return df.join(positions(df), "ord").drop("ord").withColumnRenamed("position", "ord").select(COLUMNS).orderBy("ord")
 
     def points(self, target: str | list[str], start: int, stop: int) -> DataFrame:
         """name, ts and v of every slot."""
