@@ -223,7 +223,7 @@ def pearson_closest(c: Context, e: Expr) -> SeriesList:
     s = c.series(e.args[1])
     one = c.series(e.args[0]).df.select(F.col("values").alias("r"))
     df = s.df.crossJoin(F.broadcast(one)).filter(F.size("r") == F.size("values"))
-    pairs = F.filter(F.arrays_zip(F.col("values").alias("x"), F.col("r").alias("y")), lambda p: p["values"].isNotNull() & p["r"].isNotNull())
+    pairs = F.filter(F.arrays_zip(F.col("values").alias("x"), F.col("r").alias("y")), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
     def score(p: Column) -> Column:
         k = F.size(p).cast("double")
@@ -231,10 +231,10 @@ def pearson_closest(c: Context, e: Expr) -> SeriesList:
         def of(m: Column) -> Column:
             mx, my = m["mx"], m["my"]
             add = lambda g: F.aggregate(p, F.lit(0.0), lambda a, z: a + g(z))
-            xy, xx, yy = add(lambda z: (z["values"] - mx) * (z["r"] - my)), add(lambda z: (z["values"] - mx) * (z["values"] - mx)), add(lambda z: (z["r"] - my) * (z["r"] - my))
+            xy, xx, yy = add(lambda z: (z["x"] - mx) * (z["y"] - my)), add(lambda z: (z["x"] - mx) * (z["x"] - mx)), add(lambda z: (z["y"] - my) * (z["y"] - my))
             return F.try_divide(xy, F.sqrt(xx * yy))
 
-        means = F.struct(F.try_divide(F.aggregate(p, F.lit(0.0), lambda a, z: a + z["values"]), k).alias("mx"), F.try_divide(F.aggregate(p, F.lit(0.0), lambda a, z: a + z["r"]), k).alias("my"))
+        means = F.struct(F.try_divide(F.aggregate(p, F.lit(0.0), lambda a, z: a + z["x"]), k).alias("mx"), F.try_divide(F.aggregate(p, F.lit(0.0), lambda a, z: a + z["y"]), k).alias("my"))
         return frame.let(means, of)
 
     scored = df.withColumn("_score", frame.let(pairs, score)).filter(F.col("_score").isNotNull())

@@ -197,7 +197,7 @@ def hitcount(c: Context, e: Expr) -> SeriesList:
         held = F.exists(w, lambda v: v.isNotNull())
         return F.when(held, frame.total(w) * step).when(b == 0, 0.0)
 
-    df = _grid(s).withColumns({"values": bucket_values(F.col("values"), F.col("start"), F.col("step"), grid, F.col("g_stop"), size, sum_), "name": wrapped("hitcount", tail), "start": grid, "stop": F.col("g_stop"), "step": F.lit(size).cast("long")})
+    df = frame.put(_grid(s), {"values": bucket_values(F.col("values"), F.col("start"), F.col("step"), grid, F.col("g_stop"), size, sum_), "name": wrapped("hitcount", tail), "start": grid, "stop": F.col("g_stop"), "step": F.lit(size).cast("long")})
     return s.having(df, frozenset({size}))
 
 
@@ -225,5 +225,5 @@ def summarize(c: Context, e: Expr) -> SeriesList:
     values = bucket_values(F.col("values"), F.col("start"), F.col("step"), start, stop, size, lambda w, b, any_: F.when(F.exists(w, lambda v: v.isNotNull()), figure(w)))
     coarse = F.col("step") > size
     keep = lambda new, old: F.when(coarse, F.col(old)).otherwise(new)
-    df = _grid(s).withColumns({"values": keep(values, "values"), "name": wrapped("summarize", tail), "start": keep(start, "start"), "stop": keep(stop, "stop"), "step": keep(F.lit(size).cast("long"), "step")})
+    df = frame.put(_grid(s), {"values": keep(values, "values"), "name": wrapped("summarize", tail), "start": keep(start, "start"), "stop": keep(stop, "stop"), "step": keep(F.lit(size).cast("long"), "step")})
     return s.having(df, frozenset(max(x, size) for x in s.steps))

@@ -32,7 +32,7 @@ class SeriesList:
         return replace(self, df=df.select(COLUMNS), steps=self.steps if steps is None else steps)
 
     def with_(self, **columns: Column) -> SeriesList:
-        return self.having(self.df.withColumns(columns))
+        return self.having(put(self.df, columns))
 
     def named(self, name: Column) -> SeriesList:
         return self.with_(name=name)
@@ -45,6 +45,13 @@ class SeriesList:
         return self.having(self.df.filter(condition))
 
 
+def put(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The columns set, values first: a lambda over values would else see the new start or step."""
+    first = {k: c for k, c in columns.items() if k == "values"}
+    rest = {k: c for k, c in columns.items() if k != "values"}
+    return (df.withColumns(first) if first else df).withColumns(rest)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -107,7 +114,7 @@ def chunked(values: Column, k: Column) -> Column:
 def consolidated(s: SeriesList, k: Column, step: Column) -> SeriesList:
     """Each k values as one, by index from the series' start; ``stop`` stays."""
     values = F.when(k > 1, F.transform(chunked(F.col("values"), k), lambda w: aggregated(w, F.col("agg")))).otherwise(F.col("values"))
-    return s.having(s.df.withColumns({"values": values, "step": step}))
+    return s.having(put(s.df, {"values": values, "step": step}))
 
 
 def normalized(s: SeriesList) -> SeriesList:
@@ -117,7 +124,7 @@ def normalized(s: SeriesList) -> SeriesList:
     step = lcm(*s.steps)
     out = consolidated(s, F.lit(step) / F.col("step"), F.lit(step).cast("long"))
     size = F.floor((F.col("stop") - F.col("start")) / F.lit(step)).cast("int")
-    return out.having(out.df.withColumns({"values": F.slice("values", 1, F.least(size, F.size("values"))), "stop": F.col("stop") - (F.col("stop") - F.col("start")) % step}), frozenset({step}))
+    return out.having(put(out.df, {"values": F.slice("values", 1, F.least(size, F.size("values"))), "stop": F.col("stop") - (F.col("stop") - F.col("start")) % step}), frozenset({step}))
 
 
 def points(df: DataFrame, *keep: str) -> DataFrame:

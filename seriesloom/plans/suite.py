@@ -229,8 +229,8 @@ def _filters() -> None:
     kept("averageBelow", ",60", "avg(v) <= 60")
     kept("currentAbove", ",50", f"{current} >= 50")
     kept("currentBelow", ",50", f"{current} <= 50")
-    kept("maximumAbove", ",250", "max(v) > 250")
-    kept("maximumBelow", ",250", "max(v) <= 250")
+    kept("maximumAbove", ",380", "max(v) > 380")
+    kept("maximumBelow", ",380", "max(v) <= 380")
     kept("minimumAbove", ",0.3", "min(v) > 0.3")
     kept("minimumBelow", ",0.3", "min(v) <= 0.3")
     kept("filterSeries", ",'max','>=',250", "max(v) >= 250")
@@ -256,8 +256,8 @@ def _sorts() -> None:
     sorted_("sortByTotal", "", "t DESC")
     sorted_("sortByName", "", "name")
     pool = ", q AS (SELECT list_sort(list(v)) AS l, count(*) AS n FROM s WHERE v IS NOT NULL), e AS (SELECT l[CAST(floor(0.25 * n) AS INTEGER) + 1] AS q1, l[CAST(floor(0.75 * n) AS INTEGER) + 1] AS q3 FROM q)"
-    for key, test in (("tukeyAbove", "v >= q3 + 1.5 * (q3 - q1)"), ("tukeyBelow", "v <= q1 - 0.5 * (q3 - q1)")):
-        basis = 1.5 if key == "tukeyAbove" else 0.5
+    for key, test in (("tukeyAbove", "v >= q3 + 1.5 * (q3 - q1)"), ("tukeyBelow", "v <= q1 - 0.125 * (q3 - q1)")):
+        basis = 1.5 if key == "tukeyAbove" else 0.125
         places(key, f"{key}({ALL},{basis},5)", over(f"SELECT row_number() OVER (ORDER BY k DESC, ord) - 1 AS place, name FROM (SELECT ord, name, count(*) AS k FROM s, e WHERE {test} GROUP BY ord, name) QUALIFY place < 5", "", pool))
 
 
