@@ -132,8 +132,6 @@ def _aggregates() -> None:
         f = f"{kind}SeriesWithWildcards"
         body = f"SELECT '{f}(' || {key} || ')' AS name, ts, {value} AS v FROM s GROUP BY 1, 2"
         if kind == "multiply":
-            body = f"SELECT name, ts, round(ln(nullif(abs(v), 0)), 6) AS v FROM ({body})"
-            points(f, f"logarithm({f}({ALL},1),2)", None)
             points(f, f"{f}(scale({VIEW},0.01),2)", shown(f"SELECT '{f}(scale(events.view.value,0.01))' AS name, ts, product(v * 0.01) AS v FROM s GROUP BY ts", "view"))
         else:
             points(f, f"{f}({ALL},1)", shown(body, ""))

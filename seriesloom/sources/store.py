@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.plans.frame import COLUMNS, SCHEMA, SeriesList
+from seriesloom.plans.frame import COLUMNS, SCHEMA, SeriesList, reordered
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ class Store:
                 df = found[0]
                 for more in found[1:]:
                     df = df.unionByName(more)
-                ranked = df.withColumn("ord", F.row_number().over(Window.orderBy(*ordering(F.col("name"), glob))).cast("long") - 1) if is_glob(glob) else df.withColumn("ord", F.lit(0).cast("long"))
+                ranked = reordered(df, *ordering(F.col("name"), glob)) if is_glob(glob) else df.withColumn("ord", F.lit(0).cast("long"))
                 self._scans[key] = SeriesList(ranked.select(COLUMNS), frozenset(t.step for t in self.tables_for(glob)))
         return self._scans[key]
 
