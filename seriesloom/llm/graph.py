@@ -3,24 +3,83 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where this is unset, as in tests on one machine,
+    a temporary one."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder. The folder is that of ``spark.checkpoint.dir``;
-    only where this is unset, as in tests on one machine, a temporary one is made."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp()
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """The rows, written as a table to the shared folder and read again: what follows doesn't depend
+    on the executors that made them."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what was cut
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that ``cut`` wrote and nothing needs any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getName().startswith("cut-"):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of the filters that are broadcast: 16 MB whatever the data.
+BITS = 1 << 27
+
+
+def bloom(keys: DataFrame, column: str) -> Broadcast:
+    """A filter of fixed size over 64-bit keys. Only the words of its bitmap that are set reach the
+    driver. It never misses a key; what else it lets through is decided by a join that follows, so
+    a filter that fills up on very large data costs time and loses nothing."""
+    spark = keys.sparkSession
+    at = F.pmod(F.col(column), F.lit(BITS))
+    words = keys.select(at.alias("at")).filter("at is not null").groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) AS INT))) AS bits")).toArrow()
+    bitmap = np.zeros(BITS // 64, np.int64)
+    if words.num_rows:
+        bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return spark.sparkContext.broadcast(bitmap)
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (BITS - 1)
+    return (bitmap[at >> 6] >> (at & 63)) & 1 > 0
+
+
+def kept_by(filter_: Broadcast, inside: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps the rows whose first column, a 64-bit key, passes the filter (or doesn't)."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(filter_.value, batch.column(0).to_numpy()) == inside))
+
+    return keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,8 +98,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = cut(small.filter("a <> b").distinct())
         # At the end every node has one link, to the smallest of its component, and a step changes nothing.
-        if links.exceptAll(after).isEmpty() and after.exceptAll(links).isEmpty():
-            break
+        same = links.exceptAll(after).isEmpty() and after.exceptAll(links).isEmpty()
+        drop(links)
         links = after
+        if same:
+            break
     roots = links.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -11,15 +11,16 @@ of 85 % of the union or more are linked.
   K - OVERLAP + 1 values: an inverted list of a value holds only documents with the value there,
   and values that very many documents share hardly occur.
 * Lists generate pairs through pivots. The member whose retained values are the most common is
-  paired with the others; what is linked thereby falls into one component. Lists whose members are
-  in more than one component then take 4, 16, 64 ... further pivots, until each is in one component
-  or every member was a pivot. So a dense group costs a pair for each member, and no link between
-  components is missed.
+  paired with the others, which costs a pair for each member and mostly joins a dense group at once.
+* The members of all lists with the same pivot are a family; linked documents have a family in
+  common. Families that are still in several components are compared whole, in blocks of bounded
+  size, by the exact intersections of full sets as a matrix product. A block gives a spanning
+  forest of its links, never its pairs.
 * The estimate from the union's sketch drops pairs far below the threshold; the exact intersection
   of the full sets, made anew from the texts of the documents concerned, decides.
 
 Null text counts as empty: such documents are linked with nothing. Rows that repeat a doc_id keep a
-row each. Copies are never paired with each other.
+row each; a null doc_id is no component's id and such rows are kept. Copies are never paired.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm import text as T
-from seriesloom.llm.graph import components, cut
+from seriesloom.llm.anchors import NULL_ID
+from seriesloom.llm.graph import bloom, components, cut, kept_by
 
 SHINGLE = 5
 THRESHOLD = 85
@@ -88,7 +91,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 right = np.flatnonzero(digest == part.column(0).to_numpy())  # rows that repeat a doc_id may differ
                 yield T.batch_of(arrow, digest[right], _lists([sets[k] for k in right]).cast(arrow.field(1).type))
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id")
+    likely = kept_by(bloom(wanted, "doc_id"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string")).mapInArrow(likely, "doc_id long, text string").join(wanted, "doc_id")
     return rows.select("node", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
@@ -108,53 +112,102 @@ def inverted(classes: DataFrame) -> DataFrame:
     return front.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("common"), "node"))).drop("common")
 
 
+#: Shingles in a block of a family that is compared whole.
+BLOCK = 1 << 18
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The components (node, component) of classes (node, doc_id, n, sketch) that are linked."""
     lists = cut(inverted(classes))
-    spark = docs.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    label = spark.createDataFrame([], "node long, component long")
-    low, high = 0, 1
-    while True:
-        if low:
-            marked = lists.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = marked.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("place").alias("most")).filter((F.col("x") != F.col("y")) & (F.col("most") > low + 1)).select("value")
-            open_ = cut(marked.join(mixed, "value", "left_semi"))
-            if open_.isEmpty():
-                return label
-        else:
-            open_ = lists.withColumn("component", F.col("node"))
-        pivot = open_.filter((F.col("place") > low) & (F.col("place") <= high)).select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"))
-        other = open_.filter(F.col("place") > low).select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-        pairs = pivot.join(other, "value").filter((F.col("pb") > F.col("pa")) & (F.col("ca") != F.col("cb")) & _long_enough(F.col("na"), F.col("nb")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = cut(verified(docs, classes, pairs))
-        edges = cut(edges.union(found))
-        label = components(edges)
-        low, high = high, 4 * high + 1
-
-
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    sets = cut(_full_sets(docs, cut(classes.join(lists.select("node").distinct(), "node", "left_semi").select("doc_id", "node"))))
+    pivots = lists.filter("place = 1").select("value", F.col("node").alias("pivot"), F.col("n").alias("np"))
+    families = cut(lists.join(pivots, "value").select("pivot", "np", "node", "n").distinct())
+    pairs = families.filter((F.col("pivot") != F.col("node")) & _long_enough(F.col("np"), F.col("n"))).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    edges = cut(verified(classes, sets, pairs))
+    label = components(edges)
+    marked = families.select("pivot", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = marked.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).filter((F.col("x") != F.col("y")) & (F.col("k") > 2)).select("pivot")
+    found = cut(compared(marked.join(mixed, "pivot", "left_semi"), sets))
+    return components(edges.union(found))
+
+
+def verified(classes: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are linked: sketches first, then full sets."""
     side = classes.select("node", "n", "sketch")
     near = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
     share = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) / F.size(union)
-    near = cut(near.filter(share >= LEAST_ESTIMATE).select("a", "b", "na", "nb"))
-    nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    sets = cut(_full_sets(docs, classes.join(nodes, "node", "left_semi").select("doc_id", "node")))
+    near = near.filter(share >= LEAST_ESTIMATE).select("a", "b", "na", "nb")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", "na", "nb", common.alias("c")).filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * THRESHOLD).select("a", "b")
 
 
+def linked_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all linked pairs of sorted sets, by exact intersections."""
+    n = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    _, value, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[value] > 1
+    row, value = row[shared], value[shared]
+    _, column = np.unique(value, return_inverse=True)
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    wide = max(1, (1 << 24) // len(sets))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, [low, low + wide])
+        matrix = np.zeros((len(sets), min(wide, int(column[-1]) + 1 - low)), np.float32)
+        matrix[row[a:b], column[a:b] - low] = 1
+        common += matrix @ matrix.T
+    near = common.astype(np.float64) * 100 >= (n[:, None] + n[None, :] - common) * THRESHOLD
+    return np.nonzero(np.triu(near, 1))
+
+
+def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components in families (pivot, node, n, component), by blocks."""
+    from pyspark.sql import Window
+
+    before = F.sum("n").over(Window.partitionBy("pivot").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1))
+    placed = cut(members.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / BLOCK).cast("int")))
+    ends = placed.groupBy("pivot", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    met = ends.select("pivot", F.col("block").alias("i"), F.col("high").alias("h")).join(ends.select("pivot", F.col("block").alias("j"), F.col("low").alias("l")), "pivot")
+    met = met.filter((F.col("i") <= F.col("j")) & (F.col("h") * 100 >= F.col("l") * THRESHOLD)).select("pivot", "i", "j")
+    sides = met.select("pivot", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = placed.join(sides, ["pivot", "block"]).join(sets, "node").select("pivot", "i", "j", "node", "component", "set")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        component = group["component"].to_numpy()
+        if (component == component[0]).all():
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        a, b = linked_pairs([np.asarray(s, np.int64) for s in group["set"]])
+        root = {x: x for x in component.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        node = group["node"].to_numpy()
+        differ = component[a] != component[b]
+        for x, y in zip(a[differ].tolist(), b[differ].tolist(), strict=True):
+            p, q = top(int(component[x])), top(int(component[y]))
+            if p != q:
+                root[p] = q
+                out.append((node[x], node[y]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+
+    return rows.groupBy("pivot", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     rows = cut(sketches(docs))
-    classes = cut(rows.filter("n_shingles > 0").groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    classes = cut(rows.filter("n_shingles > 0").groupBy(F.col("digest").alias("node")).agg(F.coalesce(F.min("doc_id"), F.lit(NULL_ID)).alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     found = links(docs, classes)
     of = classes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    smallest = of.groupBy("component").agg(F.min(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).alias("component_id"))
     class_of = of.select(F.col("node").alias("digest"), "component").join(smallest, "component").select("digest", "component_id")
     out = rows.select("doc_id", "n_shingles", "digest").join(class_of, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
