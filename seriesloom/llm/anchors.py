@@ -18,7 +18,6 @@ repeat a doc_id count as places of one document and are each given their own res
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import text as T
-from seriesloom.llm.graph import cut
+from seriesloom.llm.graph import bloom, cut, kept_by, passes
 
 NULL_ID = -(1 << 63)
 _PLACE = T.U64((1 << 28) - 1)
@@ -53,7 +52,7 @@ class Shape:
 
 def _prefix(values: np.ndarray, seed: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Fingerprints of spans of 64-bit values, from prefix sums."""
-    up, down = T._powers(1 << max(20, len(values).bit_length()), seed)
+    up, down = T._powers(1 << len(values).bit_length(), seed)
     run = np.zeros(len(values) + 1, T.U64)
     np.cumsum(values * up[: len(values)], out=run[1:])
     return lambda a, b: T.mix((run[b] - run[a]) * down[a])
@@ -103,17 +102,27 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def repeated_segments(docs: DataFrame, read: Reader, shape: Shape) -> DataFrame:
     """anchor, content and doc of the segments whose anchor occurs more than once."""
+    one = pa.schema([("anchor", pa.int64())])
     arrow = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64())])
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offs in T.chunks(batch, "text"):
+                yield T.batch_of(one, T.signed(segments(*read(data, offs), shape).anchor))
+
+    counted = _plain(docs).select("text").mapInArrow(hashes, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    often = cut(counted.filter("n > 1").select("anchor"))
+    likely = bloom(often, "anchor")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in T.chunks(batch, "text"):
                 found = segments(*read(data, offs), shape)
-                yield T.batch_of(arrow, T.signed(found.anchor), T.signed(found.content), part.column(0).to_numpy()[found.row])
+                anchor = T.signed(found.anchor)
+                at = np.flatnonzero(passes(likely.value, anchor))
+                yield T.batch_of(arrow, anchor[at], T.signed(found.content)[at], part.column(0).to_numpy()[found.row[at]])
 
-    rows = _plain(docs).mapInArrow(run, "anchor long, content long, doc long")
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    return rows.join(often, "anchor")
+    return _plain(docs).mapInArrow(run, "anchor long, content long, doc long").join(often, "anchor")
 
 
 @dataclass
@@ -128,13 +137,39 @@ class Found:
 
 def search(docs: DataFrame, read: Reader, shape: Shape) -> Found:
     shared = cut(repeated_segments(docs, read, shape))
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what was cut
     classes = shared.groupBy("anchor", "content").agg(F.min("doc").alias("first"))
     several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
     later = shared.join(classes, ["anchor", "content"]).filter("doc > first").groupBy("doc").agg(F.collect_set("content").alias("later"))
     open_ = classes.join(several, "anchor").groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("anchor", "content", "classes")).alias("open"))
-    return Found(_plain(docs), later, open_)
+    return Found(_plain(docs), cut(later), cut(open_))
+
+
+def opened(found: Found) -> DataFrame:
+    """The texts that have open segments, with them. Others are filtered before the shuffle."""
+    return found.texts.mapInArrow(kept_by(bloom(found.open_, "doc")), "doc long, text string").join(found.open_, "doc")
+
+
+#: Makes the result's batches from batches of doc, text, later and single.
+Finish = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def finished(found: Found, single: DataFrame, finish: Finish, schema: str) -> DataFrame:
+    """``finish`` over doc, text, later and single (content, place) of all rows. Only texts that may
+    lose something are shuffled to meet what they lose."""
+    single = cut(single)
+    filter_ = bloom(found.later.select("doc").union(single.select("doc")), "doc")
+    losing = found.texts.mapInArrow(kept_by(filter_), "doc long, text string").join(found.later, "doc", "left").join(single, "doc", "left")
+    others = kept_by(filter_, False)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def filled() -> Iterator[pa.RecordBatch]:
+            for batch in others(batches):
+                none = pa.nulls(batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, none, none], names=["doc", "text", "later", "single"])
+
+        return finish(filled())
+
+    return losing.select("doc", "text", "later", "single").mapInArrow(finish, schema).union(found.texts.mapInArrow(whole, schema))
 
 
 def chosen(found: Segments, row: int, contents: np.ndarray) -> np.ndarray:

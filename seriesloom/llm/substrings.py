@@ -57,16 +57,16 @@ def _edges(found: A.Found) -> DataFrame:
                     content = np.repeat(T.signed(segments.content[picked]), count)
                     yield T.batch_of(arrow, e1[at], e2[at], np.full(len(at), doc), content, place.astype(np.int32))
 
-    return found.texts.join(found.open_, "doc").mapInArrow(run, "e1 long, e2 long, doc long, content long, place int")
+    return A.opened(found).mapInArrow(run, "e1 long, e2 long, doc long, content long, place int")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc, text, later (contents of whole paths) and single (content, place) for each row."""
+def removed(docs: DataFrame, finish: A.Finish, schema: str) -> DataFrame:
+    """``finish`` over doc, text, later (contents of whole paths) and single (content, place)."""
     found = A.search(docs, read, SHAPE)
     edges = cut(_edges(found))
     first = edges.groupBy("e1", "e2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     single = edges.join(first, ["e1", "e2"]).filter("doc > first").groupBy("doc").agg(F.collect_set(F.struct("content", "place")).alias("single"))
-    return found.texts.join(found.later, "doc", "left").join(single, "doc", "left")
+    return A.finished(found, single, finish, schema)
 
 
 def _kept(part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -100,7 +100,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 ids = pa.array([None if x == A.NULL_ID else x for x in part.column("doc").to_pylist()], pa.int64())
                 yield T.batch_of(arrow, ids, *zip(*rows, strict=True))
 
-    return removals(docs).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return removed(docs, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -113,4 +113,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 rows = list(_kept(part, data, offs))
                 yield T.batch_of(arrow, part.column("doc"), part.column("text").cast(pa.string()), [w.decode() for _, _, w in rows], [gone for _, gone, _ in rows])
 
-    return removals(docs).mapInArrow(run, "doc long, was string, text string, n_removed long")
+    return removed(docs, run, "doc long, was string, text string, n_removed long")

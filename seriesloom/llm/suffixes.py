@@ -93,7 +93,7 @@ def _fetched(found: A.Found) -> DataFrame:
                 if rows:
                     yield T.batch_of(arrow, *zip(*rows, strict=True))
 
-    return found.texts.join(found.open_, "doc").mapInArrow(run, "anchor long, share int, doc long, start long, content long, place int, bytes binary")
+    return A.opened(found).mapInArrow(run, "anchor long, share int, doc long, start long, content long, place int, bytes binary")
 
 
 def _later_windows(rows: DataFrame) -> DataFrame:
@@ -170,5 +170,4 @@ def digests(docs: DataFrame) -> DataFrame:
 
     found = A.search(docs, read, SHAPE)
     single = _later_windows(_fetched(found)).groupBy("doc").agg(F.collect_set(F.struct("content", "place")).alias("single"))
-    rows = found.texts.join(found.later, "doc", "left").join(single, "doc", "left")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return A.finished(found, single, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

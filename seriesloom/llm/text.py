@@ -16,7 +16,7 @@ import pyarrow as pa
 
 #: Words are maximal runs of bytes other than these (\x20 and \x09-\x0D).
 WHITE_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(WHITE_SPACE)] = True
@@ -82,20 +82,24 @@ def _weights(seed: int) -> np.ndarray:
 _BASE = {0: 0x9E3779B97F4A7C15, 1: 0xD1342543DE82EF95}
 
 
-@lru_cache(4)
+_grown: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASE[seed]
-    out = []
-    for b in (base, pow(base, -1, 2**64)):
-        p = np.full(size, b, U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """At least ``size`` powers of the base and of its inverse; one table a seed, grown on demand."""
+    if seed not in _grown or len(_grown[seed][0]) < size:
+        base, out = _BASE[seed], []
+        for b in (base, pow(base, -1, 2**64)):
+            p = np.full(size, b, U64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p, out=p))
+        _grown[seed] = out[0], out[1]
+    return _grown[seed]
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit fingerprints of the byte spans [start, end)."""
-    size = 1 << max(20, int(len(data)).bit_length())
+    size = 1 << int(len(data)).bit_length()
     up, down = _powers(size, seed)
     run = np.zeros(len(data) + 1, U64)
     np.cumsum(_weights(seed)[data] * up[: len(data)], out=run[1:])
