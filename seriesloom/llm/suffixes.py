@@ -29,7 +29,7 @@ from seriesloom.llm import text as T
 SHAPE = A.Shape(100, 20)
 #: Segments of one anchor from which its windows are dealt singly, and windows in a share of them.
 HOT_SEGMENTS, SHARE = 50_000, 40_000
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 
 def read(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
