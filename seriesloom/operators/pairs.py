@@ -73,7 +73,7 @@ def lists(c: Context, e: Expr) -> SeriesList:
 def as_percent(c: Context, e: Expr) -> SeriesList:
     """Percent of a total: of the list's sum, a number, one series, a list of equal length paired by
     name, or the total with equal nodes. With nodes, keys without a partner give absent series, and a
-    key with several totals takes the sum of the whole first list, as the original does."""
+    key with several totals takes the sum of the whole first list; this is kept on purpose."""
     s = c.series(e.args[0])
     percent = lambda x, y: F.try_divide(x, y) * 100
     if len(e.args) == 1:

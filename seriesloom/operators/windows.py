@@ -15,7 +15,7 @@ from seriesloom.plans.compiler import Context
 from seriesloom.plans.frame import SeriesList
 from seriesloom.plans.registry import function
 
-#: Go's zero time is year 1: multiples of a bucket count from there.
+#: Seconds from the start of year 1 to the epoch: multiples of a bucket count from there.
 YEAR_ONE = 62135596800
 
 
