@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import bpe, html_pages, lm, media, near, packing, quality, substrings, suffixes, token_counts
+from seriesloom.llm import bpe, html_pages, lm, media, near, oracles, packing, quality, substrings, suffixes, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.drop("text")
+    return rows.drop("text", "class_distance", "common_distance")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +54,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ppm_scores, op2_token_counts, op3_quality_rules, op4_minhash_near_dedup, op5_html_extraction, op6_substring_dedup, op7_bpe, op8_suffix_dedup, op9_media_columns, op10_packing)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
