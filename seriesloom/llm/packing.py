@@ -16,7 +16,9 @@ occur. A full piece is a sequence by itself.
 
 from __future__ import annotations
 
+import gc
 import os
+import unicodedata
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -33,13 +35,17 @@ from seriesloom.llm.graph import cut
 
 SEQUENCE = 2048
 END_ID = 1
-TABLE = 250_000
+TABLE = 300_000
 #: Pieces of one length that are ranked in one group.
 RANKED = 4096
 
 
 class WordIds:
-    """Ids of words as little-endian 32-bit values."""
+    """Ids of words as little-endian 32-bit values.
+
+    Words of letters, apart from a final point or comma, are one pre-token. Many of them are encoded
+    as one text, and their ids are told apart by the tokens that end a word. Other words are encoded
+    by themselves."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,23 +54,63 @@ class WordIds:
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_truncation()
         self.encoder.no_padding()
+        vocab = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._ids([m])[0] for m in ("", ".", ",")}
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_cores(self, cores: list[str]) -> None:
+        for at in range(0, len(cores), 2048):
+            part = cores[at : at + 2048]
+            ids = np.array(self.encoder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(part):
+                self.cores.update(zip(part, self._ids(part), strict=True))
+                continue
+            raw, start = ids.astype("<u4").tobytes(), 0
+            for core, stop in zip(part, (4 * end).tolist(), strict=True):
+                self.cores[core] = raw[start:stop]
+                start = stop
+
+    def learn(self, new: set[str]) -> None:
+        cut: list[tuple[str, str, str]] = []
+        odd: list[str] = []
+        for word in new:
+            mark = word[-1] if word[-1] in ".," else ""
+            core = (word[:-1] if mark else word).lower()
+            if core.isalpha() and (core.isascii() or "Σ" not in word and unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", word)):
+                cut.append((word, core, mark))
+            else:
+                odd.append(word)
+        self._learn_cores(list({core for _, core, _ in cut} - self.cores.keys()))
+        for word, core, mark in cut:
+            self.known[word] = self.cores[core] + self.marks[mark]
+        for at in range(0, len(odd), 4096):
+            self.known.update(zip(odd[at : at + 4096], self._ids(odd[at : at + 4096]), strict=True))
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         cut_ = [(t or "").split() if not any(c in (t or "") for c in SEPARATORS) else [w for w in SPACE.split(t) if w] for t in texts]
-        if len(self.known) > TABLE:
-            self.known = {}
+        if len(self.known) > TABLE or len(self.cores) > TABLE:
+            self.known, self.cores = {}, {}
         seen: set[str] = set()
         for words in cut_:
             seen.update(words)
-        new = list(seen - self.known.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = array("I", found.ids).tobytes()
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the tables are large
+        try:
+            self.learn(seen - self.known.keys())
+        finally:
+            if collecting:
+                gc.enable()
         out = [b"".join(map(self.known.__getitem__, words)) for words in cut_]
-        for word in [w for w in new if len(w) > 64]:
-            del self.known[word]
+        for table in (self.known, self.cores):
+            for word in [w for w in table.keys() & seen if len(w) > 64]:
+                del table[word]
         return out
 
 
