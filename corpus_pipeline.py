@@ -26,8 +26,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, that with the smallest doc_id."""
-    return near.kept_documents(docs)
+    """One document of each component of near-duplicates (five words, similarity of 0.8 or more),
+    that with the smallest doc_id."""
+    return near.kept_documents(docs, near.PIPELINE_THRESHOLD)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 A document's set holds its distinct shingles of five words (A-Z lower-cased); with fewer words the
 whole sequence is one shingle, and without words the set is empty. Documents with an intersection
-of 85 % of the union or more are linked.
+of ``threshold`` per cent of the union or more are linked: 85 in ``near_duplicates``, 80 in
+``kept_documents``, which the pipeline runs.
 
 * Documents with equal sets fall into classes, by a digest of the set; only one of each goes on.
-* A sketch keeps the K smallest hash values of a set. Sets that are linked share at least ``OVERLAP``
+* A sketch keeps the K smallest hash values of a set. Sets that are linked share at least ``least_overlap``
   retained values (exactly, where a set is no larger than its sketch; else with a probability of
   failure below 1e-8 a link). So in the order of rarity two such sketches meet in their first
-  K - OVERLAP + 1 values: an inverted list of a value holds only documents with the value there,
+  K - least_overlap + 1 values: an inverted list of a value holds only documents with the value there,
   and values that very many documents share hardly occur.
 * Lists generate pairs through pivots. The member whose retained values are the most common is
   paired with the others, which costs a pair for each member and mostly joins a dense group at once.
@@ -27,6 +28,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -39,11 +42,24 @@ from seriesloom.llm.anchors import NULL_ID
 from seriesloom.llm.graph import bloom, components, cut, kept_by
 
 SHINGLE = 5
+#: Per cent of the union: what ``near_duplicates`` links, and what the pipeline's stage does.
 THRESHOLD = 85
+PIPELINE_THRESHOLD = 80
 K = 48
-OVERLAP = 24
-#: An estimate from 48 values below this comes from a pair at the threshold once in 1e9 at most.
-LEAST_ESTIMATE = 0.5
+
+
+@lru_cache
+def least_overlap(threshold: int, failure: float = 1e-8) -> int:
+    """The number of shared values that the sketches of sets at the threshold fall below with a
+    probability under ``failure``. The worst case is a set inside the other: each of the K smallest
+    values of the union is shared with the probability of the threshold, and values drawn without
+    replacement spread less than the binomial distribution here."""
+    p, below = threshold / 100, 0.0
+    for m in range(K + 1):
+        below += comb(K, m) * p**m * (1 - p) ** (K - m)
+        if below >= failure:
+            return m
+    return K
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -96,17 +112,17 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
-def _long_enough(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
+def _long_enough(a: Column, b: Column, threshold: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
 
-def inverted(classes: DataFrame) -> DataFrame:
+def inverted(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """value, node, n and place of the class among the pivots of the value's list, for lists of two or more."""
     posted = classes.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     often = posted.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     shared = posted.join(often, "value")
     by_node = shared.groupBy("node").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sum("df").alias("common"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
-    need = F.when(F.col("n") <= K, F.ceil(F.col("n") * THRESHOLD / 100)).otherwise(F.lit(OVERLAP))
+    need = F.when(F.col("n") <= K, F.ceil(F.col("n") * threshold / 100)).otherwise(F.lit(least_overlap(threshold)))
     first = F.greatest(F.lit(0), F.col("k") - need + 1 - (F.col("k") - F.size("values")))  # values of one document come first
     front = by_node.select("node", "n", "common", F.explode(F.slice("values", 1, first.cast("int"))).alias("v")).select("node", "n", "common", "v.value")
     return front.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("common"), "node"))).drop("common")
@@ -116,34 +132,34 @@ def inverted(classes: DataFrame) -> DataFrame:
 BLOCK = 1 << 18
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The components (node, component) of classes (node, doc_id, n, sketch) that are linked."""
-    lists = cut(inverted(classes))
+    lists = cut(inverted(classes, threshold))
     sets = cut(_full_sets(docs, cut(classes.join(lists.select("node").distinct(), "node", "left_semi").select("doc_id", "node"))))
     pivots = lists.filter("place = 1").select("value", F.col("node").alias("pivot"), F.col("n").alias("np"))
     families = cut(lists.join(pivots, "value").select("pivot", "np", "node", "n").distinct())
-    pairs = families.filter((F.col("pivot") != F.col("node")) & _long_enough(F.col("np"), F.col("n"))).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    edges = cut(verified(classes, sets, pairs))
+    pairs = families.filter((F.col("pivot") != F.col("node")) & _long_enough(F.col("np"), F.col("n"), threshold)).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    edges = cut(verified(classes, sets, pairs, threshold))
     label = components(edges)
     marked = families.select("pivot", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).filter((F.col("x") != F.col("y")) & (F.col("k") > 2)).select("pivot")
-    found = cut(compared(marked.join(mixed, "pivot", "left_semi"), sets))
+    found = cut(compared(marked.join(mixed, "pivot", "left_semi"), sets, threshold))
     return components(edges.union(found))
 
 
-def verified(classes: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(classes: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of nodes that are linked: sketches first, then full sets."""
     side = classes.select("node", "n", "sketch")
     near = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
     share = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) / F.size(union)
-    near = near.filter(share >= LEAST_ESTIMATE).select("a", "b", "na", "nb")
+    near = near.filter(share >= least_overlap(threshold, 1e-9) / K).select("a", "b", "na", "nb")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", "na", "nb", common.alias("c")).filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * THRESHOLD).select("a", "b")
+    return both.select("a", "b", "na", "nb", common.alias("c")).filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * threshold).select("a", "b")
 
 
-def linked_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(sets: list[np.ndarray], threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Places of all linked pairs of sorted sets, by exact intersections."""
     n = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), n)
@@ -160,11 +176,11 @@ def linked_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         matrix = np.zeros((len(sets), min(wide, int(column[-1]) + 1 - low)), np.float32)
         matrix[row[a:b], column[a:b] - low] = 1
         common += matrix @ matrix.T
-    near = common.astype(np.float64) * 100 >= (n[:, None] + n[None, :] - common) * THRESHOLD
+    near = common.astype(np.float64) * 100 >= (n[:, None] + n[None, :] - common) * threshold
     return np.nonzero(np.triu(near, 1))
 
 
-def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(members: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) that join the components in families (pivot, node, n, component), by blocks."""
     from pyspark.sql import Window
 
@@ -172,7 +188,7 @@ def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
     placed = cut(members.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / BLOCK).cast("int")))
     ends = placed.groupBy("pivot", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     met = ends.select("pivot", F.col("block").alias("i"), F.col("high").alias("h")).join(ends.select("pivot", F.col("block").alias("j"), F.col("low").alias("l")), "pivot")
-    met = met.filter((F.col("i") <= F.col("j")) & (F.col("h") * 100 >= F.col("l") * THRESHOLD)).select("pivot", "i", "j")
+    met = met.filter((F.col("i") <= F.col("j")) & (F.col("h") * 100 >= F.col("l") * threshold)).select("pivot", "i", "j")
     sides = met.select("pivot", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     rows = placed.join(sides, ["pivot", "block"]).join(sets, "node").select("pivot", "i", "j", "node", "component", "set")
 
@@ -180,7 +196,7 @@ def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
         component = group["component"].to_numpy()
         if (component == component[0]).all():
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        a, b = linked_pairs([np.asarray(s, np.int64) for s in group["set"]])
+        a, b = linked_pairs([np.asarray(s, np.int64) for s in group["set"]], threshold)
         root = {x: x for x in component.tolist()}
 
         def top(x: int) -> int:
@@ -201,11 +217,11 @@ def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("pivot", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     rows = cut(sketches(docs))
     classes = cut(rows.filter("n_shingles > 0").groupBy(F.col("digest").alias("node")).agg(F.coalesce(F.min("doc_id"), F.lit(NULL_ID)).alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    found = links(docs, classes)
+    found = links(docs, classes, threshold)
     of = classes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of.groupBy("component").agg(F.min(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).alias("component_id"))
     class_of = of.select(F.col("node").alias("digest"), "component").join(smallest, "component").select("digest", "component_id")
@@ -213,8 +229,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, threshold: int = PIPELINE_THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without all but one document of each component; rows that repeat a
     doc_id stay or go together."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, threshold).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

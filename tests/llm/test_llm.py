@@ -189,6 +189,25 @@ def test_linked_pairs_are_exact():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
+def test_pipeline_drops_copies_from_80_percent(spark):
+    base = words(8, 104, 10**6).split()  # 100 shingles
+    edited = [*base]
+    edited[50] = edited[100] = "changed"  # 10 shingles less, 10 more: 90 of 110
+    rows = [(0, " ".join(base)), (1, " ".join(edited)), (2, words(9, 104, 10**6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 80 * 110 <= 100 * len(shingles(rows[0][1]) & shingles(rows[1][1])) < 85 * 110
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == {0, 2}
+    assert {r.doc_id for r in near.near_duplicates(docs).filter("kept").collect()} == {0, 1, 2}
+
+
+def test_least_overlap_follows_the_threshold():
+    rng = np.random.default_rng(1)
+    for threshold in (80, 85):
+        least = near.least_overlap(threshold)
+        assert (rng.binomial(near.K, threshold / 100, 10**6) >= least).all()
+    assert near.least_overlap(80) < near.least_overlap(85)
+
+
 def test_substring_dedup(docs):
     rows = [(i, t) for i, t in odd_texts() if i not in (None,)]
     first = {}
