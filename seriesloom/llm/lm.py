@@ -8,10 +8,15 @@ the symbols not seen yet share what is left evenly. A text is its bytes, A-Z low
 end symbol, so that the probabilities of all texts sum to one; a text's start is part of its
 contexts.
 
-Pretrained, the trie is made by distributed counts over all training texts, of which a context stays
-if at least 1 / ``CONTEXTS`` of the training symbols follow it. So the trie that is broadcast has at
-most ``CONTEXTS`` contexts of an order whatever the corpus. As a context's suffix is at least as
-common, exclusion sets are nested. ``adaptive_code_length`` scores one text by a trie that starts empty.
+Pretrained, the trie is made by distributed counts over all training texts and keeps every context,
+so it grows with the corpus and never leaves the cluster. A symbol's probability depends on it and its
+ORDER symbols before alone. Contexts of more than ``SHARED`` symbols lie in shards by the last
+SHARED + 1 symbols, where all longer ones with these are at hand; the shorter ones, which the
+alphabet bounds, are broadcast. Each shard gives the probabilities of all symbols in context that
+occur in any text. The ``COMMON`` most frequent of these are broadcast, all others are aggregated for
+each document and joined. ``CONTEXTS`` is for trials with a smaller trie: where it is set, a context
+stays if at least 1 / ``CONTEXTS`` of the training symbols follow it. As a context's suffix is at least
+as common, exclusion sets are nested. ``adaptive_code_length`` scores one text by a trie that starts empty.
 
 The base is a unigram model of words with add-0.1 smoothing. Its counts are not bounded and never
 leave the cluster: the ``HEAD`` most common words, which are also the skewed keys, are broadcast, all
@@ -39,7 +44,11 @@ from seriesloom.llm.graph import cut
 ORDER = 5
 END, START = 256, 257
 BITS = 9
-CONTEXTS = 1 << 18
+CONTEXTS: int | None = None
+SHARED = 2
+COMMON = 1 << 21
+#: Symbols in context in a shard, about.
+SHARD = 1 << 20
 HEAD = 1 << 16
 ALPHABET = 257
 #: The key of the token at the end of each text.
@@ -107,7 +116,8 @@ def _word_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def training_counts(docs: DataFrame) -> DataFrame:
-    """kind, key and n: counts of words (by fingerprint) and of symbols in context over ``docs``."""
+    """kind, key and n: counts of words (by fingerprint) and of symbols in context over the rows of
+    ``docs`` (text, held_out) that are not held out; 0 for symbols in context of the others alone."""
     arrow = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +128,18 @@ def training_counts(docs: DataFrame) -> DataFrame:
             return T.batch_of(arrow, np.full(len(keys), kind, np.int32), keys, n)
 
         for batch in batches:
-            for _, data, offs in T.chunks(batch, "text"):
+            for part, data, offs in T.chunks(batch, "text"):
                 data = T.LOWER[data]
-                tallies[WORDS].add(_word_keys(data, offs)[0])
-                tallies[WORDS].add(np.array([END_TOKEN]), np.array([len(offs) - 1]))
-                tallies[GRAMS].add(codes(data, offs)[0])
+                trained = ~part.column("held_out").to_numpy(zero_copy_only=False)
+                keys, first = _word_keys(data, offs)
+                tallies[WORDS].add(keys[np.repeat(trained, np.diff(first))])
+                if trained.any():
+                    tallies[WORDS].add(np.array([END_TOKEN]), np.array([trained.sum()]))
+                code, code_offs = codes(data, offs)
+                seen = np.repeat(trained, np.diff(code_offs))
+                tallies[GRAMS].add(code[seen])
+                others = np.unique(code[~seen])
+                tallies[GRAMS].add(others, np.zeros(len(others), np.int64))
                 for kind, tally in tallies.items():
                     if tally.full():
                         tally.merge()
@@ -131,7 +148,7 @@ def training_counts(docs: DataFrame) -> DataFrame:
         for kind in tallies:
             yield give(kind)
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text", "held_out").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 class Trie:
@@ -214,34 +231,64 @@ def adaptive_code_length(text: bytes, order: int = ORDER) -> float:
     return bits
 
 
-def train(counts: DataFrame) -> Trie:
-    """The trie of counts (kind, key, n), bounded as the module says."""
-    grams = counts.filter(F.col("kind") == GRAMS)
-    symbols = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-symbols // CONTEXTS))
-    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(_mask(k + 1)).alias("gram")) for k in range(ORDER + 1)])).alias("o")
-    by_order = grams.select(orders, "n").groupBy("o.order", "o.gram").agg(F.sum("n").alias("n"))
-    # Exclusion needs all symbols of a context: contexts stay or go as a whole.
-    contexts = by_order.groupBy("order", F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-    kept = by_order.withColumn("context", F.shiftright("gram", BITS)).join(contexts, ["order", "context"]).select("order", "gram", "n").toArrow()
-    order, gram, n = (kept[c].to_numpy() for c in ("order", "gram", "n"))
-    return Trie([(k, gram[order == k], n[order == k]) for k in range(ORDER + 1)])
+def probabilities(counts: DataFrame) -> DataFrame:
+    """key, n and p, log10 of the probability, of each symbol in context of counts (kind, key, n)."""
+    grams = counts.filter(F.col("kind") == GRAMS).select("key", "n")
+    size, symbols = grams.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least = max(1, -(-symbols // CONTEXTS)) if CONTEXTS else 1
+    short = grams.filter("n > 0").groupBy(F.col("key").bitwiseAND(_mask(SHARED + 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    shared = counts.sparkSession.sparkContext.broadcast((short["gram"].to_numpy(), short["n"].to_numpy()))
+    arrow = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("p", pa.float64())])
+
+    def level(order: int, key: np.ndarray, n: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        gram, where = np.unique(key & _mask(order + 1), return_inverse=True)
+        count = np.bincount(where, n, len(gram))
+        # Exclusion needs all symbols of a context: contexts stay or go as a whole.
+        _, context = np.unique(gram >> BITS, return_inverse=True)
+        stays = np.bincount(context, count)[context] >= least
+        return order, gram[stays], count[stays]
+
+    def shard(table: pa.Table) -> pa.Table:
+        key, n = table["key"].to_numpy(), table["n"].to_numpy()
+        seen = n > 0
+        rows = [level(k, *shared.value) for k in range(SHARED + 1)] + [level(k, key[seen], n[seen]) for k in range(SHARED + 1, ORDER + 1)]
+        return pa.table([pa.array(key), pa.array(n), pa.array(Trie(rows).log10(key))], schema=arrow)
+
+    context = F.shiftright("key", BITS).bitwiseAND(_mask(SHARED + 1))
+    shards = F.pmod(F.xxhash64(context), F.lit(max(1, -(-size // SHARD))))
+    return grams.withColumn("shard", shards).groupBy("shard").applyInArrow(shard, "key long, n long, p double")
+
+
+def common_codes(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """key and p of the most frequent rows (key, n, p) of ``table``, ``COMMON`` at most, by key."""
+    often = F.floor(F.log2(F.col("n") + 1) * 16).cast("int")
+    held, least = 0, None
+    for bucket, rows in sorted((tuple(x) for x in table.groupBy(often).count().collect()), reverse=True):
+        held += rows
+        if held > COMMON:
+            break
+        least = bucket
+    found = table.filter(often >= least if least is not None else F.lit(False)).select("key", "p").toArrow()
+    key, p = found["key"].to_numpy(), found["p"].to_numpy()
+    by = np.argsort(key)
+    return key[by], p[by]
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of each row."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")) % 10
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"), (fold == 0).alias("held_out"))
-    counts = cut(training_counts(rows.filter("not held_out")))
+    counts = cut(training_counts(rows))
     words = counts.filter(F.col("kind") == WORDS).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
     key, n = common["key"].to_numpy(), common["n"].to_numpy()
     by = np.argsort(key)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((train(counts), key[by], n[by]))
+    table = cut(probabilities(counts))
+    shared = spark.sparkContext.broadcast((common_codes(table), key[by], n[by]))
     arrow = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    tail = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("print", pa.int64()), ("n", pa.int64())])
+    tail = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("print", pa.int64()), ("n", pa.int64())])
 
     def lookup(part_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         _, head, often = shared.value
@@ -251,6 +298,15 @@ def scores(docs: DataFrame) -> DataFrame:
         hit = head[at] == part_keys
         return hit, np.where(hit, often[at], 0)
 
+    def chances(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (known, p), *_ = shared.value
+        if not len(known):
+            return np.zeros(len(code), bool), np.zeros(len(code))
+        unique, where = np.unique(code, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, unique), len(known) - 1)
+        hit = known[at] == unique
+        return hit[where], np.where(hit, p[at], 0.0)[where]
+
     def prints(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return T.signed(T.span_hash(data, offs[:-1], offs[1:]))
 
@@ -260,19 +316,17 @@ def scores(docs: DataFrame) -> DataFrame:
         return run[offs[1:]] - run[offs[:-1]]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value[0]
         for batch in batches:
             for part, data, offs in T.chunks(batch, "text"):
                 low = T.LOWER[data]
                 code, code_offs = codes(low, offs)
-                unique, where = np.unique(code, return_inverse=True)
                 ends = np.full(len(offs) - 1, END_TOKEN)
                 keys, first = _word_keys(low, offs)
                 hit, c = lookup(keys)
                 end_hit, end_c = lookup(ends)
                 base = sums(np.where(hit, np.log10(c + 0.1), 0), first) + np.where(end_hit, np.log10(end_c + 0.1), 0)
                 known = sums(hit, first).astype(np.int64) + end_hit
-                yield T.batch_of(arrow, part.column("doc"), prints(data, offs), part.column("held_out"), np.diff(first) + 1, np.diff(offs), known, base, sums(trie.log10(unique)[where], code_offs))
+                yield T.batch_of(arrow, part.column("doc"), prints(data, offs), part.column("held_out"), np.diff(first) + 1, np.diff(offs), known, base, sums(chances(code)[1], code_offs))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,17 +337,30 @@ def scores(docs: DataFrame) -> DataFrame:
                 out = ~lookup(keys)[0]
                 ends = np.full(len(offs) - 1, END_TOKEN)
                 left = ~lookup(ends)[0]
-                keys, row = np.concatenate([keys[out], ends[left]]), np.concatenate([row[out], np.flatnonzero(left)])
-                by = np.lexsort((keys, row))
-                keys, row = keys[by], row[by]
-                new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))) if len(keys) else np.zeros(0, np.int64)
-                yield T.batch_of(tail, keys[new], part.column("doc").to_numpy()[row[new]], prints(data, offs)[row[new]], np.diff(np.append(new, len(keys))))
+                doc, hashed = part.column("doc").to_numpy(), prints(data, offs)
+                code, code_offs = codes(low, offs)
+                other = np.flatnonzero(~chances(code)[0])
+                code_row = np.searchsorted(code_offs, other, "right") - 1
+                words_ = np.concatenate([keys[out], ends[left]]), np.concatenate([row[out], np.flatnonzero(left)])
+                for kind, (keys, row) in ((WORDS, words_), (GRAMS, (code[other], code_row))):
+                    by = np.lexsort((keys, row))
+                    keys, row = keys[by], row[by]
+                    new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                    yield T.batch_of(tail, np.full(len(new), kind, np.int32), keys[new], doc[row[new]], hashed[row[new]], np.diff(np.append(new, len(keys))))
 
     scored = rows.mapInArrow(score, "doc long, print long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double")
-    others = rows.select("doc", "text").mapInArrow(rare, "key long, doc long, print long, n long").join(words.select("key", F.col("n").alias("c")), "key", "left")
-    others = others.groupBy("doc", "print").agg(F.sum(F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"))
+    others = rows.select("doc", "text").mapInArrow(rare, "kind int, key long, doc long, print long, n long")
+    known = words.select(F.lit(WORDS).alias("kind"), "key", F.col("n").alias("c"), F.lit(None).cast("double").alias("p")).union(table.select(F.lit(GRAMS).alias("kind"), "key", F.col("n").alias("c"), "p"))
+    others = others.join(known, ["kind", "key"], "left")
+    word = F.col("kind") == WORDS
+    others = others.groupBy("doc", "print").agg(
+        F.sum(F.when(word, F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.1)).otherwise(0.0)).alias("more"),
+        F.sum(F.when(word & (F.col("c") > 0), F.col("n")).otherwise(0)).alias("more_known"),
+        F.sum(F.when(word, 0.0).otherwise(F.col("n") * F.col("p"))).alias("more_score"),
+    )
     copies = F.count("*").over(Window.partitionBy("doc", "print"))  # repeated rows are summed together above
     out = scored.withColumn("copies", copies).join(others, ["doc", "print"], "left")
+    out = out.withColumn("score", F.col("score") + F.coalesce(F.col("more_score") / F.col("copies"), F.lit(0.0)))
     scale = log10(total + 0.1 * (distinct + 1))
     return out.select(
         F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"),

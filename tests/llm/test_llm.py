@@ -384,6 +384,22 @@ def test_language_model(docs, monkeypatch, contexts):
                 assert r.score == pytest.approx(ppm_brute(train, lower(t or "").encode(), contexts), rel=1e-9)
 
 
+@pytest.mark.parametrize(("common", "shard"), [(1 << 21, 1 << 20), (50, 40), (0, 1)])
+def test_language_model_keeps_rare_contexts(spark, monkeypatch, common, shard):
+    monkeypatch.setattr(lm, "COMMON", common)
+    monkeypatch.setattr(lm, "SHARD", shard)
+    rows = [(i, f"rare{i} words {i % 3}") for i in range(24)]
+    long = "".join(chr(97 + x) for x in np.random.default_rng(4).integers(0, 26, 300000))  # over 2^18 symbols
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    train = [t.encode() for i, t in rows if i not in held]
+    big = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10)
+    docs = spark.createDataFrame([*rows, (big, long)], "doc_id long, text string").repartition(3)
+    got = by_id(lm.scores(docs))
+    assert held
+    for i, t in [rows[held[0]], rows[5]]:
+        assert got[i][0].score == pytest.approx(ppm_brute([*train, long.encode()], t.encode(), 1 << 62), rel=1e-9)
+
+
 def test_probabilities_sum_to_one():
     data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
     code, _ = lm.codes(data, np.array([0, len(data)]))
