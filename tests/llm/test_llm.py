@@ -426,6 +426,19 @@ def test_html(spark, main):
     assert (got[100].text, got[101].text, got[102].text) == ("", "", "unclosed two")
 
 
+def html_texts(spark, pages):
+    rows = [(k, "https://example.org/" + str(k), h) for k, h in enumerate(pages)]
+    return {r.page_id: r.text for r in html_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_copies_and_inline_links_stay(spark):
+    page = "<body><div>Same top</div><article><h1>{0}</h1><p>Text of {0} with <a href=x>link {0}</a> in it.</p></article></body>"
+    got = html_texts(spark, [page.format(x) for x in ["one"] * 11 + ["two"]])
+    assert got == {k: f"{x} Text of {x} with link {x} in it." for k, x in enumerate(["one"] * 11 + ["two"])}
+    got = html_texts(spark, [page.format(k) for k in range(8)])
+    assert got == {k: f"{k} Text of {k} with link {k} in it." for k in range(8)}
+
+
 def test_html_of_plain_pages_matches_their_article(spark):
     path = "/root/testdata/sf0.001/pages.parquet"
     if not os.path.exists(path):
