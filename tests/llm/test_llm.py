@@ -439,6 +439,14 @@ def test_html_copies_and_inline_links_stay(spark):
     assert got == {k: f"{k} Text of {k} with link {k} in it." for k in range(8)}
 
 
+def test_html_template_the_first_page_lacks(spark):
+    page = "<body><section>Notice for all</section><div><p>Story {0}</p></div><section class=low>Low {1}</section></body>"
+    first = "<body><div><p>Story first</p></div></body>"
+    assert html_texts(spark, [first, *(page.format(k, "part") for k in range(6))]) == {0: "Story first"} | {k + 1: f"Story {k}" for k in range(6)}
+    assert html_texts(spark, [None, *(page.format(k, "part") for k in range(6))]) == {0: ""} | {k + 1: f"Story {k}" for k in range(6)}
+    assert html_texts(spark, [page.format(k, "part") for k in range(2)]) == {k: f"Story {k}" for k in range(2)}
+
+
 def test_html_of_plain_pages_matches_their_article(spark):
     path = "/root/testdata/sf0.001/pages.parquet"
     if not os.path.exists(path):
