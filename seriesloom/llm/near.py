@@ -7,8 +7,8 @@ of ``threshold`` per cent of the union or more are linked: 85 in ``near_duplicat
 
 * Documents with equal sets fall into classes, by a digest of the set; only one of each goes on.
 * A sketch keeps the K smallest hash values of a set. Sets that are linked share at least ``least_overlap``
-  retained values (exactly, where a set is no larger than its sketch; else with a probability of
-  failure below 1e-8 a link). So in the order of rarity two such sketches meet in their first
+  retained values with a probability of failure below 1e-8 a link; a set that is no larger than its
+  sketch shares ``least_shared`` with certainty, which allows for what a larger set's sketch drops. So in the order of rarity two such sketches meet in their first
   K - least_overlap + 1 values: an inverted list of a value holds only documents with the value there,
   and values that very many documents share hardly occur.
 * Lists generate pairs through pivots. The member whose retained values are the most common is
@@ -62,6 +62,18 @@ def least_overlap(threshold: int, failure: float = 1e-8) -> int:
     return K
 
 
+@lru_cache
+def least_shared(n: int, threshold: int) -> int:
+    """The fewest retained values that a set of n <= K values shares with any set it is linked with:
+    of a set of m values, the sketch drops m - K, and all of these may be shared."""
+    least = n
+    for m in range(-(-n * threshold // 100), n * 100 // threshold + 1):
+        common = -(-threshold * (n + m) // (100 + threshold))
+        if common <= min(n, m):
+            least = min(least, common - max(0, m - K))
+    return least
+
+
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of a batch with the sorted shingle hashes of each document."""
     for part, data, offs in T.chunks(batch, "text"):
@@ -122,7 +134,7 @@ def inverted(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     often = posted.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     shared = posted.join(often, "value")
     by_node = shared.groupBy("node").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sum("df").alias("common"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
-    need = F.when(F.col("n") <= K, F.ceil(F.col("n") * threshold / 100)).otherwise(F.lit(least_overlap(threshold)))
+    need = F.when(F.col("n") <= K, F.element_at(F.array(*[F.lit(least_shared(n, threshold)) for n in range(1, K + 1)]), F.least("n", F.lit(K)).cast("int"))).otherwise(F.lit(least_overlap(threshold)))
     first = F.greatest(F.lit(0), F.col("k") - need + 1 - (F.col("k") - F.size("values")))  # values of one document come first
     front = by_node.select("node", "n", "common", F.explode(F.slice("values", 1, first.cast("int"))).alias("v")).select("node", "n", "common", "v.value")
     return front.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("common"), "node"))).drop("common")

@@ -181,6 +181,16 @@ def test_near_duplicates_of_a_dense_group(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == near_brute(rows)
 
 
+def test_near_duplicates_nested_around_the_sketch(spark):
+    rows = []
+    for size, more in [(48, 8)] * 24 + [(47, 8), (49, 8), (44, 7), (40, 7)]:
+        k = len(rows)
+        text = words(1000 + k, size + 4, 10**6)
+        rows += [(k, text), (k + 1, text + " " + words(2000 + k, more, 10**6))]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == near_brute(rows)
+
+
 def test_linked_pairs_are_exact():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, 38)) for _ in range(60)]
