@@ -89,65 +89,68 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def divergence(shares: list[Column], reference: list[float]) -> Column:
-    """The Jensen-Shannon divergence in bits."""
+def opaque(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns made by a generator of one row: neither a filter on them nor what is built
+    on them makes the optimiser copy what they are computed from."""
+    made = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return rows.select("*", F.inline_outer(F.array(made)))
 
-    def term(p: Column, m: Column) -> Column:
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
-    total = F.lit(0.0)
-    for p, q in zip(shares, reference, strict=True):
-        m = (p + F.lit(q)) / 2
-        total = total + term(p, m) + (term(F.lit(q), m) if q > 0 else F.lit(0.0))
-    return F.greatest(total / 2, F.lit(0.0))
+def divergence(shares: Column, reference: list[float]) -> Column:
+    """The Jensen-Shannon divergence in bits between an array of shares and a reference."""
+
+    def term(p: Column, q: Column) -> Column:
+        m = (p + q) / 2
+        return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
+
+    terms = F.zip_with(shares, F.array(*[F.lit(float(q)) for q in reference]), term)
+    return F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """``docs`` with the rule's figures: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    class_distance, common_distance, base_failed and kept. Columns of these names are replaced."""
+    class_distance, common_distance, base_failed and kept. Columns of these names are replaced; what
+    else ``docs`` has stays, whatever its names."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance", "base_failed", "kept"]
-    rows = docs.drop(*own).withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    given = [c for c in docs.columns if c.lower() not in own]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("whole"))
 
     def strip(rest: Column, left: tuple, counts: list[Column]) -> Column:
         if not left:
             return F.array(*counts, F.length(rest))
         return let(F.regexp_replace(rest, left[0][1], ""), lambda after: strip(after, left[1:], [*counts, F.length(rest) - F.length(after)]))
 
-    rows = rows.withColumn("_chars", strip(F.col("_text"), CLASSES, []))
-
     def by_words(words: Column) -> Column:
         n = F.size(words)
         common = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(COMMON))
         counts = let(common, lambda c: F.array(*[count_of(c, x) for x in COMMON]))
-        return F.struct(n.cast("long").alias("n_words"), repeated_words(words, n).alias("n_repeat_words"), counts.alias("common"))
+        return F.struct(n.cast("long").alias("n"), repeated_words(words, n).alias("again"), counts.alias("common"))
 
-    rows = rows.withColumn("_words", let(word_array(F.col("_text")), by_words))
-    chars, n = F.col("_chars"), F.col("_words.n_words")
-    rows = rows.withColumns({
-        "_shares": F.transform(chars, lambda x: x / F.greatest(F.length("_text"), F.lit(1))),
-        "_rates": F.transform(F.col("_words.common"), lambda x: x / F.greatest(n, F.lit(1))),
-    })
-    shares = [F.get(F.col("_shares"), F.lit(k)) for k in range(len(CLASSES) + 1)]
-    nearest_class = F.least(*[divergence(shares, list(q)) for q in CLASS_REFERENCE.values()])
+    rows = opaque(rows, chars=strip(F.col("whole"), CLASSES, []), words=let(word_array(F.col("whole")), by_words), again_lines=duplicate_lines(F.col("whole")), size=F.length("whole"))
+    n, names = F.col("words.n"), [name for name, _ in CLASSES]
+    rates = F.transform("words.common", lambda x: x / F.greatest(n, F.lit(1)))
 
     def of(language: dict[str, float]) -> Column:
-        found = [F.get(F.col("_rates"), F.lit(COMMON.index(w))) for w in language]
-        return divergence([*found, F.greatest(F.lit(1.0) - sum(found[1:], found[0]), F.lit(0.0))], [*language.values(), 1 - sum(language.values())])
-
-    names = [name for name, _ in CLASSES]
-    rows = rows.withColumns({
-        "n_words": n,
-        "word_chars": (F.length("_text") - F.get(chars, F.lit(names.index("space")))).cast("long"),
-        "n_symbols": F.get(chars, F.lit(names.index("symbol"))).cast("long"),
-        "n_dup_lines": duplicate_lines(F.col("_text")),
-        "n_repeat_words": F.col("_words.n_repeat_words"),
-        "class_distance": F.sqrt(nearest_class),
-        "common_distance": F.sqrt(F.least(*[of(x) for x in WORD_REFERENCE.values()])),
-        "base_failed": (n < MIN_WORDS) | (F.col("_words.n_repeat_words") * 100 > n * MAX_REPEATED),
-    })
-    odd_class = (n >= MIN_CLASS_WORDS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)
-    odd_words = (n >= MIN_COMMON_WORDS) & (F.col("common_distance") > MAX_COMMON_DISTANCE)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~odd_class & ~odd_words).drop("_text", "_chars", "_words", "_shares", "_rates")
+        held = F.transform(F.array(*[F.lit(COMMON.index(w)) for w in language]), lambda k: F.get(F.col("rates"), k))
+        rest = F.greatest(F.lit(1.0) - F.aggregate(held, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+        return divergence(F.concat(held, F.array(rest)), [*language.values(), 1 - sum(language.values())])
+
+    rows = opaque(rows, shares=F.transform("chars", lambda x: x / F.greatest(F.col("size"), F.lit(1))), rates=rates)
+    rows = opaque(
+        rows,
+        n_words=n,
+        word_chars=(F.col("size") - F.get("chars", F.lit(names.index("space")))).cast("long"),
+        n_symbols=F.get("chars", F.lit(names.index("symbol"))).cast("long"),
+        n_dup_lines=F.col("again_lines"),
+        n_repeat_words=F.col("words.again"),
+        class_distance=F.sqrt(F.least(*[divergence(F.col("shares"), list(q)) for q in CLASS_REFERENCE.values()])),
+        common_distance=F.sqrt(F.least(*[of(x) for x in WORD_REFERENCE.values()])),
+        base_failed=(n < MIN_WORDS) | (F.col("words.again") * 100 > n * MAX_REPEATED),
+    )
+    odd_class = (F.col("n_words") >= MIN_CLASS_WORDS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)
+    odd_words = (F.col("n_words") >= MIN_COMMON_WORDS) & (F.col("common_distance") > MAX_COMMON_DISTANCE)
+    rows = opaque(rows, kept=~F.col("base_failed") & ~odd_class & ~odd_words)
+    return rows.select("row.*", *own)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
