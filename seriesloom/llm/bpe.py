@@ -31,9 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that Python's split() takes for white space and the vocabulary's pattern does not.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-SPACE = regex.compile(r"\p{White_Space}+")
+from seriesloom.llm.text import coded_words
+
 END = b"\xff"  # no byte of UTF-8
 NEVER = 1 << 60
 
@@ -297,39 +296,37 @@ class PrefixEncoder:
                 all_ = [known[p] if isinstance(p, str) else (1, number(p), token(p)) for p in parts]
                 keep[w] = sum([x[0] for x in all_]), " ".join([x[1] for x in all_]), " ".join([x[2] for x in all_])
 
-    def texts(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
-        """The encoded words of each text, in order."""
-        cut = [(t or "").split() if not any(c in (t or "") for c in SEPARATORS) else [w for w in SPACE.split(t) if w] for t in texts]
+    def texts(self, column: pa.Array) -> Iterator[tuple[list[tuple[int, str, str]], np.ndarray]]:
+        """The encodings of the distinct words of a column's texts, with the words of each text as
+        places among these."""
+        distinct, code, first = coded_words(column)
         if len(self.words) > self.table:
             self.words, self.pieces = {}, {}
         if len(self.pieces) > self.table:
             self.pieces = {}
-        known = self.words
-        seen: set[str] = set()
-        for words in cut:
-            seen.update(words)
         collecting = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and the tables are large
         try:
-            self.learn(seen - known.keys(), known)
+            self.learn({w for w in distinct if w not in self.words}, self.words)
         finally:
             if collecting:
                 gc.enable()
-        out = [list(map(known.__getitem__, words)) for words in cut]
-        for w in [w for w in seen if len(w) > 64]:
-            del known[w]
+        known = [self.words[w] for w in distinct]
+        for w in [w for w in distinct if len(w) > 64]:
+            del self.words[w]
         for w in [w for w in self.pieces if len(w) > 64]:
             del self.pieces[w]
-        return out
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield known, code[a:b]
 
 
-def groups(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, list[str | None]]]:
+def groups(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, pa.Array]]:
     """Runs of texts of about ``limit`` bytes, with the place of the first."""
     size = np.cumsum(pc.binary_length(texts.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
-        yield at, texts.slice(at, end - at).to_pylist()
+        yield at, texts.slice(at, end - at)
         at = end
 
 
@@ -351,7 +348,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         bpe = encoder(path)
         for batch in batches:
             for at, texts in groups(batch.column(1)):
-                ids = [list(map(int, " ".join([w[1] for w in words]).split())) for words in bpe.texts(texts)]
+                ids = [list(map(int, " ".join([known[c][1] for c in code.tolist()]).split())) for known, code in bpe.texts(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, arrow.field(1).type)], schema=arrow)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -374,18 +371,23 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of ``docs`` (doc_id, text)."""
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def sha(parts: list[str]) -> str:
-        return hashlib.sha256(" ".join(parts).encode()).hexdigest()
+    def sha(parts: list[bytes]) -> str:
+        return hashlib.sha256(b" ".join(parts)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
             for at, texts in groups(batch.column(1)):
                 n, ids, tokens = [], [], []
-                for words in bpe.texts(texts):
-                    n.append(sum([w[0] for w in words]))
-                    ids.append(sha([w[1] for w in words]))
-                    tokens.append(sha([w[2] for w in words]))
+                held: list | None = None
+                for known, code in bpe.texts(texts):
+                    if held is not known:
+                        held, size = known, np.array([k[0] for k in known], np.int64)
+                        id_text, token_text = [k[1].encode() for k in known], [k[2].encode() for k in known]
+                    n.append(int(size[code].sum()))
+                    places = code.tolist()
+                    ids.append(sha([id_text[c] for c in places]))
+                    tokens.append(sha([token_text[c] for c in places]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(ids), pa.array(tokens)], schema=arrow)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,7 +8,8 @@ to be placed can fill. Then pieces are ranked within their length, and a rank se
 pattern. The histogram has 2048 rows at most; pieces never leave the executors.
 
 The ids are those of the tokenizers library for whole texts: texts are cut at white space, which
-this vocabulary drops, and words met before are taken from a bounded table.
+this vocabulary drops. The words of many texts become codes of their distinct words in Arrow, and
+each distinct word is encoded once; those met before are taken from a bounded table.
 
 Null text counts as empty: a piece with the end id alone. Repeated rows are packed as often as they
 occur. A full piece is a sequence by itself.
@@ -30,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.bpe import SEPARATORS, SPACE, groups
+from seriesloom.llm.bpe import groups
 from seriesloom.llm.graph import cut
+from seriesloom.llm.text import coded_words
 
 SEQUENCE = 2048
 END_ID = 1
-TABLE = 300_000
+TABLE = 600_000
 #: Pieces of one length that are ranked in one group.
 RANKED = 4096
 
@@ -43,9 +45,8 @@ RANKED = 4096
 class WordIds:
     """Ids of words as little-endian 32-bit values.
 
-    Words of letters, apart from a final point or comma, are one pre-token. Many of them are encoded
-    as one text, and their ids are told apart by the tokens that end a word. Other words are encoded
-    by themselves."""
+    Many words of letters, each of which is one pre-token, are encoded as one text, and their ids are
+    told apart by the tokens that end a word. Other words are encoded by themselves."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,61 +58,47 @@ class WordIds:
         vocab = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._ids([m])[0] for m in ("", ".", ",")}
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn_cores(self, cores: list[str]) -> None:
-        for at in range(0, len(cores), 2048):
-            part = cores[at : at + 2048]
+    def learn(self, new: list[str]) -> None:
+        plain, odd = [], []
+        for word in new:
+            is_plain = word.isalpha() and (word.isascii() or "Σ" not in word and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", word.lower()))
+            (plain if is_plain else odd).append(word)
+        for at in range(0, len(plain), 2048):
+            part = plain[at : at + 2048]
             ids = np.array(self.encoder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             end = np.flatnonzero(self.ends[ids]) + 1
             if len(end) != len(part):
-                self.cores.update(zip(part, self._ids(part), strict=True))
+                odd += part
                 continue
             raw, start = ids.astype("<u4").tobytes(), 0
-            for core, stop in zip(part, (4 * end).tolist(), strict=True):
-                self.cores[core] = raw[start:stop]
+            for word, stop in zip(part, (4 * end).tolist(), strict=True):
+                self.known[word] = raw[start:stop]
                 start = stop
-
-    def learn(self, new: set[str]) -> None:
-        cut: list[tuple[str, str, str]] = []
-        odd: list[str] = []
-        for word in new:
-            mark = word[-1] if word[-1] in ".," else ""
-            core = (word[:-1] if mark else word).lower()
-            if core.isalpha() and (core.isascii() or "Σ" not in word and unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", word)):
-                cut.append((word, core, mark))
-            else:
-                odd.append(word)
-        self._learn_cores(list({core for _, core, _ in cut} - self.cores.keys()))
-        for word, core, mark in cut:
-            self.known[word] = self.cores[core] + self.marks[mark]
         for at in range(0, len(odd), 4096):
             self.known.update(zip(odd[at : at + 4096], self._ids(odd[at : at + 4096]), strict=True))
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        cut_ = [(t or "").split() if not any(c in (t or "") for c in SEPARATORS) else [w for w in SPACE.split(t) if w] for t in texts]
-        if len(self.known) > TABLE or len(self.cores) > TABLE:
-            self.known, self.cores = {}, {}
-        seen: set[str] = set()
-        for words in cut_:
-            seen.update(words)
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column. Each distinct word is looked up once."""
+        distinct, code, first = coded_words(column)
+        if len(self.known) > TABLE:
+            self.known = {}
         collecting = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and the tables are large
+        gc.disable()  # nothing here is cyclic, and the table is large
         try:
-            self.learn(seen - self.known.keys())
+            self.learn([w for w in distinct if w not in self.known])
         finally:
             if collecting:
                 gc.enable()
-        out = [b"".join(map(self.known.__getitem__, words)) for words in cut_]
-        for table in (self.known, self.cores):
-            for word in [w for w in table.keys() & seen if len(w) > 64]:
-                del table[word]
-        return out
+        ids = [self.known[w] for w in distinct]
+        for word in [w for w in distinct if len(w) > 64]:
+            del self.known[word]
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield b"".join([ids[c] for c in code[a:b].tolist()])
 
 
 @lru_cache(1)

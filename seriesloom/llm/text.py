@@ -20,10 +20,18 @@ CHUNK_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(WHITE_SPACE)] = True
+#: UTF-8 of Unicode's white space beyond ASCII.
+WIDE_SPACES = np.array([int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+LEAD = np.zeros(256, bool)
+LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Lower-cases A-Z and leaves every other byte alone.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: ASCII letters.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+
 U64 = np.uint64
 
 
@@ -50,9 +58,48 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         at = end
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each document the range of its words (n + 1 offsets)."""
-    solid = ~IS_SPACE[data]
+def unicode_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to characters of Unicode's White_Space."""
+    space = IS_SPACE[data]
+    lead = np.flatnonzero(LEAD[data])
+    if len(lead):
+        three = np.concatenate([data, np.zeros(2, np.uint8)])[lead[:, None] + np.arange(3)].astype(np.int64)
+        code = three[:, 0] << 16 | three[:, 1] << 8 | three[:, 2]
+        two = np.isin(code >> 8, WIDE_SPACES[WIDE_SPACES < 1 << 16])
+        long = np.isin(code, WIDE_SPACES[WIDE_SPACES >= 1 << 16])
+        space[lead[two | long]] = True
+        space[lead[two | long] + 1] = True
+        space[lead[long] + 2] = True
+    return space
+
+
+def coded_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of a column's texts, for each word in order its place among these, and for
+    each text the range of its words (n + 1 offsets).
+
+    Words are runs without Unicode white space, with A-Z lower-cased, and a point or comma at the end
+    after an ASCII letter is a word of its own: what a tokenizer that lower-cases, drops white space
+    and never joins letters to points makes the same of. Where a text may hold special tokens,
+    which have a case, nothing is lower-cased."""
+    data, offs = flat(column)
+    if b"<|" not in data.tobytes():
+        data = LOWER[data]
+    space = unicode_space(data)
+    mark = np.flatnonzero((data == 46) | (data == 44))
+    mark = mark[mark > 0]
+    after = np.concatenate([space, [True]])[mark + 1] | np.isin(mark + 1, offs)
+    mark = mark[after & LETTER[data[mark - 1]] & ~np.isin(mark, offs)]
+    starts, ends, first = words(data, offs, space, mark)
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    held = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[~space])).dictionary_encode()
+    return held.dictionary.to_pylist(), held.indices.to_numpy(), first
+
+
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray | None = None, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each document the range of its words (n + 1 offsets).
+    space: what counts as white space; also: places inside words where another word starts."""
+    solid = ~(IS_SPACE[data] if space is None else space)
     starts = solid.copy()
     starts[1:] &= ~solid[:-1]
     ends = solid.copy()
@@ -61,6 +108,9 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     cut = inner[(inner > 0) & (inner < len(data))]
     starts[cut] |= solid[cut]
     ends[cut - 1] |= solid[cut - 1]
+    if also is not None:
+        starts[also] = True
+        ends[also - 1] = True
     s = np.flatnonzero(starts)
     return s, np.flatnonzero(ends) + 1, np.searchsorted(s, offs)
 

@@ -10,6 +10,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -101,15 +102,23 @@ def test_bpe_ids_and_round_trip(spark, docs):
     assert bpe.decode(one, path).first().text == tk.decode(tk.encode(dict(odd_texts())[18], add_special_tokens=False).ids, skip_special_tokens=False)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(min_size=1, max_size=30))
+ODD_LETTERS = st.one_of(st.characters(), st.sampled_from(list("aZ.,'1 Iİ\u0307\u0301\u00a0\u2003\u3000\x1c\x85<|>éÉΣςß")), st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "it's", "A.", "x,"]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ODD_LETTERS, max_size=30).map("".join).filter(lambda t: t.isprintable() or t.encode("utf-8", "ignore").decode() == t))
 def test_bpe_any_text(text):
     from tokenizers import Tokenizer
 
     global _tk
     _tk = globals().get("_tk") or Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    found = bpe.encoder(P.path("word_bpe_49k.json")).texts([text])[0]
-    assert [int(x) for w in found for x in w[1].split()] == _tk.encode(text, add_special_tokens=False).ids
+    texts = pa.array([text, text.upper(), f"{text}. {text},", None])
+    words = packing.word_ids(P.path("word_bpe_49k.json"))
+    found = bpe.encoder(P.path("word_bpe_49k.json")).texts(texts)
+    for t, (known, code), ids in zip(texts.to_pylist(), found, words.texts(texts), strict=True):
+        want = _tk.encode(t or "", add_special_tokens=False).ids
+        assert [int(x) for c in code.tolist() for x in known[c][1].split()] == want
+        assert array("I", ids).tolist() == want
 
 
 def test_quality(docs):
