@@ -33,7 +33,7 @@ REDUCERS = {
     "max": lambda: F.max(F.col("v")),
     "median": lambda: slot_percentile(50, True),
     "stddev": lambda: F.stddev_pop(F.col("v")),
-    "diff": lambda: F.when(F.count(F.when(F.col("ord") == F.col("first"), F.col("v"))) > 0, F.sum(F.when(F.col("ord") == F.col("first"), F.col("v")).otherwise(-F.col("v")))),
+    "diff": lambda: F.when(F.count(F.when(F.col("id") == F.col("first"), F.col("v"))) > 0, F.sum(F.when(F.col("id") == F.col("first"), F.col("v")).otherwise(-F.col("v")))),
     "multiply": strict_product,
     "range": lambda: F.when(F.count(F.col("v")) >= 2, F.max(F.col("v")) - F.min(F.col("v"))),
     "count": lambda: F.first("n").cast("double"),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.parser import Expr, ParseError, parse
 from seriesloom.operators.aggregate import NAMES, REDUCERS
 from seriesloom.operators.naming import metric
 from seriesloom.plans import frame
-from seriesloom.plans.compiler import FAR, Context, concatenated
+from seriesloom.plans.compiler import Context, concatenated
 from seriesloom.plans.frame import SeriesList
 from seriesloom.plans.registry import FUNCTIONS, function
 
@@ -41,8 +43,8 @@ def group_by_node(c: Context, e: Expr) -> SeriesList:
     for key in keys:
         inner = _Fixed(c, s.having(keyed.filter(F.col("key") == key)))
         found = FUNCTIONS[callback].build(inner, Expr("func", target=callback, args=[Expr("name", target="group")], raw="group"))
-        first = found.df.agg(F.min("ord").alias("first"))
-        named = found.df.crossJoin(F.broadcast(first)).withColumn("name", F.when(F.col("ord") == F.col("first"), F.lit(key)).otherwise(F.col("name")))
+        head = found.df.agg(F.min("ord")["id"].alias("first"))
+        named = found.df.crossJoin(F.broadcast(head)).withColumn("name", F.when(F.col("ord.id") == F.col("first"), F.lit(key)).otherwise(F.col("name")))
         out.append(found.having(named))
     return concatenated(out) if out else c.empty()
 
@@ -78,7 +80,8 @@ def map_series(c: Context, e: Expr) -> SeriesList:
     s = c.series(e.args[0])
     df = s.df.withColumn("key", node_key(e.integers(1)))
     first = df.groupBy("key").agg(F.min("ord").alias("first"))
-    return s.having(frame.reordered(df.join(first, "key"), F.col("first"), F.col("ord")))
+    together = F.struct(F.concat(F.col("first.key"), F.array(frame.by_text(F.col("first.id"))), F.col("ord.key"), F.array(frame.by_text(F.col("ord.id")))).alias("key"), F.col("ord.id").alias("id"))
+    return s.having(df.join(first, "key").withColumn("ord", together))
 
 
 @function("reduceSeries", "reduce", args="seriesLists, reduceFunction, reduceNode, *reduceMatchers", group="Combine")
@@ -95,17 +98,16 @@ def reduce_series(c: Context, e: Expr) -> SeriesList:
     whole = df.filter(F.col("node").isin(wanted)).groupBy("key").agg(F.min("ord").alias("first"), F.count_distinct("node").alias("n")).filter(F.col("n") == len(wanted))
     lists = {}
     for w in wanted:
-        own = df.filter(F.col("node") == w)
-        latest = own.groupBy("key").agg(F.max("ord").alias("ord"))
-        lists[w] = s.having(own.join(latest, ["key", "ord"]).join(whole, "key").withColumns({"name": F.col("key"), "ord": F.col("first")}))
+        own = frame.last_of_each(df.filter(F.col("node") == w))
+        lists[w] = s.having(own.join(whole, "key").withColumns({"name": F.col("key"), "ord": F.struct(F.col("first.key").alias("key"), F.col("key").alias("id"))}))
     build = PAIRWISE.get(name)
     if build is None or len(wanted) != 2:
         kind = NAMES.get(name)
         if kind is None:
             raise ParseError(f"{name} cannot reduce {len(wanted)} series")
-        # Members of a group in the matchers' order: places apart from each other.
-        members = concatenated([lists[w].with_(ord=F.col("ord") * len(wanted) + k) for k, w in enumerate(wanted)])
-        members = members.with_(ord=F.pmod(F.col("ord"), F.lit(FAR)))
+        # Members of a group in the matchers' order, next to each other.
+        members = [lists[w].with_(ord=frame.behind(F.col("ord"), k)) for k, w in enumerate(wanted)]
+        members = SeriesList(reduce(DataFrame.unionByName, [m.df for m in members]), frozenset().union(*(m.steps for m in members)))
         return frame.reduced(members, REDUCERS[kind[0]](), F.col("name"), lambda k: k)
     return build(lists[wanted[0]], lists[wanted[1]]).named(F.col("name"))
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from seriesloom.functions.parser import Expr, ParseError, number_text, seconds
 from seriesloom.operators.elementwise import wrapped
-from seriesloom.operators.pairs import nulls, zipped
+from seriesloom.operators.pairs import zipped
 from seriesloom.plans import frame
 from seriesloom.plans.compiler import Context, concatenated
 from seriesloom.plans.frame import SeriesList
@@ -19,20 +18,6 @@ ALPHA, BETA, GAMMA = 0.1, 0.0035, 0.1
 SEASON, BOOTSTRAP = 86400, 7 * 86400
 
 
-def floats(values) -> np.ndarray:
-    return np.array([np.nan if v is None else v for v in values], np.float64)
-
-
-def each(s: SeriesList, f) -> SeriesList:
-    """f of each series' values (NaN where absent) and its row."""
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch["values"] = [nulls(f(floats(v), r)) for v, (_, r) in zip(batch["values"], batch.iterrows(), strict=True)]
-        return batch
-
-    return frame.by_numpy(s, run)
-
-
 @function("ewma", "exponentialWeightedMovingAverage", args="seriesList, alpha", group="Calculate")
 def ewma(c: Context, e: Expr) -> SeriesList:
     """The exponentially weighted mean; absent points stay and do not count."""
@@ -45,7 +30,7 @@ def ewma(c: Context, e: Expr) -> SeriesList:
             out[i] = held
         return out
 
-    return each(c.series(e.args[0]), smooth).named(wrapped("ewma", f",{number_text(alpha)}"))
+    return frame.by_numpy(c.series(e.args[0]), smooth).named(wrapped("ewma", f",{number_text(alpha)}"))
 
 
 @function("fft", args="seriesList, mode", group="Transform")
@@ -56,7 +41,7 @@ def fft(c: Context, e: Expr) -> SeriesList:
     parts = [("abs", np.abs), ("phase", np.angle)] if mode in ("", "both") else [(mode, {"abs": np.abs, "phase": np.angle}.get(mode))]
     if parts[0][1] is None:
         raise ParseError("mode is abs, phase or both")
-    out = [each(s, lambda v, _, f=f: f(np.fft.fft(np.nan_to_num(v)))).with_(ord=F.col("ord") * 2 + k, name=wrapped("fft", f",'{n}'")) for k, (n, f) in enumerate(parts)]
+    out = [frame.by_numpy(s, lambda v, _, f=f: f(np.fft.fft(np.nan_to_num(v)))).with_(ord=frame.behind(F.col("ord"), k), name=wrapped("fft", f",'{n}'")) for k, (n, f) in enumerate(parts)]
     return out[0] if len(out) == 1 else out[0].having(out[0].df.unionByName(out[1].df))
 
 
@@ -65,12 +50,12 @@ def ifft(c: Context, e: Expr) -> SeriesList:
     """The size of the inverse Fourier transform, from sizes and, paired by place, phases."""
     s = c.series(e.args[0])
     if len(e.args) < 2:
-        return each(s, lambda v, _: np.abs(np.fft.ifft(np.nan_to_num(v)))).named(wrapped("ifft"))
+        return frame.by_numpy(s, lambda v, _: np.abs(np.fft.ifft(np.nan_to_num(v)))).named(wrapped("ifft"))
 
-    def inverse(v: np.ndarray, w: np.ndarray, _) -> list:
-        return np.abs(np.fft.ifft(np.nan_to_num(v) * np.exp(1j * np.nan_to_num(w)))).tolist()
+    def inverse(v: np.ndarray, row: dict) -> np.ndarray:
+        return np.abs(np.fft.ifft(np.nan_to_num(v) * np.exp(1j * np.nan_to_num(row["b_values"]))))
 
-    return zipped(s, c.series(e.args[1]), inverse, F.concat(F.lit("ifft("), F.col("name"), F.lit(", "), F.col("b_name"), F.lit(")")), True)
+    return zipped(s, c.series(e.args[1]), inverse, F.concat(F.lit("ifft("), F.col("name"), F.lit(", "), F.col("b_name"), F.lit(")")), True, "ifft")
 
 
 @function("polyfit", args="seriesList, degree=1, offset='0d'", group="Calculate")
@@ -82,7 +67,7 @@ def polyfit(c: Context, e: Expr) -> SeriesList:
     more = seconds(ahead, 1)
     tail = (f",{degree}" if len(e.args) > 1 else "") + (f",'{ahead}'" if len(e.args) > 2 else "")
 
-    def fit(v: np.ndarray, row: pd.Series) -> np.ndarray:
+    def fit(v: np.ndarray, row: dict) -> np.ndarray:
         size = len(v) + more // int(row["step"])
         at = np.flatnonzero(~np.isnan(v))
         if len(at) < 2:
@@ -92,7 +77,7 @@ def polyfit(c: Context, e: Expr) -> SeriesList:
         weights, *_ = np.linalg.lstsq(powers, v[at], rcond=None)
         return np.vander(np.arange(size) / scale, degree + 1, increasing=True) @ weights
 
-    return each(c.series(e.args[0]), fit).with_(name=wrapped("polyfit", tail), stop=F.col("stop") + more)
+    return frame.by_numpy(c.series(e.args[0]), fit).with_(name=wrapped("polyfit", tail), stop=F.col("stop") + more)
 
 
 def holt_winters(v: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +114,12 @@ def _forecast(c: Context, e: Expr, f, head: str) -> SeriesList:
     """f(values, predictions, deviations) without the bootstrap's slots."""
     start = c.start
 
-    def run(v: np.ndarray, row: pd.Series) -> np.ndarray:
+    def run(v: np.ndarray, row: dict) -> np.ndarray:
         predicted, deviation = holt_winters(f.read(v), int(row["step"]))
         skip = max(0, -(-(start - int(row["start"])) // int(row["step"])))
         return f(v[skip:], predicted[skip:], deviation[skip:])
 
-    return each(_bootstrapped(c, e), run).with_(name=wrapped(head), start=F.greatest(F.col("start"), F.lit(start)).cast("long"))
+    return frame.by_numpy(_bootstrapped(c, e), run).with_(name=wrapped(head), start=F.greatest(F.col("start"), F.lit(start)).cast("long"))
 
 
 class _Reading:

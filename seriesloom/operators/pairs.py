@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.parser import Expr, ParseError
@@ -21,28 +20,24 @@ def pair_name(head: str) -> Column:
     return F.concat(F.lit(f"{head}("), F.col("name"), F.lit(","), F.col("b_name"), F.lit(")"))
 
 
-def by_one(a: SeriesList, b: SeriesList, f, name: Column) -> SeriesList:
+def by_one(a: SeriesList, b: SeriesList, f, name: Column, what: str) -> SeriesList:
     """Each series of a with the single series of b."""
     a, b = frame.aligned(a, b)
-    return a.having(frame.combined(a.df.withColumn("_one", F.lit(1)), F.broadcast(b.df.withColumn("_one", F.lit(1))), "_one", f, name))
+    return a.having(frame.combined(frame.with_one(a.df, b, what), f, name))
 
 
 def by_place(a: SeriesList, b: SeriesList, f, name: Column, order: str = "ord") -> SeriesList:
     """The first with the first, the second with the second, ..."""
     a, b = frame.aligned(a, b)
-    x, y = (s.df.join(frame.positions(s.df), "ord") if order == "ord" else _by_name(s) for s in (a, b))
-    return a.having(frame.combined(x, y, "position", f, name))
-
-
-def _by_name(s: SeriesList):
-    df = frame.reordered(s.df, F.col("name"))
-    return df.join(frame.positions(df), "ord")
+    x, y = (frame.placed(s.df if order == "ord" else frame.reordered(s.df, frame.by_text(F.col("name")))) for s in (a, b))
+    return a.having(frame.combined(x.join(frame.others(y, "position"), "position"), f, name))
 
 
 def in_group(operation: str):
     def build(a: SeriesList, b: SeriesList) -> SeriesList:
         a, b = frame.aligned(a, b)
-        return a.having(frame.combined(a.df, b.df, "name", OPERATIONS[operation], F.col("name")))
+        other = frame.others(b.df.withColumn("key", F.col("name")), "key")
+        return a.having(frame.combined(a.df.withColumn("key", F.col("name")).join(other, "key"), OPERATIONS[operation], F.col("name")))
 
     return build
 
@@ -55,11 +50,9 @@ PAIRWISE["asPercent"] = lambda a, b: in_group("divide")(a, b).map(lambda v: v *
 def divide_series(c: Context, e: Expr) -> SeriesList:
     """Each series by one other, or the first of two by the second; absent where that is zero."""
     if len(e.args) > 1:
-        return by_one(c.series(e.args[0]), c.series(e.args[1]), OPERATIONS["divide"], pair_name("divideSeries"))
-    s = c.series(e.args[0])
-    place = s.df.join(frame.positions(s.df), "ord")
-    a, b = (s.having(place.filter(F.col("position") == k)) for k in (0, 1))
-    return by_one(a, b, OPERATIONS["divide"], F.lit(f"divideSeries({e.raw})"))
+        return by_one(c.series(e.args[0]), c.series(e.args[1]), OPERATIONS["divide"], pair_name("divideSeries"), "divideSeries")
+    s = frame.normalized(c.series(e.args[0]))
+    return s.having(frame.combined(frame.first_two(s), OPERATIONS["divide"], F.lit(f"divideSeries({e.raw})")))
 
 
 @function("divideSeriesLists", "diffSeriesLists", "multiplySeriesLists", "powSeriesLists", args="firstSeriesList, secondSeriesList", group="Combine")
@@ -80,7 +73,7 @@ def as_percent(c: Context, e: Expr) -> SeriesList:
         text = f"sumSeries({e.args[0].target})"
         both = frame.normalized(s)
         whole = frame.reduced(both, F.sum(F.col("v")), None, lambda _: F.lit(text))
-        return by_one(both, whole, percent, F.concat(F.lit("asPercent("), F.col("name"), F.lit(f",{text})")))
+        return by_one(both, whole, percent, F.concat(F.lit("asPercent("), F.col("name"), F.lit(f",{text})")), "asPercent")
     total = e.args[1]
     if len(e.args) == 2 and total.kind == "const":
         n = total.value
@@ -89,7 +82,7 @@ def as_percent(c: Context, e: Expr) -> SeriesList:
     if len(e.args) == 2:
         if t.df.limit(2).count() == 1:
             text = total.target if total.kind == "name" else str(total)
-            return by_one(s, t, percent, F.concat(F.lit("asPercent("), F.col("name"), F.lit(f",{text})")))
+            return by_one(s, t, percent, F.concat(F.lit("asPercent("), F.col("name"), F.lit(f",{text})")), "asPercent")
         return by_place(s, t, percent, pair_name("asPercent"), "name")
     key = node_key(e.integers(2))
     a, b = frame.aligned(s, t)
@@ -109,7 +102,8 @@ def as_percent(c: Context, e: Expr) -> SeriesList:
         "name": F.concat(F.lit("asPercent("), F.coalesce(F.col("name"), missing), F.lit(","), F.coalesce(F.col("b_name"), missing), F.lit(")")),
         "start": F.least("start", "b_start"), "stop": F.greatest("stop", "b_stop"), "step": F.coalesce("step", "b_step"),
     })
-    return s.having(frame.reordered(out, F.col("key"), F.col("ord").asc_nulls_first()))
+    lone = frame.order([], F.concat(F.lit("missing/"), "key"))
+    return s.having(frame.reordered(out.withColumn("ord", F.coalesce("ord", lone)), frame.by_text(F.col("key"))))
 
 
 @function("weightedAverage", args="seriesListAvg, seriesListWeight, *nodes", group="Combine")
@@ -119,58 +113,48 @@ def weighted_average(c: Context, e: Expr) -> SeriesList:
     key = node_key(e.integers(2))
 
     def latest(s: SeriesList):
-        df = s.df.withColumn("key", key)
-        return df.join(df.groupBy("key").agg(F.max("ord").alias("ord")), ["key", "ord"])
+        return frame.last_of_each(s.df.withColumn("key", key))
 
-    products = a.having(frame.combined(latest(a), latest(b), "key", OPERATIONS["multiply"], F.col("name")))
+    products = a.having(frame.combined(latest(a).join(frame.others(latest(b), "key"), "key"), OPERATIONS["multiply"], F.col("name")))
     top, bottom = (frame.reduced(s, F.sum(F.col("v")), None, lambda _: F.lit("")) for s in (products, b))
     names = [F.array_join(F.sort_array(F.collect_set("name")), ",") for _ in (a, b)]
     one, other = (s.df.agg(n.alias(k)) for s, n, k in zip((a, b), names, ("_a", "_b"), strict=True))
     tail = ",".join(map(str, e.integers(2)))
-    found = by_one(top, bottom, OPERATIONS["divide"], F.col("name"))
+    found = by_one(top, bottom, OPERATIONS["divide"], F.col("name"), "weightedAverage")
     named = found.df.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(other))
     return found.having(named.withColumn("name", F.concat(F.lit("weightedAverage("), "_a", F.lit(", "), "_b", F.lit(f", {tail})"))))
 
 
-def zipped(a: SeriesList, b: SeriesList, f, name: Column, place: bool) -> SeriesList:
-    """Pairs of whole series given to numpy: f(values, other values, row) to values."""
-    x = a.df.join(frame.positions(a.df), "ord") if place else a.df.withColumn("position", F.lit(1))
-    y = b.df.join(frame.positions(b.df), "ord") if place else b.df.withColumn("position", F.lit(1))
-    y = y.select("position", *[F.col(k).alias(f"b_{k}") for k in ("name", "values", "start", "step")])
-    both = x.join(y if place else F.broadcast(y), "position").withColumn("name", name)
-
-    def run(batches):
-        for batch in batches:
-            batch["values"] = [f(_floats(v), _floats(w), r) for v, w, (_, r) in zip(batch["values"], batch["b_values"], batch.iterrows(), strict=True)]
-            yield batch[frame.COLUMNS]
-
-    return a.having(both.select(*frame.COLUMNS, "b_values", "b_start", "b_step").mapInPandas(run, frame.SCHEMA))
-
-
-def _floats(values) -> np.ndarray:
-    """Values with NaN for absent ones."""
-    return np.array([np.nan if v is None else v for v in values], np.float64)
+def zipped(a: SeriesList, b: SeriesList, f, name: Column, place: bool, what: str) -> SeriesList:
+    """Pairs of whole series (by place, or each of a with the only one of b) given to numpy:
+    f(values, row) to values; the row has b_values, b_start and b_step."""
+    if place:
+        both = frame.placed(a.df).join(frame.others(frame.placed(b.df), "position"), "position")
+    else:
+        both = frame.with_one(a.df, b, what)
+    return in_numpy(a, both, f, name)
 
 
-def nulls(values) -> list:
-    return [None if np.isnan(v) else float(v) for v in values]
+def in_numpy(a: SeriesList, both: DataFrame, f, name: Column) -> SeriesList:
+    return frame.by_numpy(a, f, both.withColumn("name", name).select(*frame.COLUMNS, "b_values", "b_start", "b_step"))
 
 
-def time_lag(v: np.ndarray, w: np.ndarray, row: pd.Series) -> list:
+def time_lag(v: np.ndarray, row: dict) -> np.ndarray:
     """Seconds since the producer had the consumer's value: its last slot, up to the consumer's own,
     reached through values no larger. The search starts over when the consumer's value falls."""
+    w = row["b_values"]
     zero_v, zero_w = np.nan_to_num(v), np.nan_to_num(w)
-    out: list[float | None] = []
+    out = np.full(len(v), np.nan)
     at = -1
     for i in range(len(v)):
         if i and zero_v[i - 1] > zero_v[i]:
             at = -1
         if np.isnan(v[i]):
-            out.append(None)
             continue
         while at < i and at + 1 < len(w) and zero_w[at + 1] <= v[i]:
             at += 1
-        out.append(None if at < 0 or np.isnan(w[at]) else float(row["start"] + i * row["step"] - row["b_start"] - at * row["b_step"]))
+        if at >= 0 and not np.isnan(w[at]):
+            out[i] = row["start"] + i * row["step"] - row["b_start"] - at * row["b_step"]
     return out
 
 
@@ -179,10 +163,8 @@ def time_lag_series(c: Context, e: Expr) -> SeriesList:
     """How long ago a producer's offset was what a consumer's is now."""
     a = c.series(e.args[0])
     if len(e.args) == 1:
-        place = a.df.join(frame.positions(a.df), "ord")
-        x, y = (a.having(place.filter(F.col("position") == k)) for k in (0, 1))
-        return zipped(x, y, time_lag, F.lit(f"timeLagSeries({e.raw})"), False)
-    return zipped(a, c.series(e.args[1]), time_lag, pair_name("timeLagSeries"), e.target.endswith("Lists"))
+        return in_numpy(a, frame.first_two(a), time_lag, F.lit(f"timeLagSeries({e.raw})"))
+    return zipped(a, c.series(e.args[1]), time_lag, pair_name("timeLagSeries"), e.target.endswith("Lists"), e.target)
 
 
 @function("pearson", args="seriesList, seriesList, windowSize", group="Calculate")
@@ -191,26 +173,27 @@ def pearson(c: Context, e: Expr) -> SeriesList:
     out, and a window without variance is absent."""
     size = e.integer(2)
 
-    def f(v: np.ndarray, w: np.ndarray, _) -> list:
-        both = ~np.isnan(v) & ~np.isnan(w)
-        out: list[float | None] = []
-        for i in range(len(v)):
-            m = both[max(0, i - size + 1) : i + 1]
-            x, y = v[max(0, i - size + 1) : i + 1][m], w[max(0, i - size + 1) : i + 1][m]
-            out.append(correlation(x, y) if i >= size - 1 else None)
+    def f(v: np.ndarray, row: dict) -> np.ndarray:
+        w = row["b_values"]
+        n = min(len(v), len(w))
+        both = ~np.isnan(v[:n]) & ~np.isnan(w[:n])
+        out = np.full(len(v), np.nan)
+        for i in range(size - 1, n):
+            m = both[i - size + 1 : i + 1]
+            out[i] = correlation(v[i - size + 1 : i + 1][m], w[i - size + 1 : i + 1][m])
         return out
 
     name = F.concat(F.lit("pearson("), F.col("name"), F.lit(","), F.col("b_name"), F.lit(f",{size})"))
-    found = zipped(c.series(e.args[0]), c.series(e.args[1]), f, name, False)
+    found = zipped(c.series(e.args[0]), c.series(e.args[1]), f, name, False, e.target)
     return found.with_(start=F.lit(c.start).cast("long"), stop=F.lit(c.stop).cast("long"))
 
 
-def correlation(x: np.ndarray, y: np.ndarray) -> float | None:
+def correlation(x: np.ndarray, y: np.ndarray) -> float:
     if len(x) < 1:
-        return None
+        return np.nan
     dx, dy = x - x.mean(), y - y.mean()
     scale = np.sqrt((dx * dx).sum() * (dy * dy).sum())
-    return float((dx * dy).sum() / scale) if scale > 0 else None
+    return (dx * dy).sum() / scale if scale > 0 else np.nan
 
 
 @function("pearsonClosest", args="seriesList, seriesList, n, direction", group="Calculate")
@@ -221,7 +204,7 @@ def pearson_closest(c: Context, e: Expr) -> SeriesList:
     if direction not in ("abs", "pos", "neg"):
         raise ParseError("direction is abs, pos or neg")
     s = c.series(e.args[1])
-    one = c.series(e.args[0]).df.select(F.col("values").alias("r"))
+    one = frame.one(c.series(e.args[0]), "pearsonClosest").select(F.col("b.values").alias("r"))
     df = s.df.crossJoin(F.broadcast(one)).filter(F.size("r") == F.size("values"))
     pairs = F.filter(F.arrays_zip(F.col("values").alias("x"), F.col("r").alias("y")), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
@@ -240,15 +223,14 @@ def pearson_closest(c: Context, e: Expr) -> SeriesList:
     scored = df.withColumn("_score", frame.let(pairs, score)).filter(F.col("_score").isNotNull())
     if direction != "abs":
         scored = scored.filter(F.col("_score") >= 0 if direction == "pos" else F.col("_score") <= 0)
-    by = [F.desc(F.round(F.abs("_score"), 12)), F.col("ord")]
-    return s.having(frame.reordered(scored.orderBy(*by).limit(n), *by))
+    return s.having(frame.first(frame.reordered(scored, frame.by_number(F.round(F.abs("_score"), 12), True)), n))
 
 
-def smirnov_p(x: np.ndarray, y: np.ndarray) -> float | None:
+def smirnov_p(x: np.ndarray, y: np.ndarray) -> float:
     """The p value of the two-sample Kolmogorov-Smirnov test, by the asymptotic series."""
     x, y = np.sort(x[~np.isnan(x)]), np.sort(y[~np.isnan(y)])
     if not len(x) or not len(y):
-        return None
+        return np.nan
     at = np.concatenate([x, y])
     d = np.abs(np.searchsorted(x, at, "right") / len(x) - np.searchsorted(y, at, "right") / len(y)).max()
     n = np.sqrt(len(x) * len(y) / (len(x) + len(y)))
@@ -264,9 +246,10 @@ def ks_test(c: Context, e: Expr) -> SeriesList:
     """The p value that the last so many values of two series are of one distribution."""
     size = e.integer(2)
 
-    def f(v: np.ndarray, w: np.ndarray, _) -> list:
-        return [smirnov_p(v[i - size + 1 : i + 1], w[i - size + 1 : i + 1]) if i >= size else None for i in range(len(v))]
+    def f(v: np.ndarray, row: dict) -> np.ndarray:
+        w = row["b_values"]
+        return np.array([smirnov_p(v[i - size + 1 : i + 1], w[i - size + 1 : i + 1]) if i >= size else np.nan for i in range(len(v))])
 
     name = F.concat(F.lit("kolmogorovSmirnovTest2("), F.col("name"), F.lit(","), F.col("b_name"), F.lit(f",{size})"))
-    found = zipped(c.series(e.args[0]), c.series(e.args[1]), f, name, False)
+    found = zipped(c.series(e.args[0]), c.series(e.args[1]), f, name, False, e.target)
     return found.with_(start=F.lit(c.start).cast("long"), stop=F.lit(c.stop).cast("long"))

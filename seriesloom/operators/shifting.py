@@ -49,7 +49,7 @@ def time_stack(c: Context, e: Expr) -> SeriesList:
 
 
 def made(c: Context, name: str, start: int, stop: int, step: int, values: list[float]) -> SeriesList:
-    return SeriesList(c.spark.createDataFrame([(0, name, start, stop, step, values, None, None)], frame.SCHEMA), frozenset({step}))
+    return SeriesList(c.spark.createDataFrame([(([], name), name, start, stop, step, values, None, None)], frame.SCHEMA), frozenset({step}))
 
 
 @function("constantLine", args="value", group="Special")
@@ -75,12 +75,12 @@ def random_walk(c: Context, e: Expr) -> SeriesList:
     step is ignored."""
     name = e.args[0].text or e.args[0].target
     seed = random.Random(f"{name}/{c.start}/{c.stop}").randrange(1 << 31)
-    points = c.spark.range(c.start, c.stop).select(F.lit(0).cast("long").alias("ord"), (F.col("id") - c.start).cast("int").alias("i"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / (1 << 30) - 0.5).alias("d"))
+    points = c.spark.range(c.start, c.stop).select(F.lit(0).alias("one"), (F.col("id") - c.start).cast("int").alias("i"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / (1 << 30) - 0.5).alias("d"))
     from pyspark.sql import Window
 
-    walk = points.withColumn("v", F.sum("d").over(Window.partitionBy("ord").orderBy("i")) - F.col("d"))
+    walk = points.withColumn("v", F.sum("d").over(Window.partitionBy("one").orderBy("i")) - F.col("d"))
     s = made(c, name, c.start, c.stop, 1, [])
-    return s.having(s.df.drop("values").join(frame.folded(walk, "ord"), "ord"))
+    return s.having(s.df.drop("values").crossJoin(F.broadcast(frame.folded(walk, "one"))))
 
 
 def hinted(s: SeriesList, **hints: str) -> SeriesList:
@@ -110,12 +110,11 @@ def hint(c: Context, e: Expr) -> SeriesList:
 @function("areaBetween", args="seriesList", group="Graph")
 def area_between(c: Context, e: Expr) -> SeriesList:
     """The lower of two series, not drawn, and the distance to the upper one, stacked on it."""
-    s = c.series(e.args[0])
-    place = s.df.join(frame.positions(s.df), "ord")
-    low, high = (place.filter(F.col("position") == k).withColumn("_one", F.lit(1)) for k in (0, 1))
+    s = frame.normalized(c.series(e.args[0]))
+    two = frame.first_two(s)
     name = F.lit(f"areaBetween({e.raw})")
-    gap = s.having(frame.combined(low, F.broadcast(high), "_one", lambda x, y: y - x, name))
-    lower = s.having(low.withColumn("name", name))
+    gap = s.having(frame.combined(two, lambda x, y: y - x, name))
+    lower = s.having(two.withColumn("name", name))
     stack = {"stacked": "true", "stack_name": "__areaBetween"}
     return concatenated([hinted(lower, invisible="true", **stack), hinted(gap, **stack)])
 

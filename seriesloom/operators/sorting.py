@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from seriesloom.functions.parser import Expr, ParseError
 from seriesloom.plans import frame
 from seriesloom.plans.compiler import Context
-from seriesloom.plans.frame import SeriesList, reordered
+from seriesloom.plans.frame import SeriesList, by_number, by_text, first, reordered
 from seriesloom.plans.registry import function
 
 
 
-def top(s: SeriesList, n: int, *by: Column) -> SeriesList:
-    """The first n in an order; a distributed top-n, after which places are given anew."""
-    return s.having(reordered(s.df.orderBy(*by, "ord").limit(n), *by, F.col("ord")))
+def top(s: SeriesList, n: int, *parts: Column) -> SeriesList:
+    """The first n in an order; a distributed top-n."""
+    return s.having(first(reordered(s.df, *parts), n))
 
 
 @function("highestAverage", "highestCurrent", "highestMax", args="seriesList, n=1", group="Filter Series")
@@ -24,17 +24,14 @@ def highest(c: Context, e: Expr) -> SeriesList:
     list of fewer than n series stays as it is."""
     n = e.integer(1, 1, name="n")
     figure = {"highestAverage": frame.mean, "highestCurrent": frame.last, "highestMax": F.array_max}[e.target](F.col("values"))
-    return _best(c.series(e.args[0]), n, F.desc(F.col("_figure")), figure, True)
+    return _best(c.series(e.args[0]), n, figure, True)
 
 
-def _best(s: SeriesList, n: int, order: Column, figure: Column, present: bool) -> SeriesList:
+def _best(s: SeriesList, n: int, figure: Column, highest: bool) -> SeriesList:
     df = frame.counted(s.df).withColumn("_figure", figure)
     few = F.col("_count") < n
-    kept = df.filter(few | F.col("_figure").isNotNull()) if present else df
-    first = F.when(few, F.col("ord")).otherwise(F.lit(0))
-    shown = F.when(~few, F.col("_figure"))
-    by = [first, (F.desc if "DESC" in str(order) else F.asc_nulls_last)(shown), F.col("ord")]
-    return s.having(reordered(kept.orderBy(*by).limit(n), *by))
+    kept = df.filter(few | F.col("_figure").isNotNull()) if highest else df
+    return s.having(first(reordered(kept, by_number(F.when(~few, F.col("_figure")), highest)), n))
 
 
 @function("lowestAverage", "lowestCurrent", args="seriesList, n=1", group="Filter Series")
@@ -42,7 +39,7 @@ def lowest(c: Context, e: Expr) -> SeriesList:
     """The n series with the smallest figure, smallest first."""
     n = e.integer(1, 1, name="n")
     figure = frame.mean(F.col("values")) if e.target == "lowestAverage" else frame.last(F.col("values"))
-    return _best(c.series(e.args[0]), n, F.col("_figure"), figure, False)
+    return _best(c.series(e.args[0]), n, figure, False)
 
 
 @function("mostDeviant", args="seriesList, n", group="Filter Series")
@@ -51,14 +48,14 @@ def most_deviant(c: Context, e: Expr) -> SeriesList:
     swapped = e.args[0].kind == "const"
     n = e.integer(0 if swapped else 1)
     s = c.series(e.args[1 if swapped else 0])
-    return top(s.filter(F.exists(F.col("values"), lambda v: v.isNotNull())), n, F.desc(frame.variance(F.col("values"))))
+    return top(s.filter(F.exists(F.col("values"), lambda v: v.isNotNull())), n, by_number(frame.variance(F.col("values")), True))
 
 
 @function("limit", args="seriesList, n", group="Filter Series")
 def limit(c: Context, e: Expr) -> SeriesList:
     """The first n series."""
     s = c.series(e.args[0])
-    return s.having(s.df.orderBy("ord").limit(e.integer(1, name="n")))
+    return s.having(first(s.df, e.integer(1, name="n")))
 
 
 @function("sortByMaxima", "sortByMinima", "sortByTotal", args="seriesList", group="Sorting")
@@ -68,7 +65,7 @@ def sort_by(c: Context, e: Expr) -> SeriesList:
     low = F.array_min(zeroed)
     figure = {"sortByMaxima": F.array_max(zeroed), "sortByMinima": F.when(low == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), low)), "sortByTotal": frame.total(zeroed)}[e.target]
     s = c.series(e.args[0])
-    return s.having(reordered(s.df, F.desc(figure), F.col("ord")))
+    return s.having(reordered(s.df, by_number(figure, True)))
 
 
 @function("sortByName", args="seriesList, natural=False", group="Sorting")
@@ -79,7 +76,7 @@ def sort_by_name(c: Context, e: Expr) -> SeriesList:
     if e.boolean(1, name="natural"):
         runs = F.regexp_extract_all("name", F.lit(r"(\d+|\D+)"), F.lit(1))
         key = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 10, "0")).otherwise(x)), "")
-    return s.having(reordered(s.df, key, F.col("ord")))
+    return s.having(reordered(s.df, by_text(key)))
 
 
 @function("tukeyAbove", "tukeyBelow", args="seriesList, basis, n, interval=0", group="Filter Series")
@@ -103,10 +100,9 @@ def tukey(c: Context, e: Expr) -> SeriesList:
         return s.filter(F.lit(False))
     # The value at a place, from 0: the first whose share of values up to it reaches (place + 1/2) / count.
     shares = [(int(q * count) + 0.5) / count for q in (0.25, 0.75)]
-    first, third = pooled.agg(*[F.expr(f"percentile_disc({x!r}D) WITHIN GROUP (ORDER BY v)") for x in shares]).first()
+    low, high = pooled.agg(*[F.expr(f"percentile_disc({x!r}D) WITHIN GROUP (ORDER BY v)") for x in shares]).first()
     above = e.target == "tukeyAbove"
-    edge = third + basis * (third - first) if above else first - basis * (third - first)
+    edge = high + basis * (high - low) if above else low - basis * (high - low)
     beyond = F.size(F.filter("_seen", lambda v: v >= edge if above else v <= edge))
     marked = df.withColumn("_beyond", beyond).filter("_beyond > 0")
-    by = [F.desc("_beyond"), F.col("ord")]
-    return s.having(reordered(marked.orderBy(*by).limit(n), *by))
+    return s.having(first(reordered(marked, by_number(F.col("_beyond"), True)), n))

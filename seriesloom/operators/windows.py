@@ -1,11 +1,13 @@
-"""Functions over neighbouring slots. Frames of a fixed number of slots are slices of a series'
-array; what needs all slots before is a window over points, partitioned by series."""
+"""Functions over neighbouring slots. Those that look at a slot or two are array expressions; running
+and moving figures go over each series' array in numpy, in time that grows with the array alone."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seriesloom.functions.parser import Expr, ParseError, number_text
@@ -19,53 +21,84 @@ from seriesloom.plans.registry import function
 YEAR_ONE = 62135596800
 
 
-def scanned(s: SeriesList, f, *keep: str) -> SeriesList:
-    """f makes a value from point columns i and v and those kept, with windows by ``upto``."""
-    slots = frame.points(s.df, *keep)
-    values = frame.folded(slots.withColumn("r", f(slots)), "ord", "r")
-    return s.having(s.df.drop("values").join(values, "ord", "left").withColumn("values", F.coalesce("values", F.array().cast("array<double>"))))
+def last_present(v: np.ndarray) -> np.ndarray:
+    """For each slot the place of the last one up to it that has a value, or -1."""
+    return np.maximum.accumulate(np.where(np.isnan(v), -1, np.arange(len(v)))) if len(v) else np.zeros(0, np.int64)
 
 
-def upto(last: int) -> WindowSpec:
-    """All slots of a series from its first to that ``last`` places from the current one."""
-    return Window.partitionBy("ord").orderBy("i").rowsBetween(Window.unboundedPreceding, last)
-
-
-def _window(c: Context, e: Expr) -> tuple[SeriesList, Column, Column, str]:
-    """The series (fetched a window earlier if that is an interval), the window's size in slots, the
-    number of leading outputs to drop, and the argument as it shows in names."""
+def _window(c: Context, e: Expr) -> tuple[SeriesList, int, bool, str]:
+    """The series (fetched a window earlier if that is an interval), the window's size in slots or in
+    seconds, whether it is in seconds, and the argument as it shows in names."""
     arg = e.args[1] if len(e.args) > 1 else None
     if arg is None or arg.kind not in ("const", "string"):
         raise ParseError(f"{e.target} needs a window")
     if arg.kind == "const":
-        return c.series(e.args[0]), F.lit(int(arg.value)), F.lit(0), str(int(arg.value))
+        return c.series(e.args[0]), int(arg.value), False, str(int(arg.value))
     span = e.interval(1, 1)
-    s = c.shifted(-span, 0).series(e.args[0])
-    size = F.floor(F.lit(span) / F.col("step")).cast("int")
-    return s, size, size, f'"{arg.text}"'
+    return c.shifted(-span, 0).series(e.args[0]), span, True, f'"{arg.text}"'
+
+
+def _moved(c: Context, e: Expr, figure: Callable[[np.ndarray, int], np.ndarray], own: bool) -> SeriesList:
+    """``figure`` of each whole window, that ends before a slot or (own) with it; absent before the
+    first. Windows told as an interval give the slots before the range, which are dropped."""
+    s, given, seconds, text = _window(c, e)
+
+    def move(v: np.ndarray, row: dict) -> np.ndarray:
+        size = given // row["step"] if seconds else given
+        out = np.full(len(v), np.nan)
+        if 0 < size <= len(v):
+            found = figure(v, size)
+            first = size - 1 if own else size
+            out[first:] = found if own else found[:-1]
+        return out[size:] if seconds else out
+
+    return frame.by_numpy(s, move).with_(name=wrapped(e.target, f",{text}"), start=F.lit(c.start).cast("long"), stop=F.lit(c.stop).cast("long"))
+
+
+def window_sums(v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and numbers of the values of all windows, by prefix sums."""
+    there = ~np.isnan(v)
+    count = np.concatenate([[0], np.cumsum(there)])
+    if np.isfinite(v[there]).all():
+        run = np.concatenate([[0.0], np.cumsum(np.where(there, v, 0.0))])
+        return run[size:] - run[:-size], count[size:] - count[:-size]
+    return by_windows(v, size, lambda w: np.nansum(w, 1)), count[size:] - count[:-size]
+
+
+def by_windows(v: np.ndarray, size: int, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """f of blocks of windows, a row each."""
+    rows = np.lib.stride_tricks.sliding_window_view(v, size)
+    block = max(1, (1 << 20) // size)
+    return np.concatenate([f(rows[at : at + block]) for at in range(0, len(rows), block)])
+
 
+def _mean(v: np.ndarray, size: int) -> np.ndarray:
+    sums, count = window_sums(v, size)
+    return np.where(count > 0, sums / np.maximum(count, 1), np.nan)
 
-def _framed(c: Context, s: SeriesList, values: Column, drop: Column, name: Column) -> SeriesList:
-    kept = F.slice(values, drop + 1, F.greatest(F.size(F.col("values")) - drop, F.lit(0)))
-    return s.with_(values=kept, name=name, start=F.lit(c.start).cast("long"), stop=F.lit(c.stop).cast("long"))
+
+def _median(w: np.ndarray) -> np.ndarray:
+    """The medians of rows, NaN where there is nothing."""
+    ordered, n = np.sort(w, 1), (~np.isnan(w)).sum(1)  # NaN sorts last
+    low, high = (np.take_along_axis(ordered, np.maximum(k, 0)[:, None], 1)[:, 0] for k in ((n - 1) // 2, n // 2))
+    return np.where(n > 0, (low + high) / 2, np.nan)
 
 
 @function("movingAverage", "movingMin", "movingMax", "movingSum", args="seriesList, windowSize, xFilesFactor=None", group="Calculate")
 def moving(c: Context, e: Expr) -> SeriesList:
     """A figure of the slots before each; the slot itself is not among them. Absent until there are
     as many; a sum of nothing is 0. The factor is ignored."""
-    s, size, drop, text = _window(c, e)
-    figure = {"movingAverage": frame.mean, "movingSum": frame.total, "movingMin": F.array_min, "movingMax": F.array_max}[e.target]
-    values = F.transform(F.col("values"), lambda v, i: F.when((i >= size) & (size > 0), figure(F.slice(F.col("values"), F.greatest(i - size, F.lit(0)) + 1, size))))
-    return _framed(c, s, values, drop, wrapped(e.target, f",{text}"))
+    figures = {
+        "movingAverage": _mean, "movingSum": lambda v, n: window_sums(v, n)[0],
+        "movingMin": lambda v, n: by_windows(v, n, lambda w: np.fmin.reduce(w, 1)), "movingMax": lambda v, n: by_windows(v, n, lambda w: np.fmax.reduce(w, 1)),
+    }
+    return _moved(c, e, figures[e.target], False)
 
 
 @function("movingMedian", args="seriesList, windowSize, xFilesFactor=None", group="Calculate")
 def moving_median(c: Context, e: Expr) -> SeriesList:
     """The median of so many slots up to and with each."""
-    s, size, drop, text = _window(c, e)
-    values = F.transform(F.col("values"), lambda v, i: F.when((i >= size - 1) & (size > 0), frame.percentile(F.slice(F.col("values"), F.greatest(i - size + 1, F.lit(0)) + 1, size), 50, True)))
-    return _framed(c, s, values, drop, wrapped("movingMedian", f",{text}"))
+    return _moved(c, e, lambda v, n: by_windows(v, n, _median), True)
 
 
 @function("stdev", args="seriesList, points, windowTolerance=0.1", group="Calculate")
@@ -84,7 +117,12 @@ def stdev(c: Context, e: Expr) -> SeriesList:
 @function("derivative", args="seriesList", group="Transform")
 def derivative(c: Context, e: Expr) -> SeriesList:
     """The change since the last value."""
-    return scanned(c.series(e.args[0]), lambda _: F.col("v") - F.last("v", ignorenulls=True).over(upto(-1))).named(wrapped("derivative"))
+
+    def change(v: np.ndarray, _: dict) -> np.ndarray:
+        before = np.concatenate([[-1], last_present(v)[:-1]])[: len(v)].astype(np.int64)
+        return np.where(before >= 0, v - v[np.maximum(before, 0)], np.nan)
+
+    return frame.by_numpy(c.series(e.args[0]), change).named(wrapped("derivative"))
 
 
 def _rate(c: Context, e: Expr, per: Column | None) -> SeriesList:
@@ -125,16 +163,26 @@ def per_second(c: Context, e: Expr) -> SeriesList:
 @function("integral", args="seriesList", group="Transform")
 def integral(c: Context, e: Expr) -> SeriesList:
     """The sum so far."""
-    return scanned(c.series(e.args[0]), lambda _: F.when(F.col("v").isNotNull(), F.sum("v").over(upto(0)))).named(wrapped("integral"))
+    return frame.by_numpy(c.series(e.args[0]), lambda v, _: _so_far(v)).named(wrapped("integral"))
+
+
+def _so_far(v: np.ndarray) -> np.ndarray:
+    absent = np.isnan(v)
+    return np.where(absent, np.nan, np.cumsum(np.where(absent, 0.0, v)))
 
 
 @function("integralByInterval", args="seriesList, intervalString", group="Transform")
 def integral_by_interval(c: Context, e: Expr) -> SeriesList:
     """The sum so far in each interval from the request's start."""
     size = e.interval(1, 1)
-    bucket = F.floor((F.col("start") + F.col("i") * F.col("step") - F.lit(c.start)) / F.lit(size))
-    by = Window.partitionBy("ord", bucket).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return scanned(c.series(e.args[0]), lambda _: F.when(F.col("v").isNotNull(), F.sum("v").over(by)), "start", "step").named(wrapped("integralByInterval", f",'{e.string(1)}'"))
+    begin = c.start
+
+    def sums(v: np.ndarray, row: dict) -> np.ndarray:
+        bucket = (row["start"] + np.arange(len(v)) * row["step"] - begin) // size
+        parts = np.split(v, np.flatnonzero(np.diff(bucket)) + 1)
+        return np.concatenate([_so_far(p) for p in parts])
+
+    return frame.by_numpy(c.series(e.args[0]), sums).named(wrapped("integralByInterval", f",'{e.string(1)}'"))
 
 
 @function("delay", args="seriesList, steps", group="Transform")
@@ -157,9 +205,13 @@ def keep_last_value(c: Context, e: Expr) -> SeriesList:
     """Fills a gap with the value before it, for so many slots at most."""
     given = e.has(1, "limit")
     limit = e.integer(1, -1, name="limit") if given else -1
-    gap = F.col("i") - F.last(F.when(F.col("v").isNotNull(), F.col("i")), ignorenulls=True).over(upto(0))
-    kept = F.last("v", ignorenulls=True).over(upto(0))
-    return scanned(c.series(e.args[0]), lambda _: F.when(gap <= limit, kept) if limit >= 0 else kept).named(wrapped("keepLastValue", f",{limit}" if given else ""))
+
+    def keep(v: np.ndarray, _: dict) -> np.ndarray:
+        last = last_present(v)
+        near = (last >= 0) & (np.arange(len(v)) - last <= limit if limit >= 0 else True)
+        return np.where(near, v[np.maximum(last, 0)], np.nan)
+
+    return frame.by_numpy(c.series(e.args[0]), keep).named(wrapped("keepLastValue", f",{limit}" if given else ""))
 
 
 def bucket_values(values: Column, start: Column, step: Column, grid: Column, stop: Column, size: int, f) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.parser import Expr, ParseError, parse
-from seriesloom.plans.frame import COLUMNS, SCHEMA, SeriesList, points, positions
+from seriesloom.plans.frame import COLUMNS, SCHEMA, SeriesList, placed, points, under
 from seriesloom.plans.registry import FUNCTIONS
 from seriesloom.sources.store import Store
 
@@ -34,7 +34,7 @@ class Context:
         if e.kind == "name":
             return self.store.scan(e.target, self.start, self.stop)
         if e.kind == "const":
-            row = [(0, e.text, self.start, self.stop, max(1, self.stop - self.start), [e.value], None, None)]
+            row = [(([], e.text), e.text, self.start, self.stop, max(1, self.stop - self.start), [e.value], None, None)]
             return SeriesList(self.spark.createDataFrame(row, SCHEMA), frozenset({max(1, self.stop - self.start)}))
         if e.kind != "func":
             raise ParseError(f"{e} is no series")
@@ -55,12 +55,8 @@ class Context:
         return SeriesList(self.spark.createDataFrame([], SCHEMA), frozenset())
 
 
-#: Lists that are put one after another have places this far apart.
-FAR = 1 << 48
-
-
 def concatenated(lists: list[SeriesList]) -> SeriesList:
-    frames = [s.df.select(COLUMNS).withColumn("ord", F.col("ord") + F.lit(k * FAR)) for k, s in enumerate(lists)]
+    frames = [s.df.select(COLUMNS).withColumn("ord", under(k)) for k, s in enumerate(lists)]
     return SeriesList(reduce(DataFrame.unionByName, frames), frozenset().union(*(s.steps for s in lists)))
 
 
@@ -84,7 +80,7 @@ class Engine:
     def render(self, target: str | list[str], start: int, stop: int) -> DataFrame:
         """As ``evaluate``, with places 0, 1, ..., in order."""
         df = self.evaluate(target, start, stop)
-        return df.join(positions(df), "ord").drop("ord").withColumnRenamed("position", "ord").select(COLUMNS).orderBy("ord")
+        return placed(df).drop("ord").withColumnRenamed("position", "ord").select(COLUMNS).orderBy("ord")
 
     def points(self, target: str | list[str], start: int, stop: int) -> DataFrame:
         """name, ts and v of every slot."""

@@ -3,8 +3,12 @@
 A series is a row ``ord, name, start, stop, step, values, agg, graph``: values are regularly sampled
 from ``start`` (epoch seconds) every ``step`` seconds, a null element is an absent point, ``agg`` is
 the consolidation function and ``graph`` a map of drawing hints. Functions of one series are narrow
-array expressions; functions across series go through points (``ord, i, v``), so that Spark's
+array expressions; functions across series go through points (``id, i, v``), so that Spark's
 partial aggregation does the work before the shuffle.
+
+``ord`` is made from data alone, never from how rows lie in partitions: ``key`` holds what the list is
+ordered by, part after part, and ``id`` names the series within its list. Branches of a plan agree on
+the id; only it is joined on. Places 0, 1, ... are counted where they are asked for.
 """
 
 from __future__ import annotations
@@ -13,12 +17,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from math import lcm
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "ord long, name string, start long, stop long, step long, values array<double>, agg string, graph map<string,string>"
-COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+ORD = "struct<key:array<struct<n:double,s:string>>,id:string>"
+SCHEMA = f"ord {ORD}, name string, start long, stop long, step long, values array<double>, agg string, graph map<string,string>"
+COLUMNS = ["ord", "name", "start", "stop", "step", "values", "agg", "graph"]
 
 
 @dataclass(frozen=True)
@@ -128,7 +134,9 @@ def normalized(s: SeriesList) -> SeriesList:
 
 
 def points(df: DataFrame, *keep: str) -> DataFrame:
-    return df.select(*dict.fromkeys(["ord", *keep]), F.posexplode("values").alias("i", "v"))
+    """The columns kept with i and v of each slot. (An outer generator, because the optimiser would
+    evaluate an inner one's array twice: once to see that it is not empty.)"""
+    return df.select(*keep, F.posexplode_outer("values").alias("i", "v")).filter(F.col("i").isNotNull())
 
 
 def folded(points_: DataFrame, key: str, value: str = "v") -> DataFrame:
@@ -138,30 +146,39 @@ def folded(points_: DataFrame, key: str, value: str = "v") -> DataFrame:
 
 def reduced(s: SeriesList, reducer: Column, key: Column | None, name: Callable[[Column], Column]) -> SeriesList:
     """One series for each key (or one for all): ``reducer`` is an aggregate over a slot of the
-    columns v, ord, first (ord of the group's first series) and n (its number of series). Groups
-    keep the order of their first series."""
+    columns v, id (of the series), first (id of the group's first series) and n (its number of
+    series). Groups keep the order of their first series."""
     s = normalized(s)
     df = s.df.withColumn("key", F.lit("") if key is None else key)
     head = df.groupBy("key").agg(
         F.min("ord").alias("ord"), F.min_by("start", "ord").alias("start"), F.min_by("stop", "ord").alias("stop"), F.min_by("step", "ord").alias("step"),
         F.min_by("agg", "ord").alias("agg"), F.count("*").alias("n"),
     )
-    groups = head.select("key", F.col("ord").alias("first"), "n")
-    slots = points(df, "key").join(F.broadcast(groups) if key is None else groups, "key")
+    groups = head.select("key", F.col("ord.id").alias("first"), "n")
+    slots = points(df.withColumn("id", F.col("ord.id")), "key", "id").join(F.broadcast(groups) if key is None else groups, "key")
     values = folded(slots.groupBy("key", "i").agg(reducer.alias("v")), "key")
-    out = head.join(values, "key").withColumn("name", name(F.col("key"))).withColumn("graph", F.lit(None).cast("map<string,string>"))
+    order = F.struct(F.col("ord.key").alias("key"), F.concat(F.lit("of/"), F.coalesce("key", F.lit(""))).alias("id"))
+    out = head.join(values, "key").withColumn("ord", order).withColumn("name", name(F.col("key"))).withColumn("graph", F.lit(None).cast("map<string,string>"))
     return s.having(out)
 
 
-def combined(a: DataFrame, b: DataFrame, on: str, f: Callable[[Column, Column], Column], name: Column) -> DataFrame:
-    """Pairs of series joined on a column, slot by slot; absent where one is. Columns of b are read
-    as b_name, b_values, ...; steps must agree (see ``aligned``)."""
-    other = b.select(on, *[F.col(c).alias(f"b_{c}") for c in COLUMNS if c != on])
-    both = a.join(other, on)
+def combined(both: DataFrame, f: Callable[[Column, Column], Column], name: Column) -> DataFrame:
+    """Rows with a series and, as b_name, b_values, ..., another, slot by slot; absent where one is.
+    Steps must agree (see ``aligned``)."""
     values = F.zip_with("values", "b_values", lambda x, y: F.when(x.isNotNull() & y.isNotNull(), f(x, y)))
     return both.withColumns({"values": values, "name": name, "start": F.least("start", "b_start"), "stop": F.greatest("stop", "b_stop")})
 
 
+def others(df: DataFrame, *on: str) -> DataFrame:
+    """The columns of a series as b_name, b_values, ... beside those to join on."""
+    return df.select(*on, *[F.col(c).alias(f"b_{c}") for c in PLAIN])
+
+
+def with_one(a: DataFrame, b: SeriesList, what: str) -> DataFrame:
+    """Each series of a with the only series of b."""
+    return a.crossJoin(F.broadcast(one(b, what))).select(*COLUMNS, *[F.col(f"b.{c}").alias(f"b_{c}") for c in PLAIN])
+
+
 def aligned(a: SeriesList, b: SeriesList) -> tuple[SeriesList, SeriesList]:
     """Two lists at one step; partial last buckets stay."""
     steps = a.steps | b.steps
@@ -174,24 +191,100 @@ def aligned(a: SeriesList, b: SeriesList) -> tuple[SeriesList, SeriesList]:
     return x.having(x.df, one), y.having(y.df, one)
 
 
-def by_numpy(s: SeriesList, f: Callable[[pd.DataFrame], pd.DataFrame]) -> SeriesList:
-    """f over Arrow batches of whole series, for recurrences and transforms that SQL has not."""
+def by_numpy(s: SeriesList, f: Callable[[np.ndarray, dict], np.ndarray], more: DataFrame | None = None) -> SeriesList:
+    """f of the values of each series (NaN where absent) and its row (start, step and what ``more``
+    has, b_values as values) gives its new values. Series go through numpy in Arrow batches; columns
+    but the values stay Arrow's."""
+    df = s.df if more is None else more
+    extra = [c for c in df.columns if c not in COLUMNS]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield f(batch)[COLUMNS]
+            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            told = {c: floats(column[c]) if c == "b_values" else column[c].to_pylist() for c in ("start", "step", *extra)}
+            made = [f(v, {c: x[k] for c, x in told.items()}) for k, v in enumerate(floats(column["values"]))]
+            flat = np.concatenate([np.zeros(0), *made])
+            values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(flat, pa.float64(), mask=np.isnan(flat)))
+            yield pa.RecordBatch.from_arrays([values if c == "values" else column[c] for c in COLUMNS], names=COLUMNS)
+
+    return s.having(df.select(*COLUMNS, *extra).mapInArrow(run, SCHEMA))
+
+
+def floats(lists: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column, NaN for null elements."""
+    offsets = lists.offsets.to_numpy()
+    flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return np.split(flat, offsets[1:-1] - offsets[0]) if len(lists) else []
+
+
+def by_number(value: Column, descending: bool = False) -> Column:
+    """A part of an order: numbers, null last."""
+    n = value.cast("double")
+    return F.struct(F.coalesce(-n if descending else n, F.lit(float("inf"))).alias("n"), F.lit(None).cast("string").alias("s"))
+
+
+def by_text(value: Column) -> Column:
+    """A part of an order: strings."""
+    return F.struct(F.lit(0.0).alias("n"), value.alias("s"))
+
+
+def order(parts: list[Column], id_: Column) -> Column:
+    return F.struct(F.array(*parts).alias("key"), id_.alias("id"))
+
 
-    return s.having(s.df.mapInPandas(run, SCHEMA))
+def reordered(df: DataFrame, *parts: Column) -> DataFrame:
+    """The order given, then that which was."""
+    return df.withColumn("ord", F.struct(F.concat(F.array(*parts), F.col("ord.key"), F.array(by_text(F.col("ord.id")))).alias("key"), F.col("ord.id").alias("id")))
 
 
-def reordered(df: DataFrame, *by: Column) -> DataFrame:
-    """New places in the order given: rising, not dense, from a distributed sort."""
-    return df.orderBy(*by).withColumn("ord", F.monotonically_increasing_id())
+def under(k: int) -> Column:
+    """The order in list k of several, one after the other."""
+    return F.struct(F.concat(F.array(by_number(F.lit(k))), F.col("ord.key")).alias("key"), F.concat(F.lit(f"{k}/"), F.col("ord.id")).alias("id"))
+
+
+def behind(first: Column, k: Column | int = 0) -> Column:
+    """The order at the place of another series, the k-th there."""
+    k = F.lit(k) if isinstance(k, int) else k
+    return F.struct(F.concat(first["key"], F.array(by_text(first["id"]), by_number(k))).alias("key"), F.concat(first["id"], F.lit("/"), k.cast("string")).alias("id"))
 
 
 def positions(df: DataFrame) -> DataFrame:
-    """ord and position (0, 1, ...). Only the places themselves meet in one task, no values."""
-    return df.select("ord").withColumn("position", F.row_number().over(Window.orderBy("ord")).cast("long") - 1)
+    """id and position (0, 1, ...). Orders and ids, but no values, meet in one task."""
+    return df.select(F.col("ord.id").alias("id"), "ord").withColumn("position", F.row_number().over(Window.orderBy("ord")).cast("long") - 1).drop("ord")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The rows with their position."""
+    return df.withColumn("id", F.col("ord.id")).join(positions(df), "id").drop("id")
+
+
+def first(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a list."""
+    return df.orderBy("ord").limit(n)
+
+
+def last_of_each(df: DataFrame) -> DataFrame:
+    """The last series of each key."""
+    return df.groupBy("key").agg(F.max_by(F.struct(*df.columns), "ord").alias("row")).select("row.*")
+
+
+#: Columns of a series that can be compared, and so sorted in an array.
+PLAIN = [c for c in COLUMNS if c != "graph"]
+
+
+def one(s: SeriesList, what: str) -> DataFrame:
+    """A row with the struct ``b`` of the list's only series, or none if it has none; more are an error."""
+    held = s.df.limit(2).agg(F.collect_list(F.struct(*PLAIN)).alias("b"))
+    many = F.raise_error(F.lit(f"{what} takes a single series here, not a list"))
+    return held.select(F.when(F.size("b") > 1, many).otherwise(F.get("b", F.lit(0))).alias("b")).filter(F.col("b").isNotNull())
+
+
+def first_two(s: SeriesList) -> DataFrame:
+    """A row with the list's first series and, as b_name, b_values, ..., the second; none if it has
+    fewer than two."""
+    held = s.df.select(*PLAIN).orderBy("ord").limit(2).agg(F.sort_array(F.collect_list(F.struct(*PLAIN))).alias("p")).filter(F.size("p") == 2)
+    a, b = (F.get("p", F.lit(k)) for k in (0, 1))
+    return held.select(*[a[c].alias(c) for c in PLAIN], F.lit(None).cast("map<string,string>").alias("graph"), *[b[c].alias(f"b_{c}") for c in PLAIN])
 
 
 def counted(df: DataFrame) -> DataFrame:

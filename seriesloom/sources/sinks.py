@@ -36,7 +36,7 @@ def json_rows(series: DataFrame) -> DataFrame:
 
 def csv_rows(series: DataFrame, zone: str = "UTC") -> DataFrame:
     """ord, i and csv: ``"name",YYYY-MM-DD HH:MM:SS,value`` with nothing for an absent point."""
-    rows = series.select("ord", "name", "start", "step", F.posexplode("values").alias("i", "v"))
+    rows = series.select("ord", "name", "start", "step", F.posexplode_outer("values").alias("i", "v")).filter(F.col("i").isNotNull())
     time = F.date_format(F.from_utc_timestamp(F.timestamp_seconds(_time(F.col("i"))), zone), "yyyy-MM-dd HH:mm:ss")
     return rows.select("ord", "i", F.concat(F.lit('"'), "name", F.lit('",'), time, F.lit(","), F.coalesce(F.col("v").cast("string"), F.lit(""))).alias("csv"))
 

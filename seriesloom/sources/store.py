@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.plans.frame import COLUMNS, SCHEMA, SeriesList, reordered
+from seriesloom.plans.frame import COLUMNS, SCHEMA, SeriesList, by_number, by_text, order
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,8 @@ def matches(name: Column, glob: str) -> Column:
 
 
 def ordering(name: Column, glob: str) -> list[Column]:
-    """The order of a glob's series: node by node, alternatives in braces as they are written."""
+    """The parts of the order of a glob's series: node by node, alternatives in braces as they are
+    written."""
     nodes, depth, node = [], 0, ""
     for c in glob + ".":
         depth += (c == "{") - (c == "}")
@@ -84,9 +85,9 @@ def ordering(name: Column, glob: str) -> list[Column]:
                 rank = F.lit(len(brace[1]))
                 for j, choice in reversed(list(enumerate(brace[1].split(",")))):
                     rank = F.when(part.rlike(glob_regex(before + choice + after)), F.lit(j)).otherwise(rank)
-                keys.append(rank)
-            keys.append(part)
-    return [*keys, name]
+                keys.append(by_number(rank))
+            keys.append(by_text(part))
+    return [*keys, by_text(name)]
 
 
 class Store:
@@ -111,7 +112,7 @@ class Store:
                 df = found[0]
                 for more in found[1:]:
                     df = df.unionByName(more)
-                ranked = reordered(df, *ordering(F.col("name"), glob)) if is_glob(glob) else df.withColumn("ord", F.lit(0).cast("long"))
+                ranked = df.withColumn("ord", order(ordering(F.col("name"), glob), F.col("name")))
                 self._scans[key] = SeriesList(ranked.select(COLUMNS), frozenset(t.step for t in self.tables_for(glob)))
         return self._scans[key]
 
