@@ -7,17 +7,13 @@ and reads them again for the next.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seriesloom.llm import near, packing, quality, substrings
-from seriesloom.llm.anchors import NULL_ID
+from seriesloom.llm.graph import shared_folder, tidy
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +28,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the word spans that an earlier one has. Texts that lose words become
-    the others, joined by a space; the rest stay as they are. ``n_chars`` follows the text."""
-    found = substrings.deduplicated(docs).filter("n_removed > 0").select(F.col("doc").alias("__doc"), F.col("was").alias("__was"), F.col("text").alias("__text")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    rows = docs.join(found, (key == F.col("__doc")) & (F.col("text") == F.col("__was")), "left")
-    text = F.coalesce("__text", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("__text").isNotNull(), F.length("__text").cast("long")).otherwise(F.col("n_chars"))}
-    return rows.select([changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    """All documents, without the word spans that an earlier one has."""
+    return substrings.deduplicated(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,22 +43,14 @@ STAGES = [("quality_rules", quality_stage), ("near_dedup", near_stage), ("substr
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    own = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
-    folder = _folder(spark)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.mode("overwrite").parquet(f"{folder}/{k}_{name}")
+            with tidy(spark):
+                docs.write.mode("overwrite").parquet(f"{folder}/{k}_{name}")
             docs = spark.read.parquet(f"{folder}/{k}_{name}")
     return docs

@@ -11,9 +11,11 @@ windows have equal anchors, so they are found among segments with the anchor in
   the first of a class every window of the segment is repeated;
 * only for anchors with several classes the windows of each class's first segment are compared.
 
-Nothing is gathered by key: hot anchors and classes are pre-aggregated to a row, and joins on them
-can be split by Spark. A null doc_id sorts before all others; null text counts as empty. Rows that
-repeat a doc_id count as places of one document and are each given their own result.
+Segments are held equal by a 64-bit fingerprint of their anchor and another, independent one of their
+content; single windows by two. Nothing is gathered by key: anchors and classes are pre-aggregated to
+a row, and the joins back broadcast the few hot ones (see ``spread_join``). Rows without a doc_id are
+documents of their own before all others; null text counts as empty. Rows that repeat a doc_id count
+as places of one document and are each given their own result.
 """
 
 from __future__ import annotations
@@ -23,14 +25,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seriesloom.llm import text as T
-from seriesloom.llm.graph import bloom, cut, kept_by, passes
+from seriesloom.llm.graph import Tables, bloom, cut, kept_by, passes, spread_join
+
+#: Keys below this stand for rows without a doc_id.
+NO_ID = -(1 << 62)
+
+
+def doc_key(doc_id: Column, text: Column) -> Column:
+    """The doc_id; for a row without one a number of its text below ``NO_ID``, so that such rows are
+    documents of their own, before all others, and equal ones the same."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text).bitwiseAND((1 << 62) - 1) - F.lit(-NO_ID) - F.lit(-NO_ID))
+
+
+def ids(keys: pa.Array) -> pa.Array:
+    """The doc_ids that keys stand for, null for rows without one."""
+    return pa.array([None if k < NO_ID else k for k in keys.to_pylist()], pa.int64())
 
-NULL_ID = -(1 << 63)
-_PLACE = T.U64((1 << 28) - 1)
 
 
 @dataclass
@@ -50,30 +65,50 @@ class Shape:
     k: int
 
 
-def _prefix(values: np.ndarray, seed: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Fingerprints of spans of 64-bit values, from prefix sums."""
-    up, down = T._powers(1 << len(values).bit_length(), seed)
+#: An odd number, whose powers weight the values of a k-gram when anchors are chosen.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _gram_order(values: np.ndarray, k: int) -> np.ndarray:
+    """A number for each k-gram, from prefix sums of weighted values. It only decides which k-gram of a
+    window is its anchor; nothing is held equal by it."""
+    powers = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        p = np.full(len(values) + 1, base, T.U64)
+        p[0] = 1
+        powers.append(np.multiply.accumulate(p, out=p))
+    up, down = powers
     run = np.zeros(len(values) + 1, T.U64)
     np.cumsum(values * up[: len(values)], out=run[1:])
-    return lambda a, b: T.mix((run[b] - run[a]) * down[a])
+    n = len(values) - k + 1
+    return T.mix((run[k:] - run[:n]) * down[:n])
 
 
-def segments(values: np.ndarray, offs: np.ndarray, shape: Shape) -> Segments:
-    """All segments of texts given as one array of 64-bit values with n + 1 offsets."""
-    n, length, k = len(values), shape.length, shape.k
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return Segments(none, none.view(T.U64), none.view(T.U64), none, none)
-    span = _prefix(values, 0)
-    at = np.arange(n - k + 1)
-    grams = span(at, at + k)
-    least = (grams & ~_PLACE) | at.astype(T.U64)
-    wide, have = length - k + 1, 1
+def _content(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """Fingerprints of runs of values."""
+    return T.chained(T.mix(sizes.astype(T.U64) ^ T.U64(T.SEEDS[seed])), sizes, lambda rows, j: values[starts[rows] + j])
+
+
+def least_places(key: np.ndarray, wide: int) -> np.ndarray:
+    """For each window of ``wide`` keys the place of the smallest (by its upper half), the leftmost of
+    equal ones. Texts have fewer than 2^31 values."""
+    least, have = key >> T.U64(32) << T.U64(32) | np.arange(len(key), dtype=T.U64), 1
     while 2 * have <= wide:
         least = np.minimum(least[: len(least) - have], least[have:])
         have *= 2
     if wide > have:
         least = np.minimum(least[: len(least) - (wide - have)], least[wide - have :])
+    return least
+
+
+def segments(values: np.ndarray, offs: np.ndarray, shape: Shape, content: Callable[[np.ndarray, np.ndarray, int], np.ndarray] | None = None) -> Segments:
+    """All segments of texts given as one array of 64-bit values with n + 1 offsets. content: the
+    fingerprints of runs of values from their starts, ends and a seed."""
+    n, length, k = len(values), shape.length, shape.k
+    none = np.zeros(0, np.int64)
+    if n < length:
+        return Segments(none, none.view(T.U64), none.view(T.U64), none, none)
+    least = least_places(_gram_order(values, k), length - k + 1)
     inside = np.zeros(n + 1, np.int32)
     size = np.diff(offs)
     long = size >= length
@@ -82,25 +117,36 @@ def segments(values: np.ndarray, offs: np.ndarray, shape: Shape) -> Segments:
     window = np.flatnonzero(np.cumsum(inside)[: len(least)])
     if not len(window):
         return Segments(none, none.view(T.U64), none.view(T.U64), none, none)
-    place = (least[window] & _PLACE).astype(np.int64)
+    place = (least[window] & T.U64(2**32 - 1)).astype(np.int64)
     new = np.ones(len(window), bool)
     new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(window)))
     start, place = window[first], place[first]
-    content = _prefix(values, 1)(start, start + count - 1 + length)
-    return Segments(np.searchsorted(offs, start, "right") - 1, grams[place], content, start, count)
+    content = content or (lambda a, b, seed: _content(values, a, b - a, seed))
+    return Segments(np.searchsorted(offs, start, "right") - 1, content(place, place + k, 0), content(start, start + count - 1 + length, 1), start, count)
+
+
+#: From the bytes and offsets of a chunk to its segments.
+Reader = Callable[[np.ndarray, np.ndarray], Segments]
 
 
-#: From the bytes and offsets of a chunk to its values, their offsets, and what texts are rebuilt from.
-Reader = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+def _plain(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """doc (the key), text and the struct ``row`` of the columns carried."""
+    text = F.col("text").cast("string")
+    row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in carried])
+    return docs.select(doc_key(F.col("doc_id"), text).alias("doc"), text.alias("text"), row.alias("row"))
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
+def _first_of_each(row: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Places of one entry for each (row, content)."""
+    by = np.lexsort((content, row))
+    new = np.ones(len(by), bool)
+    new[1:] = (row[by][1:] != row[by][:-1]) | (content[by][1:] != content[by][:-1])
+    return by[new]
 
 
-def repeated_segments(docs: DataFrame, read: Reader, shape: Shape) -> DataFrame:
+def repeated_segments(texts: DataFrame, read: Reader, tables: Tables) -> DataFrame:
     """anchor, content and doc of the segments whose anchor occurs more than once."""
     one = pa.schema([("anchor", pa.int64())])
     arrow = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64())])
@@ -108,21 +154,22 @@ def repeated_segments(docs: DataFrame, read: Reader, shape: Shape) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offs in T.chunks(batch, "text"):
-                yield T.batch_of(one, T.signed(segments(*read(data, offs), shape).anchor))
+                yield T.batch_of(one, T.signed(read(data, offs).anchor))
 
-    counted = _plain(docs).select("text").mapInArrow(hashes, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
-    often = cut(counted.filter("n > 1").select("anchor"))
+    counted = texts.select("text").mapInArrow(hashes, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    often = tables.cut(counted.filter("n > 1"))
     likely = bloom(often, "anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in T.chunks(batch, "text"):
-                found = segments(*read(data, offs), shape)
+                found = read(data, offs)
                 anchor = T.signed(found.anchor)
                 at = np.flatnonzero(passes(likely.value, anchor))
+                at = at[_first_of_each(found.row[at], found.content[at])]
                 yield T.batch_of(arrow, anchor[at], T.signed(found.content)[at], part.column(0).to_numpy()[found.row[at]])
 
-    return _plain(docs).mapInArrow(run, "anchor long, content long, doc long").join(often, "anchor")
+    return spread_join(texts.select("doc", "text").mapInArrow(run, "anchor long, content long, doc long"), often, ["anchor"], "n").select("anchor", "content", "doc")
 
 
 @dataclass
@@ -135,41 +182,47 @@ class Found:
     open_: DataFrame
 
 
-def search(docs: DataFrame, read: Reader, shape: Shape) -> Found:
-    shared = cut(repeated_segments(docs, read, shape))
-    classes = shared.groupBy("anchor", "content").agg(F.min("doc").alias("first"))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
-    later = shared.join(classes, ["anchor", "content"]).filter("doc > first").groupBy("doc").agg(F.collect_set("content").alias("later"))
-    open_ = classes.join(several, "anchor").groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("anchor", "content", "classes")).alias("open"))
-    return Found(_plain(docs), cut(later), cut(open_))
+def search(docs: DataFrame, read: Reader, carried: list[str]) -> Found:
+    texts = _plain(docs, carried)
+    tables, more = Tables(), Tables()
+    shared = tables.cut(repeated_segments(texts, read, more))
+    more.drop()
+    classes = tables.cut(shared.groupBy("anchor", "content").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
+    several = tables.cut(classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1"))
+    later = spread_join(shared, classes.filter("n > 1"), ["anchor", "content"], "n").filter("doc > first").groupBy("doc").agg(F.collect_set("content").alias("later"))
+    of = spread_join(classes.select("anchor", "content", "first"), several, ["anchor"], "classes")
+    open_ = of.groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("anchor", "content", "classes")).alias("open"))
+    found = Found(texts, cut(later), cut(open_))
+    tables.drop()
+    return found
 
 
 def opened(found: Found) -> DataFrame:
     """The texts that have open segments, with them. Others are filtered before the shuffle."""
-    return found.texts.mapInArrow(kept_by(bloom(found.open_, "doc")), "doc long, text string").join(found.open_, "doc")
+    return found.texts.select("doc", "text").mapInArrow(kept_by(bloom(found.open_, "doc")), "doc long, text string").join(found.open_, "doc")
 
 
-#: Makes the result's batches from batches of doc, text, later and single.
+#: Makes the result's batches from batches of doc, text, row, later and single.
 Finish = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def finished(found: Found, single: DataFrame, finish: Finish, schema: str) -> DataFrame:
-    """``finish`` over doc, text, later and single (content, place) of all rows. Only texts that may
-    lose something are shuffled to meet what they lose."""
+def finished(found: Found, single: DataFrame, finish: Finish, schema: str | StructType) -> DataFrame:
+    """``finish`` over doc, text, row, later and single (content, place) of all rows. Only texts that
+    may lose something are shuffled to meet what they lose."""
     single = cut(single)
     filter_ = bloom(found.later.select("doc").union(single.select("doc")), "doc")
-    losing = found.texts.mapInArrow(kept_by(filter_), "doc long, text string").join(found.later, "doc", "left").join(single, "doc", "left")
+    losing = found.texts.mapInArrow(kept_by(filter_), found.texts.schema).join(found.later, "doc", "left").join(single, "doc", "left")
     others = kept_by(filter_, False)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def filled() -> Iterator[pa.RecordBatch]:
             for batch in others(batches):
                 none = pa.nulls(batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns, none, none], names=["doc", "text", "later", "single"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, none, none], names=["doc", "text", "row", "later", "single"])
 
         return finish(filled())
 
-    return losing.select("doc", "text", "later", "single").mapInArrow(finish, schema).union(found.texts.mapInArrow(whole, schema))
+    return losing.select("doc", "text", "row", "later", "single").mapInArrow(finish, schema).union(found.texts.mapInArrow(whole, schema))
 
 
 def chosen(found: Segments, row: int, contents: np.ndarray) -> np.ndarray:
@@ -201,8 +254,11 @@ def covered(found: Segments, row: int, later: np.ndarray, windows: tuple[np.ndar
         if own:
             place = start[first[k]] + j
         else:  # every copy of the segment in the row
-            pairs = [(start[x] + jj) for kk, jj in zip(k.tolist(), j.tolist(), strict=True) for x in np.flatnonzero(content == values[kk])]
-            place = np.array(pairs, np.int64)
+            by = np.argsort(content, kind="stable")
+            low = np.searchsorted(content[by], values[k])
+            copies = np.searchsorted(content[by], values[k], "right") - low
+            nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            place = start[by[np.repeat(low, copies) + nth]] + np.repeat(j, copies)
         s.append(place)
         e.append(place + length)
     s, e = np.concatenate(s), np.concatenate(e)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only on one machine, as in tests, a temporary folder
+    stands in where this is unset: executors elsewhere could not see it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folder()
+
+
 @lru_cache(1)
 def _own_folder() -> str:
     folder = tempfile.mkdtemp()
@@ -24,20 +35,41 @@ def _own_folder() -> str:
     return folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where this is unset, as in tests on one machine,
-    a temporary one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Actions within delete their shuffle files when they end."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, was)
+
+
+class Tables:
+    """Tables that are cut for a while and dropped together."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.held.append(cut(df))
+        return self.held[-1]
+
+    def drop(self) -> None:
+        for table in self.held:
+            drop(table)
+        self.held.clear()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written as a table to the shared folder and read again: what follows doesn't depend
-    on the executors that made them."""
+    on the executors that made them. ``drop`` deletes tables that nothing needs any more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what was cut
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +82,22 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The most keys that ``spread_join`` broadcasts.
+HOT = 1024
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """The inner join of rows with ``keyed``, which has one row for each key and tells in ``weight``
+    how many of ``rows`` have it. Keys with more than 1 / HOT of all rows, of which there are HOT at
+    most, are broadcast, so that no task of the shuffle for the others gets more than such a share
+    of a key. ``keyed`` is read several times: a table that ``cut`` wrote."""
+    total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    often = F.col(weight) * HOT > total
+    hot = keyed.filter(often)
+    others = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(others.join(keyed.filter(~often), keys))
+
+
 #: Bits of the filters that are broadcast: 16 MB whatever the data.
 BITS = 1 << 27
 
@@ -60,7 +108,8 @@ def bloom(keys: DataFrame, column: str) -> Broadcast:
     a filter that fills up on very large data costs time and loses nothing."""
     spark = keys.sparkSession
     at = F.pmod(F.col(column), F.lit(BITS))
-    words = keys.select(at.alias("at")).filter("at is not null").groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) AS INT))) AS bits")).toArrow()
+    with tidy(spark):
+        words = keys.select(at.alias("at")).filter("at is not null").groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) AS INT))) AS bits")).toArrow()
     bitmap = np.zeros(BITS // 64, np.int64)
     if words.num_rows:
         bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()

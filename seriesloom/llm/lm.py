@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm import text as T
-from seriesloom.llm.anchors import NULL_ID
+from seriesloom.llm.anchors import NO_ID, doc_key
 from seriesloom.llm.graph import cut
 
 ORDER = 5
@@ -277,7 +277,7 @@ def common_codes(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of each row."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")) % 10
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"), (fold == 0).alias("held_out"))
+    rows = docs.select(doc_key(F.col("doc_id"), F.col("text").cast("string")).alias("doc"), F.col("text").cast("string").alias("text"), (fold == 0).alias("held_out"))
     counts = cut(training_counts(rows))
     words = counts.filter(F.col("kind") == WORDS).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -363,7 +363,7 @@ def scores(docs: DataFrame) -> DataFrame:
     out = out.withColumn("score", F.col("score") + F.coalesce(F.col("more_score") / F.col("copies"), F.lit(0.0)))
     scale = log10(total + 0.1 * (distinct + 1))
     return out.select(
-        F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"),
+        F.when(F.col("doc") >= NO_ID, F.col("doc")).alias("doc_id"),
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce((F.col("more_known") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),

@@ -20,8 +20,11 @@ of ``threshold`` per cent of the union or more are linked: 85 in ``near_duplicat
 * The estimate from the union's sketch drops pairs far below the threshold; the exact intersection
   of the full sets, made anew from the texts of the documents concerned, decides.
 
-Null text counts as empty: such documents are linked with nothing. Rows that repeat a doc_id keep a
-row each; a null doc_id is no component's id and such rows are kept. Copies are never paired.
+Shingles are held equal by a 64-bit fingerprint (of two sets of 10,000, two different shingles are
+taken for one with a probability of 5e-12), sets by 128 bits. Null text counts as empty: such
+documents are linked with nothing. Rows that repeat a doc_id get a row each. A row without a doc_id is a document named by its
+text: it is no component's id, and stays only where it is the first of a component without ids.
+Copies are never paired.
 """
 
 from __future__ import annotations
@@ -29,17 +32,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import comb, log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import text as T
-from seriesloom.llm.anchors import NULL_ID
-from seriesloom.llm.graph import bloom, components, cut, kept_by
+from seriesloom.llm.anchors import NO_ID, doc_key
+from seriesloom.llm.graph import Tables, bloom, components, cut, drop, kept_by, spread_join
 
 SHINGLE = 5
 #: Per cent of the union: what ``near_duplicates`` links, and what the pipeline's stage does.
@@ -94,69 +97,101 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[list[int | None], list[int | None]]:
+    """Two independent digests of each set, null if it is empty."""
+    raw = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+    return tuple([None if r is None else int.from_bytes(r[at : at + 8], "little", signed=True) for r in raw] for at in (0, 8))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(doc_key(F.col("doc_id"), text).alias("doc"), text.alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (null if empty) and sketch of each row of ``docs``."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    """doc (the key), print (of the text), n_shingles, digest and check (null if empty) and sketch of
+    each row of ``docs``."""
+    arrow = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.int64()), ("check", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch):
-                n = [len(s) for s in sets]
-                digest = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-                yield T.batch_of(arrow, part.column(0).cast(pa.int64()), n, digest, _lists([s[:K] for s in sets]).cast(arrow.field(3).type))
+                yield T.batch_of(arrow, part.column("doc"), part.column("print"), [len(s) for s in sets], *_digests(sets), _lists([s[:K] for s in sets]).cast(arrow.field(5).type))
+
+    return _keyed(docs).withColumn("print", F.xxhash64("text")).mapInArrow(run, "doc long, print long, n_shingles long, digest long, check long, sketch array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest long, sketch array<long>")
+
+def set_classes(rows: DataFrame) -> DataFrame:
+    """node, digest, check, doc, n, sketch and rows of the different sets of ``rows``; doc is the smallest
+    with an id that has the set, rows how many have it. Sets are equal if both digests are; the node is the first, and another number
+    for the very few classes that share it."""
+    made = rows.filter("n_shingles > 0").groupBy("digest", "check").agg(F.coalesce(F.min(F.when(F.col("doc") >= NO_ID, F.col("doc"))), F.min("doc")).alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
+    classes = cut(made)
+    shared = cut(classes.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest", F.lit(True).alias("shared")))
+    if shared.isEmpty():
+        return classes.withColumn("node", F.col("digest"))
+    return cut(classes.join(shared, "digest", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("digest", "check")).otherwise(F.col("digest"))).drop("shared"))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and set of the classes in ``wanted`` (doc_id, node), from the text of the document named."""
+    """node and set of the classes in ``wanted`` (doc, node, digest, check), from the text of the document named."""
     arrow = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch):
-                digest = np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], np.int64)
-                right = np.flatnonzero(digest == part.column(0).to_numpy())  # rows that repeat a doc_id may differ
-                yield T.batch_of(arrow, digest[right], _lists([sets[k] for k in right]).cast(arrow.field(1).type))
+                told = zip(part.column("digest").to_pylist(), part.column("check").to_pylist(), strict=True)
+                right = [k for k, (want, got) in enumerate(zip(told, zip(*_digests(sets), strict=True), strict=True)) if want == got]  # rows that repeat a doc_id may differ
+                yield T.batch_of(arrow, part.column("node").take(pa.array(right, pa.int64())), _lists([sets[k] for k in right]).cast(arrow.field(1).type))
 
-    likely = kept_by(bloom(wanted, "doc_id"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string")).mapInArrow(likely, "doc_id long, text string").join(wanted, "doc_id")
-    return rows.select("node", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    likely = kept_by(bloom(wanted, "doc"))
+    rows = _keyed(docs).mapInArrow(likely, "doc long, text string").join(wanted, "doc")
+    return rows.select("node", "digest", "check", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
 def _long_enough(a: Column, b: Column, threshold: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
 
-def inverted(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """value, node, n and place of the class among the pivots of the value's list, for lists of two or more."""
+def inverted(classes: DataFrame, threshold: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The lists of values that are worth meeting in: value, node and n; and value, pivot, np and df
+    (the list's length) of lists of two or more."""
     posted = classes.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    often = posted.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = posted.join(often, "value")
+    own = Tables()
+    often = own.cut(posted.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
+    shared = spread_join(posted, often, ["value"], "df")
     by_node = shared.groupBy("node").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sum("df").alias("common"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
     need = F.when(F.col("n") <= K, F.element_at(F.array(*[F.lit(least_shared(n, threshold)) for n in range(1, K + 1)]), F.least("n", F.lit(K)).cast("int"))).otherwise(F.lit(least_overlap(threshold)))
     first = F.greatest(F.lit(0), F.col("k") - need + 1 - (F.col("k") - F.size("values")))  # values of one document come first
-    front = by_node.select("node", "n", "common", F.explode(F.slice("values", 1, first.cast("int"))).alias("v")).select("node", "n", "common", "v.value")
-    return front.withColumn("place", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("common"), "node"))).drop("common")
+    front = tables.cut(by_node.select("node", "n", "common", F.explode(F.slice("values", 1, first.cast("int"))).alias("v")).select("node", "n", "common", "v.value"))
+    own.drop()
+    best = F.min(F.struct((-F.col("common")).alias("common"), "node", "n"))  # the most common values
+    pivots = tables.cut(front.groupBy("value").agg(best.alias("p"), F.count("*").alias("df")).select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("np"), "df"))
+    return front.select("value", "node", "n"), pivots
 
 
-#: Shingles in a block of a family that is compared whole.
-BLOCK = 1 << 18
+#: Shingles and sets in a block of a family that is compared whole, about.
+BLOCK, BLOCK_SETS = 1 << 18, 1 << 10
 
 
 def links(docs: DataFrame, classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The components (node, component) of classes (node, doc_id, n, sketch) that are linked."""
-    lists = cut(inverted(classes, threshold))
-    sets = cut(_full_sets(docs, cut(classes.join(lists.select("node").distinct(), "node", "left_semi").select("doc_id", "node"))))
-    pivots = lists.filter("place = 1").select("value", F.col("node").alias("pivot"), F.col("n").alias("np"))
-    families = cut(lists.join(pivots, "value").select("pivot", "np", "node", "n").distinct())
+    """The components (node, component) of classes (node, digest, check, doc, n, sketch) that are linked."""
+    tables, own = Tables(), Tables()
+    lists, pivots = inverted(classes, threshold, own)
+    pivots = pivots.filter("df > 1")
+    families = tables.cut(spread_join(lists, pivots, ["value"], "df").select("pivot", "np", "node", "n").distinct())
+    own.drop()
+    sets = tables.cut(_full_sets(docs, tables.cut(classes.join(families.select("node").distinct(), "node", "left_semi").select("doc", "node", "digest", "check"))))
     pairs = families.filter((F.col("pivot") != F.col("node")) & _long_enough(F.col("np"), F.col("n"), threshold)).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    edges = cut(verified(classes, sets, pairs, threshold))
+    edges = tables.cut(verified(classes, sets, pairs, threshold))
     label = components(edges)
     marked = families.select("pivot", "node", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).filter((F.col("x") != F.col("y")) & (F.col("k") > 2)).select("pivot")
-    found = cut(compared(marked.join(mixed, "pivot", "left_semi"), sets, threshold))
-    return components(edges.union(found))
+    found = tables.cut(compared(marked.join(mixed, "pivot", "left_semi"), sets, threshold, own))
+    own.drop()
+    out = components(edges.union(found))
+    tables.drop()
+    return out
 
 
 def verified(classes: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -192,17 +227,21 @@ def linked_pairs(sets: list[np.ndarray], threshold: int = THRESHOLD) -> tuple[np
     return np.nonzero(np.triu(near, 1))
 
 
-def compared(members: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links (a, b) that join the components in families (pivot, node, n, component), by blocks."""
-    from pyspark.sql import Window
+def compared(members: DataFrame, sets: DataFrame, threshold: int, tables: Tables) -> DataFrame:
+    """Links (a, b) that join the components in families (pivot, node, n, component), by blocks.
 
-    before = F.sum("n").over(Window.partitionBy("pivot").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1))
-    placed = cut(members.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / BLOCK).cast("int")))
-    ends = placed.groupBy("pivot", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = ends.select("pivot", F.col("block").alias("i"), F.col("high").alias("h")).join(ends.select("pivot", F.col("block").alias("j"), F.col("low").alias("l")), "pivot")
+    Members of a family are dealt by size, in steps of 4 per cent, and members of like size to as many
+    blocks as they need, by a hash; blocks meet where their sizes allow a link."""
+    placed = tables.cut(members.withColumn("like", F.floor(F.log2("n") / F.lit(log2(1.04))).cast("int")))
+    sizes = placed.groupBy("pivot", "like").agg(F.sum("n").alias("all"), F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = tables.cut(sizes.withColumn("blocks", F.ceil(F.greatest(F.col("all") / BLOCK, F.col("k") / BLOCK_SETS)).cast("int")))
+    placed = spread_join(placed, sizes.select("pivot", "like", "blocks", "k"), ["pivot", "like"], "k").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    ends = sizes.select("pivot", "like", "low", "high", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    own = ends.select("pivot", F.struct("like", "part").alias("i"), F.col("high").alias("h"))
+    met = own.join(ends.select("pivot", F.struct("like", "part").alias("j"), F.col("low").alias("l")), "pivot")
     met = met.filter((F.col("i") <= F.col("j")) & (F.col("h") * 100 >= F.col("l") * threshold)).select("pivot", "i", "j")
-    sides = met.select("pivot", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = placed.join(sides, ["pivot", "block"]).join(sets, "node").select("pivot", "i", "j", "node", "component", "set")
+    sides = met.select("pivot", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).select("pivot", "i", "j", "block.*")
+    rows = placed.join(sides, ["pivot", "like", "part"]).join(sets, "node").select("pivot", "i", "j", "node", "component", "set")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         component = group["component"].to_numpy()
@@ -229,20 +268,40 @@ def compared(members: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
     return rows.groupBy("pivot", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def _decided(docs: DataFrame, threshold: int) -> DataFrame:
+    """doc, print, n_shingles, component_id and first (the key of the document that stays) of each row."""
+    whole = cut(sketches(docs))
+    classes = set_classes(whole)
+    rows = cut(whole.drop("sketch"))
+    drop(whole)
+    found = links(docs, classes, threshold)
+    of = classes.select("node", "digest", "check", "doc", "rows").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    has_id = F.col("doc") >= NO_ID
+    smallest = of.groupBy("component").agg(F.min(F.when(has_id, F.col("doc"))).alias("component_id"), F.min("doc").alias("any"))
+    smallest = smallest.select("component", "component_id", F.coalesce("component_id", "any").alias("first"))
+    class_of = cut(of.select("digest", "check", "component", "rows").join(smallest, "component").select("digest", "check", "component_id", "first", "rows"))
+    drop(classes)
+    columns = ["doc", "print", "n_shingles", "component_id", "first"]
+    linked = spread_join(rows.filter("n_shingles > 0"), class_of, ["digest", "check"], "rows").select(columns)
+    empty = rows.filter("n_shingles = 0").select("doc", "print", "n_shingles", F.when(has_id, F.col("doc")).alias("component_id"), F.col("doc").alias("first"))
+    return linked.unionByName(empty)
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
-    rows = cut(sketches(docs))
-    classes = cut(rows.filter("n_shingles > 0").groupBy(F.col("digest").alias("node")).agg(F.coalesce(F.min("doc_id"), F.lit(NULL_ID)).alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    found = links(docs, classes, threshold)
-    of = classes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = of.groupBy("component").agg(F.min(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).alias("component_id"))
-    class_of = of.select(F.col("node").alias("digest"), "component").join(smallest, "component").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(class_of, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = _decided(docs, threshold)
+    return out.select(F.when(F.col("doc") >= NO_ID, F.col("doc")).alias("doc_id"), "n_shingles", "component_id", (F.col("doc") == F.col("first")).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, threshold: int = PIPELINE_THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each component; rows that repeat a
-    doc_id stay or go together."""
-    gone = near_duplicates(docs, threshold).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` without all but one document of each component: of rows that repeat a
+    doc_id each is decided by its own text, and of rows that repeat both one stays."""
+    decided = cut(_decided(docs, threshold).select("doc", "print", "first"))
+    gone = decided.filter(F.col("doc") != F.col("first")).select("doc", "print").distinct()
+    twice = cut(decided.groupBy("doc", "print").agg(F.count("*").alias("k")).filter("k > 1").select("doc", "print"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key(F.col("doc_id"), text).alias("doc"), F.xxhash64(text).alias("print"))
+    rows = rows.join(gone, ["doc", "print"], "left_anti")
+    if not twice.isEmpty():
+        rows = rows.join(twice, ["doc", "print"], "left_anti").unionByName(rows.join(twice, ["doc", "print"], "left_semi").dropDuplicates(["doc", "print"]))
+    return rows.select("row.*")

@@ -24,17 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from seriesloom.llm import anchors as A
 from seriesloom.llm import text as T
-from seriesloom.llm.graph import cut
+from seriesloom.llm.graph import Tables, drop, spread_join
 
 SHAPE = A.Shape(13, 4)
 
 
-def read(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def read(data: np.ndarray, offs: np.ndarray) -> A.Segments:
     starts, ends, first = T.words(data, offs)
-    return T.span_hash(data, starts, ends), first
+    return A.segments(T.span_hash(data, starts, ends), first, SHAPE)
 
 
 def _edges(found: A.Found) -> DataFrame:
@@ -60,13 +61,18 @@ def _edges(found: A.Found) -> DataFrame:
     return A.opened(found).mapInArrow(run, "e1 long, e2 long, doc long, content long, place int")
 
 
-def removed(docs: DataFrame, finish: A.Finish, schema: str) -> DataFrame:
-    """``finish`` over doc, text, later (contents of whole paths) and single (content, place)."""
-    found = A.search(docs, read, SHAPE)
-    edges = cut(_edges(found))
-    first = edges.groupBy("e1", "e2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    single = edges.join(first, ["e1", "e2"]).filter("doc > first").groupBy("doc").agg(F.collect_set(F.struct("content", "place")).alias("single"))
-    return A.finished(found, single, finish, schema)
+def removed(docs: DataFrame, finish: A.Finish, schema: str | StructType, carried: list[str] | None = None) -> DataFrame:
+    """``finish`` over doc, text, row (the columns carried), later (contents of whole paths) and single
+    (content, place)."""
+    found = A.search(docs, read, carried or [])
+    tables = Tables()
+    edges = tables.cut(_edges(found))
+    drop(found.open_)
+    first = tables.cut(edges.groupBy("e1", "e2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last"))
+    single = spread_join(edges, first, ["e1", "e2"], "n").filter("doc > first").groupBy("doc").agg(F.collect_set(F.struct("content", "place")).alias("single"))
+    out = A.finished(found, single, finish, schema)
+    tables.drop()
+    return out
 
 
 def _kept(part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -97,20 +103,27 @@ def digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, data, offs in T.chunks(batch, "text"):
                 rows = [(n, gone, hashlib.sha256(words).hexdigest()) for n, gone, words in _kept(part, data, offs)]
-                ids = pa.array([None if x == A.NULL_ID else x for x in part.column("doc").to_pylist()], pa.int64())
-                yield T.batch_of(arrow, ids, *zip(*rows, strict=True))
+                yield T.batch_of(arrow, A.ids(part.column("doc")), *zip(*rows, strict=True))
 
     return removed(docs, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc, text (the words kept) and n_removed for each row of ``docs``; a null doc_id is NULL_ID."""
-    arrow = pa.schema([("doc", pa.int64()), ("was", pa.string()), ("text", pa.string()), ("n_removed", pa.int64())])
+    """The rows of ``docs`` without the word spans that an earlier document has: texts that lose words
+    become the others, joined by a space; the rest stay as they are. A column n_chars follows the text."""
+    others = [c for c in docs.columns if c.lower() != "text"]
+    text = next(c for c in docs.columns if c.lower() == "text")
+    schema = StructType([StructField("row", StructType([StructField("_", BooleanType()), *[docs.schema[c] for c in others]])), StructField("text", StringType()), StructField("n_removed", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in T.chunks(batch, "text"):
-                rows = list(_kept(part, data, offs))
-                yield T.batch_of(arrow, part.column("doc"), part.column("text").cast(pa.string()), [w.decode() for _, _, w in rows], [gone for _, gone, _ in rows])
-
-    return removed(docs, run, "doc long, was string, text string, n_removed long")
+                rows = [(w.decode() if gone else old, gone) for old, (_, gone, w) in zip(part.column("text").to_pylist(), _kept(part, data, offs), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["row", "text", "n_removed"])
+
+    made = removed(docs, run, schema, others)
+    columns = {c: F.col(f"row.`{c}`") for c in others} | {text: F.col("text").cast(docs.schema[text].dataType)}
+    for c in others:
+        if c.lower() == "n_chars":
+            columns[c] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(columns[c]).cast(docs.schema[c].dataType)
+    return made.select([columns[c].alias(c) for c in docs.columns])

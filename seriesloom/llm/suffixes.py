@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import anchors as A
 from seriesloom.llm import text as T
+from seriesloom.llm.graph import drop
 
 SHAPE = A.Shape(100, 20)
 #: Segments of one anchor from which its windows are dealt singly, and windows in a share of them.
@@ -32,8 +33,12 @@ HOT_SEGMENTS, SHARE = 50_000, 40_000
 BATCH = 1 << 19
 
 
-def read(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return T._weights(0)[data], offs
+#: What bytes weigh when anchors are chosen.
+WEIGHTS = T.mix(np.arange(1, 257, dtype=T.U64))
+
+
+def read(data: np.ndarray, offs: np.ndarray) -> A.Segments:
+    return A.segments(WEIGHTS[data], offs, SHAPE, lambda a, b, seed: T.span_hash(data, a, b, seed))
 
 
 def previous_factors(text: np.ndarray, starts: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -72,7 +77,7 @@ def _fetched(found: A.Found) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in T.chunks(batch, "text"):
-                segments = A.segments(*read(data, offs), SHAPE)
+                segments = read(data, offs)
                 rows: list[tuple] = []
                 for row, (doc, open_) in enumerate(zip(part.column("doc").to_pylist(), part.column("open"), strict=True)):
                     fields = open_.values
@@ -151,7 +156,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in T.chunks(batch, "text"):
-                segments = A.segments(*read(data, offs), SHAPE)
+                segments = read(data, offs)
                 rows = []
                 for row, (later, single) in enumerate(zip(part.column("later"), part.column("single"), strict=True)):
                     a, b = int(offs[row]), int(offs[row + 1])
@@ -165,9 +170,10 @@ def digests(docs: DataFrame) -> DataFrame:
                         at = y
                     digest.update(raw[at:])
                     rows.append((b - a, int((e - s).sum()), len(s), digest.hexdigest()))
-                ids = pa.array([None if x == A.NULL_ID else x for x in part.column("doc").to_pylist()], pa.int64())
-                yield T.batch_of(arrow, ids, *zip(*rows, strict=True))
+                yield T.batch_of(arrow, A.ids(part.column("doc")), *zip(*rows, strict=True))
 
-    found = A.search(docs, read, SHAPE)
+    found = A.search(docs, read, [])
     single = _later_windows(_fetched(found)).groupBy("doc").agg(F.collect_set(F.struct("content", "place")).alias("single"))
-    return A.finished(found, single, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = A.finished(found, single, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    drop(found.open_)
+    return out

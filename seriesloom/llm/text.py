@@ -2,14 +2,15 @@
 
 Arrow batches are cut into chunks of bounded byte size, and every chunk is handled as one flat
 UTF-8 buffer with document offsets, so that numpy sees long arrays however short the texts are.
-Fingerprints are 64-bit polynomial hashes over randomly weighted bytes; they are equal for equal
-input on every executor because the weights come from a fixed seed.
+Fingerprints are 64-bit hashes that take their input value after value through a bijective
+finaliser; they are equal for equal input on every executor because they start from fixed seeds, and
+those of two seeds are independent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -124,36 +125,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-@lru_cache(4)
-def _weights(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Where the fingerprints of a seed start from.
+SEEDS = {0: 0x9E3779B97F4A7C15, 1: 0xD1342543DE82EF95}
+#: Spans with more bytes are hashed by BLAKE2b.
+LONG_SPAN = 256
 
 
-_BASE = {0: 0x9E3779B97F4A7C15, 1: 0xD1342543DE82EF95}
-
-
-_grown: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``size`` powers of the base and of its inverse; one table a seed, grown on demand."""
-    if seed not in _grown or len(_grown[seed][0]) < size:
-        base, out = _BASE[seed], []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p, out=p))
-        _grown[seed] = out[0], out[1]
-    return _grown[seed]
+def chained(h: np.ndarray, count: np.ndarray, value: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """h after ``count`` values each. value(rows, j): the values j of some rows."""
+    order = np.argsort(-count, kind="stable")
+    more = count[order]
+    for j in range(int(more[0]) if len(more) else 0):
+        rows = order[: len(more) - int(np.searchsorted(more[::-1], j, "right"))]
+        h[rows] = mix(h[rows] ^ value(rows, j))
+    return h
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit fingerprints of the byte spans [start, end)."""
-    size = 1 << int(len(data)).bit_length()
-    up, down = _powers(size, seed)
-    run = np.zeros(len(data) + 1, U64)
-    np.cumsum(_weights(seed)[data] * up[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts])
+    """64-bit fingerprints of the byte spans [start, end): eight bytes after eight go through the
+    finaliser, which no sum of bytes undoes."""
+    size = (ends - starts).astype(np.int64)
+    h = mix(size.astype(U64) ^ U64(SEEDS[seed]))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    tail = U64(2**64 - 1) >> (U64(8) * (U64(8) - np.arange(9, dtype=U64)).clip(0, 7).astype(U64))
+    short = np.flatnonzero(size <= LONG_SPAN)
+    first, left = starts[short], size[short]
+    h[short] = chained(h[short], (left + 7) // 8, lambda rows, j: eight[first[rows] + 8 * j] & tail[np.minimum(left[rows] - 8 * j, 8)])
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
+    return h
 
 
 def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -161,11 +162,11 @@ def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    m = U64(_BASE[seed] | 1)
-    out = h[:n].copy()
-    for j in range(1, k):
-        out *= m
-        out += h[j : n + j]
+    out = np.full(n, SEEDS[seed] + k, U64)
+    for j in range(k):
+        out ^= h[j : n + j]
+        out *= U64(0xBF58476D1CE4E5B9)
+        out ^= out >> U64(29)
     return mix(out)
 
 

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from seriesloom.llm import bpe, html_pages, lm, media, near, packing, quality, substrings, suffixes, token_counts
+from seriesloom.llm import bpe, graph, html_pages, lm, media, near, packing, quality, substrings, suffixes, token_counts
 from seriesloom.llm import queries as Q
 
 P = pytest.importorskip("public_tokenizers")
@@ -200,6 +200,63 @@ def test_near_duplicates_nested_around_the_sketch(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == near_brute(rows)
 
 
+def thue_morse():
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    """Two words that polynomial hashes modulo 2^64 hold equal for every base."""
+    start = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(k + 1, f"{start} {w}") for k, w in enumerate(thue_morse())], "doc_id long, text string")
+    assert {r.n_removed for r in substrings.digests(docs).collect()} == {0}
+    assert {r.component_id for r in near.near_duplicates(docs).collect()} == {1, 2}
+
+
+def test_no_link_is_lost_from_sketches(spark):
+    """Pairs at 0.85 to 0.90 with sets of 50 to 5,000 shingles, every one of them."""
+    rows, rng = [], np.random.default_rng(11)
+    for size in (50, 80, 200, 1000, 5000):
+        for _ in range(24):
+            k = len(rows)
+            base = words(3000 + k, size + 4, 10**6).split()
+            m = int(size * rng.uniform(0.05, 0.081))  # other words at the end: m shingles less and m more
+            rows += [(k, " ".join(base)), (k + 1, " ".join([*base[:-m], *words(9000 + k, m, 10**6).split()]))]
+    want = {(i, c) for i, _, c in near_brute_pairs(rows)}
+    assert len({c for _, c in want}) < len(rows) * 0.6
+    assert {(r.doc_id, r.component_id) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} == want
+
+
+def near_brute_pairs(rows):
+    """As ``near_brute`` where only neighbours can be linked."""
+    out = []
+    for x, y in zip(rows[::2], rows[1::2], strict=True):
+        out += sorted(near_brute([x, y]))
+    return out
+
+
+def test_kept_documents_decide_rows_by_their_text(spark):
+    base, other = words(21, 60, 10**6), words(22, 60, 10**6)
+    rows = [(1, base), (2, base), (2, other), (3, other + " more"), (3, other + " more"), (4, ""), (4, None), (None, words(23, 40)), (None, words(23, 40)), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in near.kept_documents(docs).collect()), key=repr)
+    assert got == sorted([(1, base), (2, other), (4, ""), (4, None), (None, words(23, 40))], key=repr)
+
+
+def test_hot_keys_join_as_others(spark):
+    rows = spark.createDataFrame([(k % 5 if k % 3 else 0, k) for k in range(300)], "k long, v long")
+    keyed = graph.cut(rows.filter("k < 4").groupBy("k").count())
+    want = sorted(map(tuple, rows.join(keyed, "k").collect()))
+    for hot in (1, 3, 1024):
+        graph.HOT, was = hot, graph.HOT
+        try:
+            assert sorted(map(tuple, graph.spread_join(rows, keyed, ["k"], "count").collect())) == want
+        finally:
+            graph.HOT = was
+
+
 def test_linked_pairs_are_exact():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, 38)) for _ in range(60)]
