@@ -1,15 +1,11 @@
 """Token counts: lengths of byte-level BPE encodings; the ids never leave the Arrow function.
 
-The counts are those of the tokenizers library for the JSON vocabulary. They are computed with the
-rank file of the same vocabulary, whose engine keeps no offsets or strings for each token; tests
-hold the two equal. The end-of-text string inside a text is its special token, as is the JSON
-file's default.
-
-Texts longer than ``SPLIT`` are cut at safe boundaries: before a single space between two
-characters that are no white space. The vocabulary's pattern starts a pre-token there whatever
-stands around it, so the lengths of the parts add up to that of the whole. Parts of many texts are
-gathered to batches of about equal bytes, so that memory depends on neither the number of rows in
-an Arrow batch nor the longest text.
+Texts go to the tokenizers library's batch call in batches of about ``BATCH`` bytes, whatever the
+number of rows in an Arrow batch. Texts longer than ``SPLIT`` are cut at safe boundaries, where the
+vocabulary's pattern ends a pre-token whatever stands around it, so that the lengths of the parts add
+up to that of the whole: after the last of letters or of digits, and before a single space between
+two characters that are no white space; never inside a special token. A run without such a place
+(white space, signs or letters alone) is one pre-token, which the library takes whole.
 
 Null text counts as empty and has no tokens. Repeated rows give repeated results. One narrow pass,
 no shuffle.
@@ -17,72 +13,75 @@ no shuffle.
 
 from __future__ import annotations
 
-import base64
-import re
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPLIT = 1 << 16
 BATCH = 1 << 20
-SAFE = re.compile(r"(?<=\S)(?= \S)")
-END_OF_TEXT = "<|endoftext|>"
-END_OF_TEXT_ID = 50256
+SAFE = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?= \S)")
 
 
 @lru_cache(2)
 def engine(path: str):
-    import public_tokenizers
-    import tiktoken
+    """The library's encoder and its special tokens."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+    from tokenizers import Tokenizer
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("counts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: END_OF_TEXT_ID})
+    encoder = Tokenizer.from_file(path)
+    encoder.no_truncation()
+    encoder.no_padding()
+    return encoder, tuple(t.content for t in encoder.get_added_tokens_decoder().values())
 
 
-def parts(text: str, size: int = SPLIT) -> list[str]:
+def parts(text: str, special: tuple[str, ...], size: int = SPLIT) -> Iterator[str]:
     """The text in parts of about ``size`` characters, cut at safe boundaries only."""
-    out, at = [], 0
+    at = look = 0
     while len(text) - at > size:
-        cut = SAFE.search(text, at + size)
-        if not cut:
+        look = max(look, at + size)
+        found = SAFE.search(text, look)
+        if not found:
             break
-        out.append(text[at : cut.start()])
-        at = cut.start()
-    out.append(text[at:])
-    return out
-
-
-def lengths(texts: Iterator[str | None], path: str) -> Iterator[list[int]]:
-    """Counts in the order of the texts, a list for each batch of about BATCH characters."""
-    encode = engine(path).encode
-    batch: list[tuple[int, str]] = []
-    held = row = 0
+        cut = look = found.start()
+        if any(0 <= text.find(t, max(at, cut - len(t) + 1), cut + len(t) - 1) < cut for t in special):
+            look += 1
+            continue
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def lengths(texts: Iterator[str | None], path: str) -> list[int]:
+    """The number of tokens of each text."""
+    encoder, special = engine(path)
     totals: list[int] = []
+    batch: list[str] = []
+    rows: list[int] = []
+    held = 0
 
     def run() -> None:
-        for k, part in batch:
-            totals[k] += len(encode(part, allowed_special="all"))
+        for row, found in zip(rows, encoder.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+            totals[row] += len(found)
         batch.clear()
+        rows.clear()
 
-    for text in texts:
+    for row, text in enumerate(texts):
         totals.append(0)
-        for part in parts(text or ""):
-            batch.append((row, part))
-            held += len(part)
+        for part in parts(text or "", special):
+            batch.append(part)
+            rows.append(row)
+            held += len(part) if part.isascii() else len(part.encode())
             if held >= BATCH:
                 run()
                 held = 0
-        row += 1
-        if not batch:
-            yield totals
-            totals, row = [], 0
     run()
-    yield totals
+    return totals
 
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -95,7 +94,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(1)
-            n = [x for part in lengths((t.as_py() for t in text), path) for x in part]
+            n = lengths((t.as_py() for t in text), path)
             size = pc.binary_length(text.cast(pa.large_string())).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], schema=arrow)
 

@@ -65,7 +65,7 @@ def by_id(df):
 
 def test_empty_tables(spark, none):
     path = P.path("word_bpe_49k.json")
-    for df in (lm.scores(none), token_counts.token_counts(none, P.path("byte_bpe_50k.tiktoken")), quality.quality(none), near.near_duplicates(none), substrings.digests(none), bpe.digests(none, path), suffixes.digests(none), media.media_features(none), packing.packed(none, path)):
+    for df in (lm.scores(none), token_counts.token_counts(none, P.path("byte_bpe_50k.json")), quality.quality(none), near.near_duplicates(none), substrings.digests(none), bpe.digests(none, path), suffixes.digests(none), media.media_features(none), packing.packed(none, path)):
         assert df.count() == 0
     assert html_pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -74,17 +74,31 @@ def test_token_counts(docs):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    got = by_id(token_counts.token_counts(docs, P.path("byte_bpe_50k.tiktoken")))
+    got = by_id(token_counts.token_counts(docs, P.path("byte_bpe_50k.json")))
     for i, t in odd_texts():
         n = len(tk.encode(t or "", add_special_tokens=False).ids)
         assert all((r.n_tokens, r.n_bytes, r.over_limit) == (n, len((t or "").encode()), n > 512) for r in got[i])
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab é\n\t.,'1日 <|> ")), max_size=60))
-def test_counts_of_parts(text):
-    whole = len(token_counts.engine(P.path("byte_bpe_50k.tiktoken")).encode(text, allowed_special="all"))
-    assert sum(len(token_counts.engine(P.path("byte_bpe_50k.tiktoken")).encode(p, allowed_special="all")) for p in token_counts.parts(text, 5)) == whole
+PIECES = st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list("ab é\n\t.,'1日 <|>\u0301\x1c\x85\u00a0")), st.sampled_from(["<|endoftext|>", "it's", "  ", "we'll "]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=60).map("".join), st.integers(1, 12))
+def test_counts_of_parts(text, size):
+    encoder, special = token_counts.engine(P.path("byte_bpe_50k.json"))
+    cut = list(token_counts.parts(text, special, size))
+    assert "".join(cut) == text
+    ids = [e.ids for e in encoder.encode_batch_fast(cut, add_special_tokens=False)]
+    assert sum(ids, []) == encoder.encode(text, add_special_tokens=False).ids
+
+
+def test_counts_of_long_runs(spark):
+    texts = [" " * 1_500_000, "x" * 300_000, "word " * 100_000, "a1" * 100_000, "=" * 200_000]
+    encoder, _ = token_counts.engine(P.path("byte_bpe_50k.json"))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows, P.path("byte_bpe_50k.json")).collect()}
+    assert got == {i: len(encoder.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
 
 
 def test_bpe_ids_and_round_trip(spark, docs):
