@@ -7,52 +7,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.sources.store import PointTable, Store
+from seriesloom.sources.store import RawTable, RunningTable, Store
 
 #: 2024-01-01 and 2024-01-31, UTC.
 JANUARY, FEBRUARY = 1704067200, 1706659200
 HOUR, DAY = 3600, 86400
 
 
-def _slot(time: Column, step: int) -> Column:
-    seconds = F.unix_timestamp(time.cast("timestamp"))
-    return seconds - F.pmod(seconds, F.lit(step))
+def _user() -> Column:
+    return F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string"))
 
 
-def _summed(rows: DataFrame, name: Column, time: Column, value: Column, step: int) -> DataFrame:
-    return rows.groupBy(name.alias("name"), _slot(time, step).alias("ts")).agg(F.sum(value).alias("v"))
-
-
-def events_table(spark: SparkSession, sf_dir: str, step: int = HOUR, prefix: str = "events") -> PointTable:
+def events_table(spark: SparkSession, sf_dir: str, step: int = HOUR, prefix: str = "events") -> RawTable:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    name = F.concat(F.lit(f"{prefix}."), "event_type", F.lit(".u"), (F.col("user_id") % 5).cast("string"), F.lit(".value"))
-    return PointTable(prefix, _summed(rows, name, F.col("ts"), F.col("value"), step), step)
+    return RawTable(prefix, rows, ("event_type", _user()), "ts", {"value": "value"}, step)
 
 
-def orders_table(spark: SparkSession, sf_dir: str) -> PointTable:
+def orders_table(spark: SparkSession, sf_dir: str) -> RawTable:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    name = F.concat(F.lit("orders."), "o_orderstatus", F.lit("."), F.substring("o_orderpriority", 1, 1), F.lit(".total"))
-    return PointTable("orders", _summed(rows, name, F.col("o_orderdate"), F.col("o_totalprice"), DAY), DAY)
+    return RawTable("orders", rows, ("o_orderstatus", F.substring("o_orderpriority", 1, 1)), "o_orderdate", {"total": "o_totalprice"}, DAY)
 
 
-def lineitem_table(spark: SparkSession, sf_dir: str) -> PointTable:
+def lineitem_table(spark: SparkSession, sf_dir: str) -> RawTable:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    sums = rows.groupBy("l_returnflag", "l_linestatus", _slot(F.col("l_shipdate"), DAY).alias("ts")).agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("price"))
-    name = F.concat(F.lit("lineitem."), "l_returnflag", F.lit("."), "l_linestatus", F.lit("."))
-    stacked = sums.select(name.alias("head"), "ts", F.explode(F.create_map(F.lit("qty"), "qty", F.lit("price"), "price")).alias("k", "v"))
-    return PointTable("lineitem", stacked.select(F.concat("head", "k").alias("name"), "ts", "v"), DAY)
+    return RawTable("lineitem", rows, ("l_returnflag", "l_linestatus"), "l_shipdate", {"qty": "l_quantity", "price": "l_extendedprice"}, DAY)
 
 
-def offsets_table(spark: SparkSession, sf_dir: str) -> PointTable:
+def offsets_table(spark: SparkSession, sf_dir: str) -> RunningTable:
     """Running counts, so that the consumer (clicks) follows the producer (views)."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_type").isin("view", "click"))
-    name = F.when(F.col("event_type") == "view", "offset.producer").otherwise("offset.consumer")
-    counted = rows.groupBy(name.alias("name"), _slot(F.col("ts"), HOUR).alias("ts")).agg(F.count("*").cast("double").alias("n"))
-    running = F.sum("n").over(Window.partitionBy("name").orderBy("ts"))
-    return PointTable("offset", counted.select("name", "ts", running.alias("v")), HOUR)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_type").isin("view", "click")).withColumn("one", F.lit(1.0))
+    counts = RawTable("count", rows, ("event_type",), "ts", {"n": "one"}, HOUR)
+    return RunningTable(counts, "offset", {"count.view.n": "offset.producer", "count.click.n": "offset.consumer"})
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:

@@ -1,16 +1,18 @@
 """Where series come from: point tables addressed by dotted names, with globs.
 
-A table is a DataFrame of points ``name, ts, v`` with a step. A scan pushes the time range and the
-glob's literal prefix into the table's own filters, matches the rest of the glob by a regular
-expression, and folds points to dense arrays; slots without a point are absent.
+A table gives points ``name, ts, v`` on a grid with a step. A scan tells the table its time range and
+glob: a table of raw rows (``RawTable``) filters its own columns by them, so that the file format
+skips what does not match. The whole glob is then matched as a regular expression, and points are
+folded to dense arrays; slots without a point are absent.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.plans.frame import COLUMNS, SCHEMA, SeriesList, by_number, by_text, order
@@ -25,6 +27,119 @@ class PointTable:
     step: int
     agg: str | None = None
 
+    def within(self, glob: str, start: int, stop: int) -> DataFrame:
+        """The points of [start, stop) that the glob may match."""
+        return self.points.filter((F.col("ts") >= start) & (F.col("ts") < stop))
+
+
+@dataclass(frozen=True)
+class RawTable:
+    """Rows with a time that sum up to points on a grid.
+
+    Names are the prefix, ``nodes`` and a measure. nodes: columns of strings, as stored or computed;
+    measures: what is summed, by the last node of the name."""
+
+    prefix: str
+    rows: DataFrame
+    nodes: tuple[Column | str, ...]
+    time: str
+    measures: dict[str, str]
+    step: int
+    agg: str | None = None
+
+    @property
+    def points(self) -> DataFrame:
+        return self._summed(self.rows, list(self.measures))
+
+    def within(self, glob: str, start: int, stop: int) -> DataFrame:
+        """The points of [start, stop) that the glob may match: the range and plain nodes are filters
+        on the columns as they are stored."""
+        wanted = glob_nodes(glob)
+        measures = [m for m in self.measures if len(wanted) == len(self.nodes) + 2 and re.match(glob_regex(wanted[-1]), m)]
+        if not measures:
+            return self.points.filter(F.lit(False))
+        first, last = (-(-t // self.step) * self.step for t in (start, stop))
+        rows = self.rows.filter((F.col(self.time) >= instant(first)) & (F.col(self.time) < instant(last)))
+        for column, node in zip(self.nodes, wanted[1:], strict=False):
+            choices = plain_choices(node)
+            if isinstance(column, str) and choices:
+                rows = rows.filter(F.col(column).isin(choices))
+        return self._summed(rows, measures)
+
+    def _summed(self, rows: DataFrame, measures: list[str]) -> DataFrame:
+        nodes = [F.col(n) if isinstance(n, str) else n for n in self.nodes]
+        seconds = F.unix_seconds(F.col(self.time).cast("timestamp"))
+        sums = [F.sum(self.measures[m]).alias(f"m{k}") for k, m in enumerate(measures)]
+        slots = rows.groupBy(F.concat_ws(".", F.lit(self.prefix), *nodes).alias("head"), (seconds - F.pmod(seconds, F.lit(self.step))).alias("ts")).agg(*sums)
+        if len(measures) == 1:
+            return slots.select(F.concat("head", F.lit(f".{measures[0]}")).alias("name"), "ts", F.col("m0").alias("v"))
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"m{k}").alias("v")) for k, m in enumerate(measures)]))
+        return slots.select("head", "ts", each.alias("x")).select(F.concat_ws(".", "head", "x.m").alias("name"), "ts", "x.v")
+
+
+@dataclass(frozen=True)
+class RunningTable:
+    """The sums so far of another table's points: what was before a range is one sum for each name."""
+
+    table: RawTable
+    prefix: str
+    renamed: dict[str, str]
+
+    @property
+    def step(self) -> int:
+        return self.table.step
+
+    @property
+    def agg(self) -> str | None:
+        return self.table.agg
+
+    @property
+    def points(self) -> DataFrame:
+        return self._running(self._named(self.table.points))
+
+    def within(self, glob: str, start: int, stop: int) -> DataFrame:
+        every = ".".join("*" * (len(self.table.nodes) + 2))
+        before = self._named(self.table.within(every, 0, start)).groupBy("name").agg(F.sum("v").alias("base"))
+        running = self._running(self._named(self.table.within(every, start, stop)))
+        return running.join(before, "name", "left").select("name", "ts", (F.col("v") + F.coalesce("base", F.lit(0.0))).alias("v"))
+
+    def _named(self, points: DataFrame) -> DataFrame:
+        name = F.coalesce(*[F.when(F.col("name") == old, F.lit(new)) for old, new in self.renamed.items()])
+        return points.filter(F.col("name").isin(list(self.renamed))).withColumn("name", name)
+
+    @staticmethod
+    def _running(points: DataFrame) -> DataFrame:
+        return points.withColumn("v", F.sum("v").over(Window.partitionBy("name").orderBy("ts")))
+
+
+Table = PointTable | RawTable | RunningTable
+
+
+def instant(seconds: int) -> Column:
+    """A time as a literal, which filters on stored times can be compared with before rows are read."""
+    return F.lit(datetime.fromtimestamp(seconds, UTC))
+
+
+def glob_nodes(glob: str) -> list[str]:
+    """The nodes of a glob; points within braces do not part them."""
+    nodes, depth, node = [], 0, ""
+    for c in glob + ".":
+        depth += (c == "{") - (c == "}")
+        if c == "." and not depth:
+            nodes.append(node)
+            node = ""
+        else:
+            node += c
+    return nodes
+
+
+def plain_choices(node: str) -> list[str] | None:
+    """What a node may be, if it is plain or plain alternatives in braces."""
+    inner = re.fullmatch(r"\{([^*?\[\]{}]*)\}", node)
+    if inner:
+        return inner[1].split(",")
+    return None if is_glob(node) else [node]
+
 
 def glob_regex(glob: str) -> str:
     """``*``, ``?``, ``[..]`` and ``{a,b}`` within nodes, as an anchored regular expression."""
@@ -66,17 +181,9 @@ def matches(name: Column, glob: str) -> Column:
 def ordering(name: Column, glob: str) -> list[Column]:
     """The parts of the order of a glob's series: node by node, alternatives in braces as they are
     written."""
-    nodes, depth, node = [], 0, ""
-    for c in glob + ".":
-        depth += (c == "{") - (c == "}")
-        if c == "." and not depth:
-            nodes.append(node)
-            node = ""
-        else:
-            node += c
     keys = []
     parts = F.split(name, "[.]")
-    for k, node in enumerate(nodes):
+    for k, node in enumerate(glob_nodes(glob)):
         if re.search(r"[*?\[{]", node):
             part = F.get(parts, F.lit(k))
             brace = re.search(r"\{([^{}]*)\}", node)
@@ -93,11 +200,11 @@ def ordering(name: Column, glob: str) -> list[Column]:
 class Store:
     """Point tables by the first node of their names."""
 
-    def __init__(self, spark: SparkSession, tables: list[PointTable]):
+    def __init__(self, spark: SparkSession, tables: list[Table]):
         self.spark, self.tables = spark, tables
         self._scans: dict[tuple[str, int, int], SeriesList] = {}
 
-    def tables_for(self, glob: str) -> list[PointTable]:
+    def tables_for(self, glob: str) -> list[Table]:
         first = glob.split(".")[0]
         return [t for t in self.tables if re.match(glob_regex(first), t.prefix)]
 
@@ -116,10 +223,10 @@ class Store:
                 self._scans[key] = SeriesList(ranked.select(COLUMNS), frozenset(t.step for t in self.tables_for(glob)))
         return self._scans[key]
 
-    def _scan(self, table: PointTable, glob: str, start: int, stop: int) -> DataFrame:
+    def _scan(self, table: Table, glob: str, start: int, stop: int) -> DataFrame:
         first = -(-start // table.step) * table.step
         size = max(0, -(-(stop - first) // table.step))
-        rows = table.points.filter((F.col("ts") >= start) & (F.col("ts") < stop) & matches(F.col("name"), glob))
+        rows = table.within(glob, start, stop).filter(matches(F.col("name"), glob))
         slot = ((F.col("ts") - first) / table.step).cast("int")
         held = rows.groupBy("name").agg(F.sort_array(F.collect_list(F.struct(slot.alias("i"), F.col("v").alias("v")))).alias("p"))
         return held.select("name", dense(F.col("p"), size).alias("values")).withColumns({
