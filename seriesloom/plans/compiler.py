@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.functions.dates import epoch
 from seriesloom.functions.parser import Expr, ParseError, parse
 from seriesloom.plans.frame import COLUMNS, SCHEMA, SeriesList, placed, points, under
 from seriesloom.plans.registry import FUNCTIONS
@@ -68,8 +69,10 @@ class Engine:
 
         self.store = store
 
-    def evaluate(self, target: str | list[str], start: int, stop: int) -> DataFrame:
-        """The series of one target or of several, one after the other"""
+    def evaluate(self, target: str | list[str], start: int | str, stop: int | str) -> DataFrame:
+        """The series of one target or of several, one after the other. Times are epoch seconds or text
+        such as ``-1d``, ``noon_yesterday`` or ``20240131``."""
+        start, stop = (epoch(t) if isinstance(t, str) else t for t in (start, stop))
         if start >= stop:
             raise ParseError("the range is empty")
         context = Context(self.store, start, stop)
@@ -77,12 +80,12 @@ class Engine:
         found = concatenated([context.series(parse(t)) for t in targets]) if len(targets) > 1 else context.series(parse(targets[0]))
         return found.df
 
-    def render(self, target: str | list[str], start: int, stop: int) -> DataFrame:
+    def render(self, target: str | list[str], start: int | str, stop: int | str) -> DataFrame:
         """As ``evaluate``, with places 0, 1, ..., in order."""
         df = self.evaluate(target, start, stop)
         return placed(df).drop("ord").withColumnRenamed("position", "ord").select(COLUMNS).orderBy("ord")
 
-    def points(self, target: str | list[str], start: int, stop: int) -> DataFrame:
+    def points(self, target: str | list[str], start: int | str, stop: int | str) -> DataFrame:
         """name, ts and v of every slot."""
         df = points(self.evaluate(target, start, stop), "name", "start", "step")
         return df.select("name", (F.col("start") + F.col("i") * F.col("step")).alias("ts"), "v")

@@ -44,11 +44,16 @@ def scan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir, "orders.F.*.total", 804556800, 836092800)
 
 
-@query("WITH t AS (SELECT 'lineitem.' || l_returnflag || '.' || l_linestatus || '.qty' AS name, l_quantity AS q, CAST(epoch(l_shipdate) AS BIGINT) AS ts FROM lineitem) "
-       "SELECT 'total' AS name, CAST(804556800 + i * 86400 AS BIGINT) AS ts, round(sum(q), 6) + 0.0 AS v FROM (SELECT unnest(range(365)) AS i) LEFT JOIN t ON ts = 804556800 + i * 86400 GROUP BY i")
+#: Ten years from 1995-01-01, UTC, which hold all dates of the tables.
+DAYS = 3650
+FIRST, LAST = 788918400, 788918400 + DAYS * DAY
+
+
+@query("WITH t AS (SELECT 'lineitem.' || l_returnflag || '.' || l_linestatus || '.qty' AS name, l_quantity AS q, CAST(floor(epoch(l_shipdate) / 86400) * 86400 AS BIGINT) AS ts FROM lineitem) "
+       f"SELECT 'total' AS name, CAST({FIRST} + i * 86400 AS BIGINT) AS ts, round(sum(q), 6) + 0.0 AS v FROM (SELECT unnest(range({DAYS})) AS i) LEFT JOIN t ON ts = {FIRST} + i * 86400 GROUP BY i")
 def pipe_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pipe over daily quantities."""
-    return _points(spark, sf_dir, "lineitem.*.*.qty|sumSeries()|alias('total')", 804556800, 836092800)
+    """A pipe over daily quantities of the whole table."""
+    return _points(spark, sf_dir, "lineitem.*.*.qty|sumSeries()|alias('total')", FIRST, LAST)
 
 
 _CLICKS = "event_type = 'click'"
@@ -133,6 +138,75 @@ def max_data_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", (F.col("start") + F.col("i") * F.col("step")).alias("ts"), (F.round("v", 6) + 0.0).alias("v"))
 
 
+_COUNTS = grid("events", "CASE event_type WHEN 'view' THEN 'offset.producer' ELSE 'offset.consumer' END", "ts", "1", HOUR, where="event_type IN ('view', 'click')")
+_RUNNING = f"WITH s AS (SELECT ord, name, i, ts, CASE WHEN v IS NOT NULL THEN CAST(CAST(sum(v) OVER (PARTITION BY name ORDER BY i) AS BIGINT) AS VARCHAR) END AS v FROM ({_COUNTS})) "
+
+
+def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(bridge.store(spark, sf_dir)).render("offset.*", JANUARY, FEBRUARY)
+
+
+@query(_RUNNING + "SELECT ord, '{\"target\":\"' || name || '\",\"datapoints\":[' || string_agg('[' || coalesce(v, 'null') || ',' || ts || ']', ',' ORDER BY i) || ']}' AS json FROM s GROUP BY ord, name")
+def encode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts as JSON, a row for each series."""
+    return sinks.json_rows(_offsets(spark, sf_dir))
+
+
+@query(_RUNNING + "SELECT ord, CAST(i AS INTEGER) AS i, '\"' || name || '\",' || strftime(make_timestamp(ts * 1000000), '%Y-%m-%d %H:%M:%S') || ',' || coalesce(v, '') AS csv FROM s")
+def encode_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts as CSV, a row for each slot."""
+    return sinks.csv_rows(_offsets(spark, sf_dir))
+
+
+@query(_RUNNING + f"SELECT ord, name || ',{JANUARY},{FEBRUARY},3600|' || string_agg(coalesce(v, 'None'), ',' ORDER BY i) AS raw FROM s GROUP BY ord, name")
+def encode_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts as raw text."""
+    return sinks.raw_rows(_offsets(spark, sf_dir))
+
+
+@query("SELECT DISTINCT 'events.' || event_type AS id, '{\"allowChildren\":1,\"context\":{},\"expandable\":1,\"id\":\"events.' || event_type || '\",\"leaf\":0,\"text\":\"' || event_type || '\"}' AS json FROM events")
+def find_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One level of the tree, as tree browsers read it."""
+    return sinks.find_json(catalog.find(bridge.store(spark, sf_dir), "events.*"), "events.*")
+
+
+@query("SELECT DISTINCT 'events.' || event_type || '.' AS path, '{\"path\":\"events.' || event_type || '.\",\"name\":\"\",\"is_leaf\":\"0\"}' AS json FROM events WHERE event_type LIKE 'c%'")
+def complete_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How an unfinished path may go on."""
+    return sinks.completer_json(catalog.complete(bridge.store(spark, sf_dir), "events/c"))
+
+
+@query(f"SELECT name, '{{\"name\":\"' || name || '\",\"aggregationMethod\":\"\",\"maxRetention\":' || CAST(max(ts) - min(ts) + 3600 AS BIGINT) || ',\"xFilesFactor\":0.0,\"retentions\":[{{\"secondsPerPoint\":3600,\"numberOfPoints\":' || count(*) || '}}]}}' AS json FROM (SELECT DISTINCT {EVENTS_NAME} AS name, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS ts FROM events) GROUP BY name")
+def info_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored of all event series, as JSON."""
+    return sinks.info_json(catalog.info(bridge.store(spark, sf_dir), "events.*.*.value"))
+
+
+def _drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three copies that drift by 4 in 1000, and in every third slot by 1 in 10."""
+    one = bridge.events_table(spark, sf_dir).points
+    copies = one.select("name", "ts", "v", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("replica"))
+    drift = F.when(F.pmod(F.col("ts") / HOUR, F.lit(3)).cast("int") == 0, 0.1).otherwise(0.004)
+    return copies.select("replica", "name", F.lit(HOUR).alias("step"), "ts", (F.col("v") * (1 + F.col("replica") * drift)).alias("v"))
+
+
+@query(
+    f"WITH p AS (SELECT {EVENTS_NAME} AS name, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS ts, sum(value) AS v FROM events GROUP BY 1, 2), "
+    "d AS (SELECT *, CASE WHEN ts // 3600 % 3 = 0 THEN 0.1 ELSE 0.004 END AS x FROM p) "
+    "SELECT name, count(*) AS points, count(*) FILTER (abs(v - v * (1 + 2 * x)) > abs(v * (1 + 2 * x)) * 0.01) AS mismatches FROM d GROUP BY name"
+)
+def merge_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often replicas differ by more than 1 in 100."""
+    return replicas.merge(_drifting(spark, sf_dir), "check", 0.01).stats.drop("fixed")
+
+
+@query(over("SELECT name, ts, round(v, 6) + 0.0 AS v FROM s"))
+def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range told as text."""
+    found = Engine(bridge.store(spark, sf_dir)).points(CLICK, "20240101", "midnight_01/31/2024")
+    return found.select("name", F.col("ts").cast("long").alias("ts"), (F.round("v", 6) + 0.0).alias("v"))
+
+
 @query(None)
 def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_rows(Engine(bridge.store(spark, sf_dir)).evaluate(CLICK, JANUARY, FEBRUARY))

@@ -190,8 +190,15 @@ def _pairs() -> None:
         ),
     )
     places("pearsonClosest", f"pearsonClosest(events.click.u0.value,{ALL},4,direction='abs')", over("SELECT row_number() OVER (ORDER BY round(abs(k), 12) DESC, ord) - 1 AS place, name FROM (SELECT b.ord, b.name, corr(b.v, a.v) AS k FROM s b JOIN s a ON a.i = b.i AND a.name = 'events.click.u0.value' GROUP BY 1, 2) WHERE k IS NOT NULL AND NOT isnan(k) QUALIFY place < 4", ""))
+    # Values of both windows, each with the shares of both that are no larger; then the series of the p value.
+    near = "SELECT w.i, a.v, {} AS y FROM (SELECT DISTINCT i FROM s WHERE i >= 48) w JOIN x{} a ON a.i > w.i - 48 AND a.i <= w.i"
+    values = f"x0 AS (SELECT i, v FROM s WHERE name = 'events.click.u0.value' AND v IS NOT NULL), x1 AS (SELECT i, v FROM w WHERE name = 'events.view.u0.value' AND v IS NOT NULL), u AS ({near.format(0, 0)} UNION ALL {near.format(1, 1)}), "
+    shares = "c AS (SELECT i, v, count(*) FILTER (y = 0) OVER (PARTITION BY i ORDER BY v RANGE UNBOUNDED PRECEDING) AS a, count(*) FILTER (y = 1) OVER (PARTITION BY i ORDER BY v RANGE UNBOUNDED PRECEDING) AS b, count(*) FILTER (y = 0) OVER (PARTITION BY i) AS m, count(*) FILTER (y = 1) OVER (PARTITION BY i) AS n FROM u), "
+    gaps = "d AS (SELECT i, max(abs(a / m - b / n)) AS d, sqrt(any_value(m) * any_value(n) / (any_value(m) + any_value(n))) AS e FROM c WHERE m > 0 AND n > 0 GROUP BY i), z AS (SELECT i, (e + 0.12 + 0.11 / e) * d AS z FROM d), "
+    chance = "p AS (SELECT i, CASE WHEN z < 1e-9 THEN 1.0 ELSE least(greatest(2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * pow(k * z, 2)))), 0), 1) END AS p FROM z) "
+    smirnov = f"SELECT 'kolmogorovSmirnovTest2(events.click.u0.value,events.view.u0.value,48)' AS name, s.ts, round(p, 6) + 0.0 AS v FROM s LEFT JOIN p ON p.i = s.i WHERE s.name = 'events.click.u0.value'"
     for key in ("kolmogorovSmirnovTest2", "ksTest2"):
-        points(key, f"{key}(events.click.u0.value,events.view.u0.value,48)", None)
+        points(key, f"{key}(events.click.u0.value,events.view.u0.value,48)", over(smirnov, more=f"{both}, {values}{shares}{gaps}{chance}"))
 
 
 def _windows() -> None:
@@ -214,8 +221,11 @@ def _windows() -> None:
     elementwise("keepLastValue", ",2", f"CASE WHEN {gap} <= 2 THEN last_value(v IGNORE NULLS) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END", tail=",2")
     points("hitcount", f"hitcount({CLICK},'6h')", shown(f"SELECT 'hitcount(' || name || ',''6h'')' AS name, {JANUARY} + (i // 6) * 21600 AS ts, CASE WHEN count(v) > 0 THEN sum(v) * 3600 WHEN i // 6 = 0 THEN 0.0 END AS v FROM s GROUP BY name, i // 6"))
     points("summarize", f"summarize({CLICK},'1d','avg')", shown(f"SELECT 'summarize(' || name || ',''1d'',''avg'')' AS name, {JANUARY} + (i // 24) * 86400 AS ts, avg(v) AS v FROM s GROUP BY name, i // 24"))
+    steps = f"k AS (SELECT *, row_number() OVER ({w}) AS n FROM s WHERE v IS NOT NULL)"
+    held = "h AS (SELECT name, n, i, v AS h FROM k WHERE n = 1 UNION ALL SELECT k.name, k.n, k.i, 0.3::DOUBLE * k.v + 0.7::DOUBLE * h.h FROM h JOIN k ON k.name = h.name AND k.n = h.n + 1)"
+    smoothed = shown("SELECT 'ewma(' || s.name || ',0.3)' AS name, ts, h AS v FROM s LEFT JOIN h ON h.name = s.name AND h.i = s.i", more=f", {steps}, {held}").replace("WITH s", "WITH RECURSIVE s", 1)
     for key in ("ewma", "exponentialWeightedMovingAverage"):
-        points(key, f"{key}({CLICK},0.3)", None)
+        points(key, f"{key}({CLICK},0.3)", smoothed)
 
 
 def _filters() -> None:
@@ -297,8 +307,24 @@ def _shifts() -> None:
 
 
 def _numeric() -> None:
-    for key, target in (("fft", f"fft({CLICK},'abs')"), ("ifft", f"ifft(fft({CLICK},'abs'),fft({CLICK},'phase'))"), ("polyfit", f"polyfit({CLICK},3,'1d')")):
-        points(key, target, None)
+    waves = ", ".join(f"sum(coalesce(b.v, 0) * {f}(2 * pi() * ((a.i * b.i) % {SLOTS}) / {SLOTS})) AS {k}" for f, k in (("cos", "x"), ("sin", "y")))
+    points("fft", f"fft({CLICK},'abs')", shown(f"SELECT 'fft(' || name || ',''abs'')' AS name, ts, sqrt(x * x + y * y) AS v FROM (SELECT a.name, a.ts, {waves} FROM s a JOIN s b ON a.name = b.name GROUP BY a.name, a.ts)"))
+    points("ifft", f"ifft(fft({CLICK},'abs'),fft({CLICK},'phase'))", shown("SELECT 'ifft(fft(' || name || ',''abs''), fft(' || name || ',''phase''))' AS name, ts, abs(coalesce(v, 0)) AS v FROM s"))
+    # Least squares by polynomials that are orthogonal over the slots with a value.
+    fitted = (
+        f"b AS (SELECT name, i / {SLOTS - 1} AS x, v FROM s WHERE v IS NOT NULL), "
+        "c1 AS (SELECT name, avg(x) AS m, avg(v) AS k0, avg(x * x) AS s20, avg(x * x * x) AS s30 FROM b GROUP BY name), "
+        "q1 AS (SELECT b.*, x - m AS p1, s20, s30 FROM b JOIN c1 USING (name)), "
+        "c2 AS (SELECT name, sum(p1 * p1) AS n1, sum(x * x * p1) / sum(p1 * p1) AS s21, sum(x * x * x * p1) / sum(p1 * p1) AS s31, sum(v * p1) / sum(p1 * p1) AS k1 FROM q1 GROUP BY name), "
+        "q2 AS (SELECT q1.*, s31, x * x - s20 - s21 * p1 AS p2 FROM q1 JOIN c2 USING (name)), "
+        "c3 AS (SELECT name, sum(x * x * x * p2) / sum(p2 * p2) AS s32, sum(v * p2) / sum(p2 * p2) AS k2 FROM q2 GROUP BY name), "
+        "q3 AS (SELECT q2.*, x * x * x - s30 - s31 * p1 - s32 * p2 AS p3 FROM q2 JOIN c3 USING (name)), "
+        "c4 AS (SELECT name, sum(v * p3) / sum(p3 * p3) AS k3 FROM q3 GROUP BY name), "
+        f"g AS (SELECT *, i / {SLOTS - 1} AS x, i / {SLOTS - 1} - m AS p1 FROM c1 JOIN c2 USING (name) JOIN c3 USING (name) JOIN c4 USING (name), (SELECT unnest(range({SLOTS + 24})) AS i)), "
+        "h AS (SELECT *, x * x - s20 - s21 * p1 AS p2 FROM g) "
+    )
+    curve = f"SELECT 'polyfit(' || name || ',3,''1d'')' AS name, CAST({JANUARY} + i * 3600 AS BIGINT) AS ts, round(k0 + k1 * p1 + k2 * p2 + k3 * (x * x * x - s30 - s31 * p1 - s32 * p2), 6) + 0.0 AS v FROM h"
+    points("polyfit", f"polyfit({CLICK},3,'1d')", over(curve, more=f", {fitted}"))
     start = JANUARY + 8 * 86400
     for key in ("holtWintersForecast", "holtWintersConfidenceBands", "holtWintersAberration"):
         points(key, f"{key}({CLICK})", None, start, FEBRUARY)
