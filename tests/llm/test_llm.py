@@ -157,6 +157,15 @@ def test_quality_divergence(spark):
     assert quality.kept_documents(rows).columns == ["doc_id", "text"]
 
 
+def test_quality_references_are_the_fitted_ones(spark):
+    path = "/root/testdata/sf0.1"
+    if not os.path.exists(path):
+        pytest.skip("needs the driver's tables")
+    rows = quality.fitted(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")).collect()
+    assert {r.lang: tuple(r.classes) for r in rows} == quality.CLASS_REFERENCE
+    assert {r.lang: {w.word: w.share for w in r.words} for r in rows} == quality.WORD_REFERENCE
+
+
 def shingles(t):
     w = W.findall(lower(t or ""))
     return set(zip(*[w[k:] for k in range(5)], strict=False)) if len(w) >= 5 else ({tuple(w)} if w else set())
