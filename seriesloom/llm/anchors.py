@@ -27,10 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from seriesloom.llm import text as T
-from seriesloom.llm.graph import Tables, bloom, cut, kept_by, passes, spread_join
+from seriesloom.llm.graph import Tables, bloom, cut, drop, kept_by, passes, spread_join
 
 #: Keys below this stand for rows without a doc_id.
 NO_ID = -(1 << 62)
@@ -84,7 +83,7 @@ def _gram_order(values: np.ndarray, k: int) -> np.ndarray:
     return T.mix((run[k:] - run[:n]) * down[:n])
 
 
-def _content(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+def content_hash(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     """Fingerprints of runs of values."""
     return T.chained(T.mix(sizes.astype(T.U64) ^ T.U64(T.SEEDS[seed])), sizes, lambda rows, j: values[starts[rows] + j])
 
@@ -123,7 +122,7 @@ def segments(values: np.ndarray, offs: np.ndarray, shape: Shape, content: Callab
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(window)))
     start, place = window[first], place[first]
-    content = content or (lambda a, b, seed: _content(values, a, b - a, seed))
+    content = content or (lambda a, b, seed: content_hash(values, a, b - a, seed))
     return Segments(np.searchsorted(offs, start, "right") - 1, content(place, place + k, 0), content(start, start + count - 1 + length, 1), start, count)
 
 
@@ -131,11 +130,10 @@ def segments(values: np.ndarray, offs: np.ndarray, shape: Shape, content: Callab
 Reader = Callable[[np.ndarray, np.ndarray], Segments]
 
 
-def _plain(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """doc (the key), text and the struct ``row`` of the columns carried."""
+def plain(docs: DataFrame) -> DataFrame:
+    """doc (the key) and text."""
     text = F.col("text").cast("string")
-    row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in carried])
-    return docs.select(doc_key(F.col("doc_id"), text).alias("doc"), text.alias("text"), row.alias("row"))
+    return docs.select(doc_key(F.col("doc_id"), text).alias("doc"), text.alias("text"))
 
 
 def _first_of_each(row: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -146,10 +144,9 @@ def _first_of_each(row: np.ndarray, content: np.ndarray) -> np.ndarray:
     return by[new]
 
 
-def repeated_segments(texts: DataFrame, read: Reader, tables: Tables) -> DataFrame:
-    """anchor, content and doc of the segments whose anchor occurs more than once."""
+def repeated_anchors(texts: DataFrame, read: Reader) -> DataFrame:
+    """anchor and n of the anchors that occur more than once."""
     one = pa.schema([("anchor", pa.int64())])
-    arrow = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64())])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +154,13 @@ def repeated_segments(texts: DataFrame, read: Reader, tables: Tables) -> DataFra
                 yield T.batch_of(one, T.signed(read(data, offs).anchor))
 
     counted = texts.select("text").mapInArrow(hashes, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
-    often = tables.cut(counted.filter("n > 1"))
+    return cut(counted.filter("n > 1"))
+
+
+def repeated_segments(texts: DataFrame, read: Reader, often: DataFrame) -> DataFrame:
+    """anchor, content and doc of the segments whose anchor is among those that occur often."""
+    arrow = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64())])
+
     likely = bloom(often, "anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +185,12 @@ class Found:
     open_: DataFrame
 
 
-def search(docs: DataFrame, read: Reader, carried: list[str]) -> Found:
-    texts = _plain(docs, carried)
-    tables, more = Tables(), Tables()
-    shared = tables.cut(repeated_segments(texts, read, more))
-    more.drop()
+def search(docs: DataFrame, read: Reader) -> Found:
+    texts = plain(docs)
+    tables = Tables()
+    often = repeated_anchors(texts, read)
+    shared = tables.cut(repeated_segments(texts, read, often))
+    drop(often)
     classes = tables.cut(shared.groupBy("anchor", "content").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
     several = tables.cut(classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1"))
     later = spread_join(shared, classes.filter("n > 1"), ["anchor", "content"], "n").filter("doc > first").groupBy("doc").agg(F.collect_set("content").alias("later"))
@@ -199,30 +203,30 @@ def search(docs: DataFrame, read: Reader, carried: list[str]) -> Found:
 
 def opened(found: Found) -> DataFrame:
     """The texts that have open segments, with them. Others are filtered before the shuffle."""
-    return found.texts.select("doc", "text").mapInArrow(kept_by(bloom(found.open_, "doc")), "doc long, text string").join(found.open_, "doc")
+    return found.texts.mapInArrow(kept_by(bloom(found.open_, "doc")), "doc long, text string").join(found.open_, "doc")
 
 
-#: Makes the result's batches from batches of doc, text, row, later and single.
+#: Makes the result's batches from batches of doc, text, later and single.
 Finish = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def finished(found: Found, single: DataFrame, finish: Finish, schema: str | StructType) -> DataFrame:
-    """``finish`` over doc, text, row, later and single (content, place) of all rows. Only texts that
-    may lose something are shuffled to meet what they lose."""
+def finished(found: Found, single: DataFrame, finish: Finish, schema: str) -> DataFrame:
+    """``finish`` over doc, text, later and single (content, place) of all rows. Only texts that may
+    lose something are shuffled to meet what they lose."""
     single = cut(single)
     filter_ = bloom(found.later.select("doc").union(single.select("doc")), "doc")
-    losing = found.texts.mapInArrow(kept_by(filter_), found.texts.schema).join(found.later, "doc", "left").join(single, "doc", "left")
+    losing = found.texts.mapInArrow(kept_by(filter_), "doc long, text string").join(found.later, "doc", "left").join(single, "doc", "left")
     others = kept_by(filter_, False)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def filled() -> Iterator[pa.RecordBatch]:
             for batch in others(batches):
                 none = pa.nulls(batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns, none, none], names=["doc", "text", "row", "later", "single"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, none, none], names=["doc", "text", "later", "single"])
 
         return finish(filled())
 
-    return losing.select("doc", "text", "row", "later", "single").mapInArrow(finish, schema).union(found.texts.mapInArrow(whole, schema))
+    return losing.select("doc", "text", "later", "single").mapInArrow(finish, schema).union(found.texts.mapInArrow(whole, schema))
 
 
 def chosen(found: Segments, row: int, contents: np.ndarray) -> np.ndarray:
@@ -233,32 +237,22 @@ def chosen(found: Segments, row: int, contents: np.ndarray) -> np.ndarray:
     return a + np.sort(hit[np.unique(content[hit], return_index=True)[1]])
 
 
-def covered(found: Segments, row: int, later: np.ndarray, windows: tuple[np.ndarray, np.ndarray], length: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+def covered(found: Segments, row: int, later: np.ndarray, windows: tuple[np.ndarray, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, merged and in order, of what is to be removed from a row.
 
     later: contents whose segments go; windows: contents and places in them of single windows that
-    go; own: whether a segment that the row has had before goes too."""
+    go from their first copy. A segment that the row has had before goes too."""
     a, b = np.searchsorted(found.row, [row, row + 1])
     content, start, count = T.signed(found.content[a:b]), found.start[a:b], found.windows[a:b]
-    gone = np.isin(content, later)
     values, first = np.unique(content, return_index=True)
-    if own:
-        again = np.ones(len(content), bool)
-        again[first] = False
-        gone |= again
+    gone = np.ones(len(content), bool)
+    gone[first] = False
+    gone |= np.isin(content, later)
     s, e = [start[gone]], [start[gone] + count[gone] - 1 + length]
     if len(windows[0]) and len(values):
         k = np.searchsorted(values, windows[0])
         ok = (k < len(values)) & (values[np.minimum(k, len(values) - 1)] == windows[0])
-        k, j = k[ok], windows[1][ok]
-        if own:
-            place = start[first[k]] + j
-        else:  # every copy of the segment in the row
-            by = np.argsort(content, kind="stable")
-            low = np.searchsorted(content[by], values[k])
-            copies = np.searchsorted(content[by], values[k], "right") - low
-            nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-            place = start[by[np.repeat(low, copies) + nth]] + np.repeat(j, copies)
+        place = start[first[k[ok]]] + windows[1][ok]
         s.append(place)
         e.append(place + length)
     s, e = np.concatenate(s), np.concatenate(e)

@@ -1,36 +1,49 @@
 """Substring dedup of word spans by a compacted De Bruijn graph.
 
-Edges of the graph are windows of 13 words, from the node of their first 12 words to that of their
-last 12. A window that starts in a document with a smaller doc_id is repeated; the words that
-repeated windows cover are removed.
-
-Edges are dealt by their minimizer, as compaction in buckets is usually done. Runs of edges with one
-minimizer are nonbranching paths inside a text; equal paths are compacted to one by an aggregate and
-a join on their content. Only where paths with one minimizer differ, that is where the graph
-branches, single edges are compared, by two independent 64-bit fingerprints: an aggregate gives each
-edge its first source, and a join back to the source coordinates (document, path, place) verifies
-which edges come later. Consecutive removed edges of a text then merge to maximal spans.
-
-Words are runs of ``[^\\x20\\x09-\\x0D]``; texts stay unchanged but for the removal. Null text counts
-as empty; documents below 13 words lose nothing. Rows that repeat a doc_id lose nothing to each other.
+Nodes are runs of 12 words, edges windows of 13, from the node of their first 12 words to that of their
+last 12. A window that starts in a document with a smaller doc_id is repeated; the words that repeated
+windows cover are removed.
+
+* Edges are dealt by their minimizer, as is usual where a graph does not fit one machine: successive
+  edges of a text with one minimizer are a *run*, from the node before its first edge to that behind
+  its last. Minimizers that occur once hold no repeated edge and are dropped, after one aggregate.
+* Runs with the same words are one run of the graph; its source is its first place in the first document.
+* Nodes between runs get their degrees, the numbers of different runs that enter and leave. Where one
+  enters and one leaves, a join puts the two together, if both are repeated and follow each other
+  in their source: chains of these are the nonbranching paths, known by their head's source.
+* Occurrences of runs in later documents, in coordinates of the document and of the path, are put
+  together to spans of each path.
+* Where runs with one minimizer differ, that is where the graph branches inside runs, single edges are
+  compared instead: an aggregate gives each edge its source, a join back the later occurrences.
+* The source coordinates verify: the words of each span are read again at its source, and a span is
+  only removed if a digest of its own words is the same.
+
+Runs are held equal by 64-bit fingerprints of their minimizer and, independently, of all their words,
+single edges by two of the latter. Words are runs of ``[^\\x20\\x09-\\x0D]``; texts stay unchanged but
+for the removal. Null text counts as empty; documents below 13 words lose nothing. Rows without a
+doc_id are documents of their own before all others. Rows that repeat a doc_id lose nothing to each
+other; they are told apart by their text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from seriesloom.llm import anchors as A
 from seriesloom.llm import text as T
-from seriesloom.llm.graph import Tables, drop, spread_join
+from seriesloom.llm.graph import Tables, bloom, drop, kept_by, passes, spread_join
 
 SHAPE = A.Shape(13, 4)
+NODE = SHAPE.length - 1
+#: A place in a text: its document, its text's print and the number of the word.
+SOURCE = ["sdoc", "sprint", "sstart"]
 
 
 def read(data: np.ndarray, offs: np.ndarray) -> A.Segments:
@@ -38,61 +51,191 @@ def read(data: np.ndarray, offs: np.ndarray) -> A.Segments:
     return A.segments(T.span_hash(data, starts, ends), first, SHAPE)
 
 
-def _edges(found: A.Found) -> DataFrame:
-    """e1, e2, doc, content and place of the edges on paths that differ under one minimizer."""
-    arrow = pa.schema([("e1", pa.int64()), ("e2", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("place", pa.int32())])
+def _texts(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """doc (the key), print, text and the struct ``row`` of the columns carried."""
+    text = F.col("text").cast("string")
+    row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in carried])
+    return docs.select(A.doc_key(F.col("doc_id"), text).alias("doc"), F.xxhash64(text).alias("print"), text.alias("text"), row.alias("row"))
+
+
+def occurrences(texts: DataFrame, often: DataFrame) -> DataFrame:
+    """anchor, content, before, behind (the nodes at its ends), doc, print, start and windows of each run
+    whose minimizer occurs often."""
+    arrow = pa.schema([(c, pa.int64()) for c in ("anchor", "content", "before", "behind", "doc", "print", "start", "windows")])
+    likely = bloom(often, "anchor")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offs in T.chunks(batch, "text"):
+                starts, ends, first = T.words(data, offs)
+                h = T.span_hash(data, starts, ends)
+                found = A.segments(h, first, SHAPE)
+                at = np.flatnonzero(passes(likely.value, T.signed(found.anchor)))
+                row, start, windows = found.row[at], found.start[at], found.windows[at]
+                nodes = [T.signed(A.content_hash(h, x, np.full(len(at), NODE), 0)) for x in (start, start + windows)]
+                yield T.batch_of(arrow, T.signed(found.anchor)[at], T.signed(found.content)[at], *nodes, part.column("doc").to_numpy()[row], part.column("print").to_numpy()[row], start - first[row], windows)
+
+    schema = ", ".join(f"{c} long" for c in arrow.names)
+    return spread_join(texts.select("doc", "print", "text").mapInArrow(run, schema), often, ["anchor"], "n").select(arrow.names)
+
+
+def _sourced(rows: DataFrame, keys: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """For each key its source, the last document that has it, the number of rows, and columns that are
+    the same in all of them."""
+    source = F.min(F.struct("doc", "print", "start"))
+    return rows.groupBy(*keys).agg(source.alias("s"), F.max("doc").alias("last"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in also]).select(*keys, F.col("s.doc").alias("sdoc"), F.col("s.print").alias("sprint"), F.col("s.start").alias("sstart"), "last", "n", *also)
+
+
+def paths(runs: DataFrame) -> DataFrame:
+    """SOURCE and head (the head's sstart) of the repeated runs: maximal nonbranching paths of runs
+    (before, behind, windows, SOURCE, last) that follow each other in their source."""
+    leaving = runs.groupBy(F.col("before").alias("node")).agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in (*SOURCE, "last")]).filter("k = 1")
+    entering = runs.groupBy(F.col("behind").alias("node")).agg(F.count("*").alias("k"), *[F.first(c).alias(f"p_{c}") for c in (*SOURCE, "last", "windows")]).filter("k = 1")
+    follows = (F.col("p_sdoc") == F.col("sdoc")) & (F.col("p_sprint") == F.col("sprint")) & (F.col("p_sstart") + F.col("p_windows") == F.col("sstart"))
+    joined = leaving.drop("k").join(entering.drop("k"), "node").filter(follows & (F.col("last") > F.col("sdoc")) & (F.col("p_last") > F.col("sdoc"))).select(*SOURCE, F.lit(True).alias("joined"))
+    repeated = runs.filter(F.col("last") > F.col("sdoc")).select(SOURCE).join(joined, SOURCE, "left")
+    so_far = Window.partitionBy("sdoc", "sprint").orderBy("sstart")
+    return repeated.select(*SOURCE, F.max(F.when(F.col("joined").isNull(), F.col("sstart"))).over(so_far).alias("head"))
+
+
+def spans(pieces: DataFrame, path: str) -> DataFrame:
+    """doc, print, start, windows and SOURCE of the spans that pieces (the same) of one path make up."""
+    held = pieces.groupBy("doc", "print", "sdoc", "sprint", path, (F.col("start") - F.col("sstart")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("sstart", "windows"))).alias("p"))
+
+    def ends(x: Column) -> Column:
+        return x["sstart"] + x["windows"]
+
+    heads = F.filter("p", lambda x, k: (k == 0) | (ends(F.get("p", k - 1)) != x["sstart"]))
+    tails = F.filter("p", lambda x, k: (k == F.size("p") - 1) | (ends(x) != F.get("p", k + 1)["sstart"]))
+    whole = F.explode(F.zip_with(heads, tails, lambda a, b: F.struct(a["sstart"].alias("sstart"), (ends(b) - a["sstart"]).alias("windows"))))
+    return held.select("doc", "print", "sdoc", "sprint", "shift", whole.alias("x")).select("doc", "print", (F.col("x.sstart") + F.col("shift")).alias("start"), "x.windows", "sdoc", "sprint", "x.sstart")
+
+
+def _edges(texts: DataFrame, open_: DataFrame) -> DataFrame:
+    """e1, e2, doc, print and start of the edges of runs that differ under one minimizer."""
+    arrow = pa.schema([(c, pa.int64()) for c in ("e1", "e2", "doc", "print", "start")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in T.chunks(batch, "text"):
                 starts, ends, first = T.words(data, offs)
                 h = T.span_hash(data, starts, ends)
-                e1 = T.signed(T.grams(h, SHAPE.length))
-                e2 = T.signed(T.grams(T.span_hash(data, starts, ends, 1), SHAPE.length, 1))
-                segments = A.segments(h, first, SHAPE)
-                for row, (doc, open_) in enumerate(zip(part.column("doc").to_pylist(), part.column("open"), strict=True)):
-                    picked = A.chosen(segments, row, open_.values.field("content").to_numpy())
-                    count = segments.windows[picked]
-                    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    at = np.repeat(segments.start[picked], count) + place
-                    content = np.repeat(T.signed(segments.content[picked]), count)
-                    yield T.batch_of(arrow, e1[at], e2[at], np.full(len(at), doc), content, place.astype(np.int32))
-
-    return A.opened(found).mapInArrow(run, "e1 long, e2 long, doc long, content long, place int")
-
-
-def removed(docs: DataFrame, finish: A.Finish, schema: str | StructType, carried: list[str] | None = None) -> DataFrame:
-    """``finish`` over doc, text, row (the columns carried), later (contents of whole paths) and single
-    (content, place)."""
-    found = A.search(docs, read, carried or [])
+                found = A.segments(h, first, SHAPE)
+                content = T.signed(found.content)
+                bounds = np.searchsorted(found.row, np.arange(part.num_rows + 1))
+                lists = part.column("open")
+                wanted = [np.arange(a, b)[np.isin(content[a:b], lists[k].values.to_numpy())] for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
+                at = np.concatenate(wanted) if wanted else np.zeros(0, np.int64)
+                count = found.windows[at]
+                row = np.repeat(found.row[at], count)
+                start = np.repeat(found.start[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                size = np.full(len(start), SHAPE.length)
+                e1, e2 = (T.signed(A.content_hash(h, start, size, seed)) for seed in (0, 1))
+                yield T.batch_of(arrow, e1, e2, part.column("doc").to_numpy()[row], part.column("print").to_numpy()[row], start - first[row])
+
+    likely = kept_by(bloom(open_, "doc"))
+    rows = texts.select("doc", "print", "text").mapInArrow(likely, "doc long, print long, text string").join(open_, "doc")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in arrow.names))
+
+
+def repeats(texts: DataFrame) -> DataFrame:
+    """doc, print, start, windows and SOURCE of the spans that a document with a smaller key has."""
     tables = Tables()
-    edges = tables.cut(_edges(found))
-    drop(found.open_)
-    first = tables.cut(edges.groupBy("e1", "e2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last"))
-    single = spread_join(edges, first, ["e1", "e2"], "n").filter("doc > first").groupBy("doc").agg(F.collect_set(F.struct("content", "place")).alias("single"))
-    out = A.finished(found, single, finish, schema)
+    often = A.repeated_anchors(texts, read)
+    rows = tables.cut(occurrences(texts, often))
+    drop(often)
+    runs = tables.cut(_sourced(rows, ["anchor", "content"], ("before", "behind", "windows")))
+    several = tables.cut(runs.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"))
+    open_ = spread_join(runs.select("anchor", "content", "sdoc"), several, ["anchor"], "k").groupBy(F.col("sdoc").alias("doc")).agg(F.collect_list("content").alias("open"))
+    edges = tables.cut(_edges(texts, tables.cut(open_)))
+    sources = tables.cut(_sourced(edges, ["e1", "e2"]).filter(F.col("last") > F.col("sdoc")))
+    single = spread_join(edges, sources, ["e1", "e2"], "n").filter(F.col("doc") > F.col("sdoc")).select("doc", "print", "start", F.lit(1).cast("long").alias("windows"), *SOURCE)
+    known = tables.cut(runs.filter(F.col("last") > F.col("sdoc")).select("anchor", "content", "n", *SOURCE).join(paths(runs), SOURCE))
+    whole = spread_join(rows, known, ["anchor", "content"], "n").filter(F.col("doc") > F.col("sdoc")).select("doc", "print", "start", "windows", "head", *SOURCE)
+    out = A.cut(spans(whole, "head").union(spans(single.withColumn("head", F.lit(-1).cast("long")), "head")))
     tables.drop()
     return out
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _words(data: np.ndarray, offs: np.ndarray) -> Callable[[int], list[bytes]]:
+    """The words of a row."""
+    starts, ends, first = T.words(data, offs)
+
+    def of(row: int) -> list[bytes]:
+        base, raw = offs[row], data[offs[row] : offs[row + 1]].tobytes()
+        at = slice(int(first[row]), int(first[row + 1]))
+        return [raw[s:e] for s, e in zip((starts[at] - base).tolist(), (ends[at] - base).tolist(), strict=True)]
+
+    return of
+
+
+def digested(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """SOURCE, windows, digest and uses of the sources of spans, from their texts."""
+    wanted = found.groupBy(*SOURCE, "windows").agg(F.count("*").alias("uses"))
+    asked = A.cut(wanted.groupBy(F.col("sdoc").alias("doc"), F.col("sprint").alias("print")).agg(F.collect_list(F.struct("sstart", "windows", "uses")).alias("asked")))
+    arrow = pa.schema([*[(c, pa.int64()) for c in (*SOURCE, "windows")], ("digest", pa.binary()), ("uses", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offs in T.chunks(batch, "text"):
+                of, rows = _words(data, offs), []
+                for k, (doc, print_, asked_) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc", "print", "asked")), strict=True)):
+                    words = of(k)
+                    rows += [(doc, print_, a["sstart"], a["windows"], _digest(words[a["sstart"] : a["sstart"] + a["windows"] + NODE]), a["uses"]) for a in asked_]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
+
+    rows = texts.select("doc", "print", "text").mapInArrow(kept_by(bloom(asked, "doc")), "doc long, print long, text string").join(asked, ["doc", "print"])
+    schema = "sdoc long, sprint long, sstart long, windows long, digest binary, uses long"
+    # Rows that repeat a document and its text give the same digests.
+    out = A.cut(rows.mapInArrow(run, schema).dropDuplicates([*SOURCE, "windows"]))
+    drop(asked)
+    return out
+
+
+#: Makes the result's batches from batches of doc, text, row and spans (start, windows and digest).
+Finish = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def removed(docs: DataFrame, finish: Finish, schema: str | StructType, carried: list[str] | None = None) -> DataFrame:
+    """``finish`` over doc, text, row (the columns carried) and spans (start, windows, digest) of all
+    rows. Only texts that may lose something are shuffled to meet what they lose."""
+    texts = _texts(docs, carried or [])
+    found = repeats(texts)
+    sources = digested(texts, found)
+    known = spread_join(found, sources, [*SOURCE, "windows"], "uses")
+    lost = A.cut(known.groupBy("doc", "print").agg(F.collect_set(F.struct("start", "windows", "digest")).alias("spans")))
+    drop(found)
+    drop(sources)
+    filter_ = bloom(lost, "doc")
+    losing = texts.mapInArrow(kept_by(filter_), texts.schema).join(lost, ["doc", "print"], "left")
+    others = kept_by(filter_, False)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def filled() -> Iterator[pa.RecordBatch]:
+            for batch in others(batches):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.nulls(batch.num_rows)], names=["doc", "text", "row", "spans"])
+
+        return finish(filled())
+
+    return losing.select("doc", "text", "row", "spans").mapInArrow(finish, schema).union(texts.mapInArrow(whole, schema))
+
+
 def _kept(part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """n_words, n_removed and the kept words, joined by one space, of each row."""
-    starts, ends, first = T.words(data, offs)
-    segments = A.segments(T.span_hash(data, starts, ends), first, SHAPE)
-    later, single = part.column("later"), part.column("single")
-    for row in range(part.num_rows):
-        a, b = int(first[row]), int(first[row + 1])
-        keep = np.ones(b - a, bool)
-        if later[row].is_valid or single[row].is_valid:
-            whole = later[row].values.to_numpy() if later[row].is_valid else np.zeros(0, np.int64)
-            windows = (single[row].values.field("content").to_numpy(), single[row].values.field("place").to_numpy()) if single[row].is_valid else (whole[:0], whole[:0])
-            for s, e in zip(*A.covered(segments, row, whole, windows, SHAPE.length, False), strict=True):
-                keep[s - a : e - a] = False
-        at = np.flatnonzero(keep)
-        raw = data[offs[row] : offs[row + 1]].tobytes()
-        base = offs[row]
-        words = b" ".join([raw[s:e] for s, e in zip((starts[a + at] - base).tolist(), (ends[a + at] - base).tolist(), strict=True)])
-        yield b - a, b - a - len(at), words
+    of = _words(data, offs)
+    for row, spans_ in enumerate(part.column("spans").to_pylist()):
+        words = of(row)
+        keep = np.ones(len(words), bool)
+        for span in spans_ or ():
+            at = slice(span["start"], span["start"] + span["windows"] + NODE)
+            if _digest(words[at]) == span["digest"]:
+                keep[at] = False
+        kept = int(keep.sum())
+        yield len(words), len(words) - kept, b" ".join(words if kept == len(words) else [words[k] for k in np.flatnonzero(keep).tolist()])
 
 
 def digests(docs: DataFrame) -> DataFrame:

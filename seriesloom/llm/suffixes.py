@@ -162,7 +162,7 @@ def digests(docs: DataFrame) -> DataFrame:
                     a, b = int(offs[row]), int(offs[row + 1])
                     whole = later.values.to_numpy() if later.is_valid else np.zeros(0, np.int64)
                     windows = (single.values.field("content").to_numpy(), single.values.field("place").to_numpy()) if single.is_valid else (whole[:0], whole[:0])
-                    s, e = A.covered(segments, row, whole, windows, SHAPE.length, True)
+                    s, e = A.covered(segments, row, whole, windows, SHAPE.length)
                     raw = data[a:b].tobytes()
                     digest, at = hashlib.sha256(), 0
                     for x, y in zip((s - a).tolist(), (e - a).tolist(), strict=True):
@@ -172,7 +172,7 @@ def digests(docs: DataFrame) -> DataFrame:
                     rows.append((b - a, int((e - s).sum()), len(s), digest.hexdigest()))
                 yield T.batch_of(arrow, A.ids(part.column("doc")), *zip(*rows, strict=True))
 
-    found = A.search(docs, read, [])
+    found = A.search(docs, read)
     single = _later_windows(_fetched(found)).groupBy("doc").agg(F.collect_set(F.struct("content", "place")).alias("single"))
     out = A.finished(found, single, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     drop(found.open_)

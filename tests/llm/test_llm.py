@@ -323,6 +323,19 @@ def test_substring_dedup(docs):
     assert len(substrings.digests(docs).collect()) == len(odd_texts())
 
 
+def test_repeated_paths_are_compacted(spark):
+    shared, rows = words(31, 400, 10**6), []
+    for k in range(4):
+        rows.append((k, f"{words(100 + k, 50, 10**6)} {shared} {words(200 + k, 50, 10**6)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.repeats(substrings._texts(docs, [])).collect()
+    for k in range(1, 4):
+        own = [r for r in found if r.doc == k]
+        assert sum(r.windows for r in own) == 388 and len(own) <= 3 and max(r.windows for r in own) > 350
+        assert {r.sdoc for r in own} == {0}
+    assert all(r.start >= 50 and r.start + r.windows + 12 <= 450 for r in found)
+
+
 def suffix_brute(rows):
     seen, out = {}, {}
     for i, t in sorted(rows):
