@@ -49,13 +49,18 @@ def ids(keys: pa.Array) -> pa.Array:
 
 @dataclass
 class Segments:
-    """Segments of a chunk: row, anchor hash, content hash, first window and number of windows."""
+    """Segments of a chunk: row, anchor hash, first window and number of windows; ``contents`` gives the
+    content hashes of some."""
 
     row: np.ndarray
     anchor: np.ndarray
-    content: np.ndarray
     start: np.ndarray
     windows: np.ndarray
+    contents: Callable[[np.ndarray], np.ndarray]
+
+    def content(self) -> np.ndarray:
+        """The content hashes of all, signed."""
+        return T.signed(self.contents(np.arange(len(self.row))))
 
 
 @dataclass(frozen=True)
@@ -106,7 +111,7 @@ def segments(values: np.ndarray, offs: np.ndarray, shape: Shape, content: Callab
     n, length, k = len(values), shape.length, shape.k
     none = np.zeros(0, np.int64)
     if n < length:
-        return Segments(none, none.view(T.U64), none.view(T.U64), none, none)
+        return Segments(none, none.view(T.U64), none, none, lambda at: at.view(T.U64))
     least = least_places(_gram_order(values, k), length - k + 1)
     inside = np.zeros(n + 1, np.int32)
     size = np.diff(offs)
@@ -115,15 +120,15 @@ def segments(values: np.ndarray, offs: np.ndarray, shape: Shape, content: Callab
     np.add.at(inside, offs[1:][long] - length + 1, -1)
     window = np.flatnonzero(np.cumsum(inside)[: len(least)])
     if not len(window):
-        return Segments(none, none.view(T.U64), none.view(T.U64), none, none)
+        return Segments(none, none.view(T.U64), none, none, lambda at: at.view(T.U64))
     place = (least[window] & T.U64(2**32 - 1)).astype(np.int64)
     new = np.ones(len(window), bool)
     new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(window)))
     start, place = window[first], place[first]
-    content = content or (lambda a, b, seed: content_hash(values, a, b - a, seed))
-    return Segments(np.searchsorted(offs, start, "right") - 1, content(place, place + k, 0), content(start, start + count - 1 + length, 1), start, count)
+    hashed = content or (lambda a, b, seed: content_hash(values, a, b - a, seed))
+    return Segments(np.searchsorted(offs, start, "right") - 1, hashed(place, place + k, 0), start, count, lambda at: hashed(start[at], start[at] + count[at] - 1 + length, 1))
 
 
 #: From the bytes and offsets of a chunk to its segments.
@@ -169,8 +174,10 @@ def repeated_segments(texts: DataFrame, read: Reader, often: DataFrame) -> DataF
                 found = read(data, offs)
                 anchor = T.signed(found.anchor)
                 at = np.flatnonzero(passes(likely.value, anchor))
-                at = at[_first_of_each(found.row[at], found.content[at])]
-                yield T.batch_of(arrow, anchor[at], T.signed(found.content)[at], part.column(0).to_numpy()[found.row[at]])
+                content = T.signed(found.contents(at))
+                one = _first_of_each(found.row[at], content)
+                at = at[one]
+                yield T.batch_of(arrow, anchor[at], content[one], part.column(0).to_numpy()[found.row[at]])
 
     return spread_join(texts.select("doc", "text").mapInArrow(run, "anchor long, content long, doc long"), often, ["anchor"], "n").select("anchor", "content", "doc")
 
@@ -229,21 +236,21 @@ def finished(found: Found, single: DataFrame, finish: Finish, schema: str) -> Da
     return losing.select("doc", "text", "later", "single").mapInArrow(finish, schema).union(found.texts.mapInArrow(whole, schema))
 
 
-def chosen(found: Segments, row: int, contents: np.ndarray) -> np.ndarray:
-    """The first segments of a row with the given contents (signed), in order of start."""
+def chosen(found: Segments, content: np.ndarray, row: int, contents: np.ndarray) -> np.ndarray:
+    """The first segments of a row with the given contents, in order of start. content: of all segments."""
     a, b = np.searchsorted(found.row, [row, row + 1])
-    content = T.signed(found.content[a:b])
+    content = content[a:b]
     hit = np.flatnonzero(np.isin(content, contents))
     return a + np.sort(hit[np.unique(content[hit], return_index=True)[1]])
 
 
-def covered(found: Segments, row: int, later: np.ndarray, windows: tuple[np.ndarray, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+def covered(found: Segments, content: np.ndarray, row: int, later: np.ndarray, windows: tuple[np.ndarray, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, merged and in order, of what is to be removed from a row.
 
     later: contents whose segments go; windows: contents and places in them of single windows that
     go from their first copy. A segment that the row has had before goes too."""
     a, b = np.searchsorted(found.row, [row, row + 1])
-    content, start, count = T.signed(found.content[a:b]), found.start[a:b], found.windows[a:b]
+    content, start, count = content[a:b], found.start[a:b], found.windows[a:b]
     values, first = np.unique(content, return_index=True)
     gone = np.ones(len(content), bool)
     gone[first] = False

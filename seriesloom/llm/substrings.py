@@ -72,8 +72,9 @@ def occurrences(texts: DataFrame, often: DataFrame) -> DataFrame:
                 found = A.segments(h, first, SHAPE)
                 at = np.flatnonzero(passes(likely.value, T.signed(found.anchor)))
                 row, start, windows = found.row[at], found.start[at], found.windows[at]
+                content = T.signed(found.contents(at))
                 nodes = [T.signed(A.content_hash(h, x, np.full(len(at), NODE), 0)) for x in (start, start + windows)]
-                yield T.batch_of(arrow, T.signed(found.anchor)[at], T.signed(found.content)[at], *nodes, part.column("doc").to_numpy()[row], part.column("print").to_numpy()[row], start - first[row], windows)
+                yield T.batch_of(arrow, T.signed(found.anchor)[at], content, *nodes, part.column("doc").to_numpy()[row], part.column("print").to_numpy()[row], start - first[row], windows)
 
     schema = ", ".join(f"{c} long" for c in arrow.names)
     return spread_join(texts.select("doc", "print", "text").mapInArrow(run, schema), often, ["anchor"], "n").select(arrow.names)
@@ -121,7 +122,7 @@ def _edges(texts: DataFrame, open_: DataFrame) -> DataFrame:
                 starts, ends, first = T.words(data, offs)
                 h = T.span_hash(data, starts, ends)
                 found = A.segments(h, first, SHAPE)
-                content = T.signed(found.content)
+                content = found.content()
                 bounds = np.searchsorted(found.row, np.arange(part.num_rows + 1))
                 lists = part.column("open")
                 wanted = [np.arange(a, b)[np.isin(content[a:b], lists[k].values.to_numpy())] for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]

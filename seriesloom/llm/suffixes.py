@@ -70,6 +70,21 @@ def previous_factors(text: np.ndarray, starts: np.ndarray, order: np.ndarray, de
     return out
 
 
+def repeated(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the suffixes that share their first ``depth`` bytes with another: what has neighbours
+    with such a common prefix in the suffix order. All others reach no factor of that length."""
+    words = np.zeros((len(starts), -(-depth // 8) * 8), np.uint8)
+    words[:, :depth] = np.lib.stride_tricks.sliding_window_view(text, depth)[starts]
+    key = T.mix(np.full(len(starts), depth, T.U64))
+    for column in words.view("<u8").T:
+        key = T.mix(key ^ column)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    shared = np.zeros(len(starts), bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    return np.flatnonzero(shared)
+
+
 def _fetched(found: A.Found) -> DataFrame:
     """Segments (or single windows of hot anchors) to compare: bucket, doc, start, content, place, bytes."""
     arrow = pa.schema([("anchor", pa.int64()), ("share", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("content", pa.int64()), ("place", pa.int32()), ("bytes", pa.binary())])
@@ -78,13 +93,14 @@ def _fetched(found: A.Found) -> DataFrame:
         for batch in batches:
             for part, data, offs in T.chunks(batch, "text"):
                 segments = read(data, offs)
+                contents, anchors = segments.content(), T.signed(segments.anchor)
                 rows: list[tuple] = []
                 for row, (doc, open_) in enumerate(zip(part.column("doc").to_pylist(), part.column("open"), strict=True)):
                     fields = open_.values
                     hot = {a: c for a, c in zip(fields.field("anchor").to_pylist(), fields.field("classes").to_pylist(), strict=True) if c > HOT_SEGMENTS}
-                    for k in A.chosen(segments, row, fields.field("content").to_numpy()).tolist():
+                    for k in A.chosen(segments, contents, row, fields.field("content").to_numpy()).tolist():
                         at, n = int(segments.start[k]), int(segments.windows[k])
-                        anchor, content = int(T.signed(segments.anchor)[k]), int(T.signed(segments.content)[k])
+                        anchor, content = int(anchors[k]), int(contents[k])
                         raw = data[at : at + n - 1 + SHAPE.length].tobytes()
                         begin = at - int(offs[row])
                         if anchor not in hot:
@@ -120,7 +136,9 @@ def _later_windows(rows: DataFrame) -> DataFrame:
         step[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
         order = np.empty(len(by), np.int64)
         order[by] = np.cumsum(step)
-        gone = previous_factors(text, at, order, SHAPE.length) >= SHAPE.length
+        gone = np.zeros(len(at), bool)
+        again = repeated(text, at, SHAPE.length)
+        gone[again] = previous_factors(text, at[again], order[again], SHAPE.length) >= SHAPE.length
         return T.batch_of(arrow, doc[row[gone]], table["content"].to_numpy()[row[gone]], (table["place"].to_numpy()[row[gone]] + j[gone]).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +175,13 @@ def digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, data, offs in T.chunks(batch, "text"):
                 segments = read(data, offs)
+                content = segments.content()
                 rows = []
                 for row, (later, single) in enumerate(zip(part.column("later"), part.column("single"), strict=True)):
                     a, b = int(offs[row]), int(offs[row + 1])
                     whole = later.values.to_numpy() if later.is_valid else np.zeros(0, np.int64)
                     windows = (single.values.field("content").to_numpy(), single.values.field("place").to_numpy()) if single.is_valid else (whole[:0], whole[:0])
-                    s, e = A.covered(segments, row, whole, windows, SHAPE.length)
+                    s, e = A.covered(segments, content, row, whole, windows, SHAPE.length)
                     raw = data[a:b].tobytes()
                     digest, at = hashlib.sha256(), 0
                     for x, y in zip((s - a).tolist(), (e - a).tolist(), strict=True):
