@@ -94,6 +94,18 @@ def merge_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicas.merge(_replicas(spark, sf_dir)).points.select("name", "ts", (F.round("v", 6) + 0.0).alias("v"))
 
 
+@query(_COPIES + "SELECT name, ts, round(coalesce(m, v), 6) + 0.0 AS v FROM f LEFT JOIN w USING (name, ts)")
+def merge_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicas that meet as whole series, by vote; slots that no replica has are left out."""
+    rows = _replicas(spark, sf_dir)
+    place = ((F.col("ts") - JANUARY) / HOUR).cast("int")
+    held = rows.groupBy("replica", "name", "step").agg(F.map_from_entries(F.collect_list(F.struct(place, "v"))).alias("m"))
+    values = F.transform(F.sequence(F.lit(0), F.lit((FEBRUARY - JANUARY) // HOUR - 1)), lambda i: F.try_element_at("m", i))
+    merged = replicas.merge_series(held.select("replica", "name", F.lit(JANUARY).cast("long").alias("start"), "step", values.alias("values")), "majority")
+    points = merged.select("name", F.posexplode("values").alias("i", "v")).select("name", (F.lit(JANUARY) + F.col("i") * HOUR).cast("long").alias("ts"), (F.round("v", 6) + 0.0).alias("v"))
+    return rows.select("name", F.col("ts").cast("long").alias("ts")).distinct().join(points, ["name", "ts"])
+
+
 @query(_COPIES + "SELECT name, ts, round(coalesce(m, v), 6) + 0.0 AS v FROM f LEFT JOIN w USING (name, ts)")
 def merge_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicas by vote."""

@@ -28,9 +28,10 @@ def _time(i: Column) -> Column:
 
 def plain(v: Column) -> Column:
     """A number in the fewest decimals that tell it apart, without an exponent."""
-    text = v.cast("string")
-    large, small = (v.try_cast(f"decimal(38,{places})").cast("string") for places in (0, 30))
-    return F.coalesce(F.when(~text.contains("E"), F.regexp_replace(text, r"\.0$", "")).when(F.abs(v) >= 1, large).otherwise(F.regexp_replace(small, r"\.?0+$", "")), text)
+    text, size = v.cast("string"), F.abs(v)
+    large, middle, small = (v.try_cast(f"decimal(38,{places})").cast("string") for places in (0, 18, 30))
+    fraction = lambda t: F.regexp_replace(t, r"\.?0*$", "")
+    return F.coalesce(F.when(~text.contains("E"), F.regexp_replace(text, r"\.0$", "")).when(size >= 1e16, large).when(size >= 1, fraction(middle)).otherwise(fraction(small)), text)
 
 
 def json_rows(series: DataFrame) -> DataFrame:

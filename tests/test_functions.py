@@ -136,8 +136,8 @@ def test_sinks(spark):
 
     df = engine(spark, m__a=[1, N, 2.5]).evaluate("m.a", 0, 3)
     assert json.loads(sinks.json_rows(df).first()["json"]) == {"target": "m.a", "datapoints": [[1, 0], [None, 1], [2.5, 2]]}
-    assert [r["csv"] for r in sinks.csv_rows(df).orderBy("i").collect()] == ['"m.a",1970-01-01 00:00:00,1.0', '"m.a",1970-01-01 00:00:01,', '"m.a",1970-01-01 00:00:02,2.5']
-    assert sinks.raw_rows(df).first()["raw"] == "m.a,0,3,1|1.0,None,2.5"
+    assert [r["csv"] for r in sinks.csv_rows(df).orderBy("i").collect()] == ['"m.a",1970-01-01 00:00:00,1', '"m.a",1970-01-01 00:00:01,', '"m.a",1970-01-01 00:00:02,2.5']
+    assert sinks.raw_rows(df).first()["raw"] == "m.a,0,3,1|1,None,2.5"
     assert pickle.loads(sinks.pickled(df))[0]["values"] == [1, None, 2.5]
     assert sinks.reduced_to(df, 1).select("values").first()[0] == [1.75]
 
@@ -154,3 +154,9 @@ def test_stream_of_points(spark, tmp_path):
     streaming.store(stream, 60, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("ts").select(F.col("v")).collect()
     assert [r[0] for r in got] == [2.0, 1.0]
+
+
+def test_plain_numbers(spark):
+    numbers = [12.0, 0.1, 1e7, 123456789.25, 1e22, 1.5e-7, -2.5e10, 0.0, 1e-5, -1 / 3]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in numbers], "v double").select(sinks.plain(F.col("v"))).collect()]
+    assert got == ["12", "0.1", "10000000", "123456789.25", "1" + "0" * 22, "0.00000015", "-25000000000", "0", "0.00001", "-0.3333333333333333"]
