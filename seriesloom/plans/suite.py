@@ -50,10 +50,12 @@ def shown(body: str, kind: str = "click", more: str = "") -> str:
     return over(f"SELECT name, ts, round(v, 6) + 0.0 AS v FROM ({body})", kind, more)
 
 
-def points(key: str, target: str | list[str], sql: str | None, start: int = JANUARY, stop: int = FEBRUARY) -> None:
+def points(key: str, target: str | list[str], sql: str | None, start: int = JANUARY, stop: int = FEBRUARY, off: float = 0.0) -> None:
+    """off: what is added before rounding, where values halfway between two roundings occur."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = Engine(bridge.store(spark, sf_dir)).points(target, start, stop)
-        return found.select("name", F.col("ts").cast("long").alias("ts"), (F.round("v", 6) + 0.0).alias("v"))
+        return found.select("name", F.col("ts").cast("long").alias("ts"), (F.round(F.col("v") + off, 6) + 0.0).alias("v"))
 
     QUERIES[key] = query
     if sql:
@@ -306,6 +308,20 @@ def _shifts() -> None:
     points("threshold", "threshold(7.5,'limit','red')", f"SELECT 'limit' AS name, CAST({start} + i * {stop - start} AS BIGINT) AS ts, CAST(7.5 AS DOUBLE) AS v FROM (SELECT unnest(range(2)) AS i)", start, stop)
 
 
+def smoothing(value: str) -> str:
+    """A recursive relation h (name, i, ts, v, p, d): triple exponential smoothing with a season of 24
+    slots over s. ss and ds hold the last season's figures and deviations, f what comes next."""
+    usual, spread = "CASE WHEN len(ss) = 24 THEN ss[1] ELSE 0.0 END", "CASE WHEN len(ds) = 24 THEN ds[1] ELSE 0.0 END"
+    coming = "CASE len(ss) WHEN 24 THEN ss[2] WHEN 23 THEN ss[1] ELSE 0.0 END"
+    last = "CASE WHEN len({0}) = 24 THEN list_slice({0}, 2, 24) ELSE {0} END"
+    read = f"SELECT h.name, s.i, s.ts, CAST({value} AS DOUBLE) AS v, h.l AS was, h.t, h.f, h.ss, h.ds FROM h JOIN s ON s.name = h.name AND s.i = h.i + 1"
+    told = f"SELECT *, CASE WHEN v IS NULL THEN f WHEN i = 0 THEN v ELSE f END AS p, coalesce(was, v) AS b, {usual} AS u, {spread} AS x, {coming} AS y FROM ({read})"
+    level = f"SELECT *, 0.1::DOUBLE * (v - u) + (1 - 0.1::DOUBLE) * (b + t) AS l FROM ({told})"
+    slope = f"SELECT *, CASE WHEN v IS NULL THEN 0.0 ELSE 0.0035::DOUBLE * (l - b) + (1 - 0.0035::DOUBLE) * t END AS t2, CASE WHEN v IS NULL THEN 0.0 ELSE 0.1::DOUBLE * (v - l) + (1 - 0.1::DOUBLE) * u END AS s2, CASE WHEN v IS NULL THEN 0.0 ELSE 0.1::DOUBLE * abs(v - coalesce(p, 0.0)) + (1 - 0.1::DOUBLE) * x END AS d FROM ({level})"
+    start = "SELECT DISTINCT name, CAST(-1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ts, CAST(NULL AS DOUBLE) AS v, CAST(NULL AS DOUBLE) AS p, CAST(NULL AS DOUBLE) AS d, CAST(NULL AS DOUBLE) AS l, CAST(0 AS DOUBLE) AS t, CAST(NULL AS DOUBLE) AS f, CAST([] AS DOUBLE[]) AS ss, CAST([] AS DOUBLE[]) AS ds FROM s"
+    return f"h AS ({start} UNION ALL SELECT name, i, ts, v, p, d, l, t2, CASE WHEN v IS NOT NULL THEN l + t2 + y END, list_append({last.format('ss')}, s2), list_append({last.format('ds')}, d) FROM ({slope}))"
+
+
 def _numeric() -> None:
     waves = ", ".join(f"sum(coalesce(b.v, 0) * {f}(2 * pi() * ((a.i * b.i) % {SLOTS}) / {SLOTS})) AS {k}" for f, k in (("cos", "x"), ("sin", "y")))
     points("fft", f"fft({CLICK},'abs')", shown(f"SELECT 'fft(' || name || ',''abs'')' AS name, ts, sqrt(x * x + y * y) AS v FROM (SELECT a.name, a.ts, {waves} FROM s a JOIN s b ON a.name = b.name GROUP BY a.name, a.ts)"))
@@ -326,8 +342,16 @@ def _numeric() -> None:
     curve = f"SELECT 'polyfit(' || name || ',3,''1d'')' AS name, CAST({JANUARY} + i * 3600 AS BIGINT) AS ts, round(k0 + k1 * p1 + k2 * p2 + k3 * (x * x * x - s30 - s31 * p1 - s32 * p2), 6) + 0.0 AS v FROM h"
     points("polyfit", f"polyfit({CLICK},3,'1d')", over(curve, more=f", {fitted}"))
     start = JANUARY + 8 * 86400
-    for key in ("holtWintersForecast", "holtWintersConfidenceBands", "holtWintersAberration"):
-        points(key, f"{key}({CLICK})", None, start, FEBRUARY)
+    predicted = "SELECT 'holtWinters{}(' || name || ')' AS name, ts, {} AS v FROM {} WHERE ts >= " + str(start)
+    bands = " UNION ALL ".join(predicted.format(f"Confidence{side}", f"p {sign} 3 * d", "h") for side, sign in (("Lower", "-"), ("Upper", "+")))
+    outside = "CASE WHEN p IS NULL OR v IS NULL THEN 0.0 WHEN v > p + 3 * d THEN v - (p + 3 * d) WHEN v < p - 3 * d THEN v - (p - 3 * d) ELSE 0.0 END"
+    for key, body, value in (
+        ("holtWintersForecast", predicted.format("Forecast", "p", "h"), "coalesce(s.v, 0.0)"),
+        ("holtWintersConfidenceBands", bands, "s.v"),
+        ("holtWintersAberration", predicted.format("Aberration", outside, "(SELECT h.name, h.ts, h.p, h.d, s.v FROM h JOIN s ON s.name = h.name AND s.i = h.i)"), "coalesce(s.v, 0.0)"),
+    ):
+        sql = f"WITH RECURSIVE s AS ({events('click', HOUR, start - 7 * 86400, FEBRUARY)}), {smoothing(value)} SELECT name, ts, round(v + 1e-9, 6) + 0.0 AS v FROM ({body})"
+        points(key, f"{key}({CLICK})", sql, start, FEBRUARY, 1e-9)
 
 
 for _add in (_elementwise, _aggregates, _groups, _pairs, _windows, _filters, _sorts, _names, _shifts, _numeric):
