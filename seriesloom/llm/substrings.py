@@ -42,6 +42,9 @@ from seriesloom.llm.graph import Tables, bloom, drop, kept_by, passes, spread_jo
 
 SHAPE = A.Shape(13, 4)
 NODE = SHAPE.length - 1
+#: Spans that are asked of a source in one row, about; a source that many documents have parts of gets
+#: several rows.
+ASKED = 1 << 12
 #: A place in a text: its document, its text's print and the number of the word.
 SOURCE = ["sdoc", "sprint", "sstart"]
 
@@ -176,8 +179,11 @@ def _words(data: np.ndarray, offs: np.ndarray) -> Callable[[int], list[bytes]]:
 
 def digested(texts: DataFrame, found: DataFrame) -> DataFrame:
     """SOURCE, windows, digest and uses of the sources of spans, from their texts."""
-    wanted = found.groupBy(*SOURCE, "windows").agg(F.count("*").alias("uses"))
-    asked = A.cut(wanted.groupBy(F.col("sdoc").alias("doc"), F.col("sprint").alias("print")).agg(F.collect_list(F.struct("sstart", "windows", "uses")).alias("asked")))
+    wanted = A.cut(found.groupBy(*SOURCE, "windows").agg(F.count("*").alias("uses")))
+    each = A.cut(wanted.groupBy("sdoc", "sprint").agg(F.count("*").alias("k")))
+    share = F.pmod(F.xxhash64("sstart", "windows"), F.ceil(F.col("k") / ASKED)).alias("share")
+    shared = spread_join(wanted, each, ["sdoc", "sprint"], "k").select(F.col("sdoc").alias("doc"), F.col("sprint").alias("print"), share, F.struct("sstart", "windows", "uses").alias("a"))
+    asked = A.cut(shared.groupBy("doc", "print", "share").agg(F.collect_list("a").alias("asked")).drop("share"))
     arrow = pa.schema([*[(c, pa.int64()) for c in (*SOURCE, "windows")], ("digest", pa.binary()), ("uses", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +199,8 @@ def digested(texts: DataFrame, found: DataFrame) -> DataFrame:
     schema = "sdoc long, sprint long, sstart long, windows long, digest binary, uses long"
     # Rows that repeat a document and its text give the same digests.
     out = A.cut(rows.mapInArrow(run, schema).dropDuplicates([*SOURCE, "windows"]))
-    drop(asked)
+    for table in (wanted, each, asked):
+        drop(table)
     return out
 
 
