@@ -18,6 +18,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from seriesloom.llm import bpe, graph, html_pages, lm, media, near, packing, quality, substrings, suffixes, token_counts
 from seriesloom.llm import queries as Q
+from seriesloom.llm import text as text_module
 
 P = pytest.importorskip("public_tokenizers")
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,6 +94,19 @@ def test_counts_of_parts(text, size):
     assert sum(ids, []) == encoder.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=30).map("".join), min_size=1, max_size=6))
+def test_counts_of_units(texts):
+    encoder, _ = token_counts.engine(P.path("byte_bpe_50k.json"))
+    data, offs = text_module.flat(pa.array(texts))
+    distinct, place, first = token_counts.units(data, offs)
+    made = [[distinct[c].as_py() for c in place[a:b]] for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert ["".join(x) for x in made] == texts
+    for t, cut in zip(texts, made, strict=True):
+        ids = [e.ids for e in encoder.encode_batch_fast(cut, add_special_tokens=False)] if cut else []
+        assert sum(ids, []) == encoder.encode(t, add_special_tokens=False).ids
+
+
 def test_counts_of_long_runs(spark):
     texts = [" " * 1_500_000, "x" * 300_000, "word " * 100_000, "a1" * 100_000, "=" * 200_000]
     encoder, _ = token_counts.engine(P.path("byte_bpe_50k.json"))
