@@ -185,7 +185,7 @@ def shingles(t):
     return set(zip(*[w[k:] for k in range(5)], strict=False)) if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def near_brute(rows):
+def near_brute(rows, threshold=85):
     sets = [(i, shingles(t)) for i, t in rows]
     root = list(range(len(sets)))
 
@@ -197,7 +197,7 @@ def near_brute(rows):
     for x in range(len(sets)):
         for y in range(x):
             a, b = sets[x][1], sets[y][1]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= threshold * len(a | b):
                 root[top(x)] = top(y)
     least = {}
     for x, (i, _) in enumerate(sets):
@@ -321,18 +321,23 @@ def test_least_overlap_follows_the_threshold():
     assert near.least_overlap(80) < near.least_overlap(85)
 
 
-def test_substring_dedup(docs):
-    rows = [(i, t) for i, t in odd_texts() if i not in (None,)]
+def substring_brute(rows):
+    """doc_id, words and kept text of each row."""
     first = {}
-    for i, t in sorted(rows):
-        w = W.findall(t or "") if t else []
+    for i, t in rows:
+        w = W.findall(t or "")
         for k in range(len(w) - 12):
             first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
-    got = by_id(substrings.digests(docs.filter("doc_id is not null")))
     for i, t in rows:
         w = W.findall(t or "")
         gone = {x for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for x in range(k, k + 13)}
-        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        yield i, w, gone, " ".join(x for k, x in enumerate(w) if k not in gone)
+
+
+def test_substring_dedup(docs):
+    rows = [(i, t) for i, t in odd_texts() if i is not None]
+    got = by_id(substrings.digests(docs.filter("doc_id is not null")))
+    for i, w, gone, kept in substring_brute(rows):
         assert all((r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()) for r in got[i])
     assert len(substrings.digests(docs).collect()) == len(odd_texts())
 
@@ -647,6 +652,32 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert corpus_pipeline.substring_stage(spark, rows, "").count() == rows.count()
 
 
+def test_pipeline_runs_whole(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(9)
+    common = "the of and to a in is that it for was on with as".split()
+    prose = [" ".join(common[x] if x < 14 else f"{chr(97 + x % 26)}o{chr(97 + x % 7)}e{chr(97 + x // 26)}" for x in np.where(rng.random(180) < 0.3, rng.integers(0, 5, 180), rng.integers(14, 500, 180))) for _ in range(12)]
+    edited = prose[0].split()
+    edited[90] = "changed"
+    texts = [*prose, " ".join(edited), prose[1], prose[2] + " " + " ".join(prose[3].split()[20:90]), "too short", None, "&&& %%% " * 90]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    good = {r.doc_id for r in quality.quality(spark.read.parquet(str(tmp_path / "documents.parquet"))).filter("kept").collect()}
+    assert {0, 12, 13, 14} <= good and not {15, 16, 17} & good
+    kept = [(i, t) for i, t in enumerate(texts) if i in good]
+    least = {i for i, _, c in near_brute(kept, 80) if i == c}
+    kept = [(i, t) for i, t in kept if i in least]
+    assert not {12, 13} & least and 14 in least
+    tk, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), collections.Counter()
+    for i, w, gone, text in substring_brute(kept):
+        assert bool(gone) == (i == 14)
+        ids = [*tk.encode(text if gone else texts[i], add_special_tokens=False).ids, 1]
+        want[i, 0, len(ids), zlib.crc32(array("I", ids).tobytes()), len(ids)] += 1
+    assert got == want
+
+
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in Q.QUERIES) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "packing"]
