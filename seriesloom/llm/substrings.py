@@ -83,21 +83,29 @@ def occurrences(texts: DataFrame, often: DataFrame) -> DataFrame:
     return spread_join(texts.select("doc", "print", "text").mapInArrow(run, schema), often, ["anchor"], "n").select(arrow.names)
 
 
-def _sourced(rows: DataFrame, keys: list[str], also: tuple[str, ...] = ()) -> DataFrame:
-    """For each key its source, the last document that has it, the number of rows, and columns that are
+def _first(rows: DataFrame, keys: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """For each key the first and last document that have it, the number of rows, and columns that are
     the same in all of them."""
-    source = F.min(F.struct("doc", "print", "start"))
-    return rows.groupBy(*keys).agg(source.alias("s"), F.max("doc").alias("last"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in also]).select(*keys, F.col("s.doc").alias("sdoc"), F.col("s.print").alias("sprint"), F.col("s.start").alias("sstart"), "last", "n", *also)
+    return rows.groupBy(*keys).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in also])
+
+
+def _sourced(rows: DataFrame, found: DataFrame, keys: list[str], tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The rows of later documents, for keys (with first and n) that several documents have, and the
+    source of each key with its number n of such rows."""
+    met = tables.cut(spread_join(rows, found, keys, "n").drop("n"))
+    source = F.min(F.when(F.col("doc") == F.col("first"), F.struct("print", "start")))
+    sources = met.groupBy(*keys).agg(F.first("first").alias("sdoc"), source.alias("s"), F.count_if(F.col("doc") > F.col("first")).alias("n"))
+    return met.filter(F.col("doc") > F.col("first")).drop("first"), tables.cut(sources.select(*keys, "sdoc", F.col("s.print").alias("sprint"), F.col("s.start").alias("sstart"), "n"))
 
 
 def paths(runs: DataFrame) -> DataFrame:
     """SOURCE and head (the head's sstart) of the repeated runs: maximal nonbranching paths of runs
-    (before, behind, windows, SOURCE, last) that follow each other in their source."""
-    leaving = runs.groupBy(F.col("before").alias("node")).agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in (*SOURCE, "last")]).filter("k = 1")
-    entering = runs.groupBy(F.col("behind").alias("node")).agg(F.count("*").alias("k"), *[F.first(c).alias(f"p_{c}") for c in (*SOURCE, "last", "windows")]).filter("k = 1")
+    (before, behind, windows, SOURCE or null) that follow each other in their source."""
+    leaving = runs.groupBy(F.col("before").alias("node")).agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in SOURCE]).filter("k = 1 AND sdoc IS NOT NULL")
+    entering = runs.groupBy(F.col("behind").alias("node")).agg(F.count("*").alias("k"), *[F.first(c).alias(f"p_{c}") for c in (*SOURCE, "windows")]).filter("k = 1 AND p_sdoc IS NOT NULL")
     follows = (F.col("p_sdoc") == F.col("sdoc")) & (F.col("p_sprint") == F.col("sprint")) & (F.col("p_sstart") + F.col("p_windows") == F.col("sstart"))
-    joined = leaving.drop("k").join(entering.drop("k"), "node").filter(follows & (F.col("last") > F.col("sdoc")) & (F.col("p_last") > F.col("sdoc"))).select(*SOURCE, F.lit(True).alias("joined"))
-    repeated = runs.filter(F.col("last") > F.col("sdoc")).select(SOURCE).join(joined, SOURCE, "left")
+    joined = leaving.drop("k").join(entering.drop("k"), "node").filter(follows).select(*SOURCE, F.lit(True).alias("joined"))
+    repeated = runs.filter("sdoc IS NOT NULL").select(SOURCE).join(joined, SOURCE, "left")
     so_far = Window.partitionBy("sdoc", "sprint").orderBy("sstart")
     return repeated.select(*SOURCE, F.max(F.when(F.col("joined").isNull(), F.col("sstart"))).over(so_far).alias("head"))
 
@@ -148,15 +156,20 @@ def repeats(texts: DataFrame) -> DataFrame:
     often = A.repeated_anchors(texts, read)
     rows = tables.cut(occurrences(texts, often))
     drop(often)
-    runs = tables.cut(_sourced(rows, ["anchor", "content"], ("before", "behind", "windows")))
+    run, edge = ["anchor", "content"], ["e1", "e2"]
+    runs = tables.cut(_first(rows, run, ("before", "behind", "windows")))
     several = tables.cut(runs.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"))
-    open_ = spread_join(runs.select("anchor", "content", "sdoc"), several, ["anchor"], "k").groupBy(F.col("sdoc").alias("doc")).agg(F.collect_list("content").alias("open"))
+    open_ = spread_join(runs.select(*run, "first"), several, ["anchor"], "k").groupBy(F.col("first").alias("doc")).agg(F.collect_list("content").alias("open"))
     edges = tables.cut(_edges(texts, tables.cut(open_)))
-    sources = tables.cut(_sourced(edges, ["e1", "e2"]).filter(F.col("last") > F.col("sdoc")))
-    single = spread_join(edges, sources, ["e1", "e2"], "n").filter(F.col("doc") > F.col("sdoc")).select("doc", "print", "start", F.lit(1).cast("long").alias("windows"), *SOURCE)
-    known = tables.cut(runs.filter(F.col("last") > F.col("sdoc")).select("anchor", "content", "n", *SOURCE).join(paths(runs), SOURCE))
-    whole = spread_join(rows, known, ["anchor", "content"], "n").filter(F.col("doc") > F.col("sdoc")).select("doc", "print", "start", "windows", "head", *SOURCE)
-    out = A.cut(spans(whole, "head").union(spans(single.withColumn("head", F.lit(-1).cast("long")), "head")))
+    shared = tables.cut(_first(edges, edge).filter(F.col("last") > F.col("first")).select(*edge, "first", "n"))
+    later, sources = _sourced(edges, shared, edge, tables)
+    single = spread_join(later, sources, edge, "n").select("doc", "print", "start", F.lit(1).cast("long").alias("windows"), F.lit(-1).cast("long").alias("head"), *SOURCE)
+    repeated = tables.cut(runs.filter(F.col("last") > F.col("first")).select(*run, "first", "n"))
+    later, sources = _sourced(rows.select(*run, "doc", "print", "start", "windows"), repeated, run, tables)
+    graph = tables.cut(runs.select(*run, "before", "behind", "windows").join(sources, run, "left"))
+    known = tables.cut(sources.join(paths(graph), SOURCE))
+    whole = spread_join(later, known, run, "n").select("doc", "print", "start", "windows", "head", *SOURCE)
+    out = A.cut(spans(whole, "head").union(spans(single, "head")))
     tables.drop()
     return out
 
