@@ -162,11 +162,11 @@ def repeated_anchors(texts: DataFrame, read: Reader) -> DataFrame:
     return cut(counted.filter("n > 1"))
 
 
-def repeated_segments(texts: DataFrame, read: Reader, often: DataFrame) -> DataFrame:
+def repeated_segments(texts: DataFrame, read: Reader, often: DataFrame, tables: Tables) -> DataFrame:
     """anchor, content and doc of the segments whose anchor is among those that occur often."""
     arrow = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64())])
 
-    likely = bloom(often, "anchor")
+    likely = bloom(often, "anchor", tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +196,7 @@ def search(docs: DataFrame, read: Reader) -> Found:
     texts = plain(docs)
     tables = Tables()
     often = repeated_anchors(texts, read)
-    shared = tables.cut(repeated_segments(texts, read, often))
+    shared = tables.cut(repeated_segments(texts, read, often, tables))
     drop(often)
     classes = tables.cut(shared.groupBy("anchor", "content").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
     several = tables.cut(classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1"))

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -48,10 +49,11 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 
 class Tables:
-    """Tables that are cut for a while and dropped together."""
+    """Tables that are cut for a while, and filters that are broadcast, dropped together."""
 
     def __init__(self):
         self.held: list[DataFrame] = []
+        self.filters: list[Broadcast] = []
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.held.append(cut(df))
@@ -60,7 +62,10 @@ class Tables:
     def drop(self) -> None:
         for table in self.held:
             drop(table)
+        for filter_ in self.filters:
+            filter_.destroy()
         self.held.clear()
+        self.filters.clear()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -102,8 +107,26 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str)
 BITS = 1 << 27
 
 
-def bloom(keys: DataFrame, column: str) -> Broadcast:
-    """A filter of fixed size over 64-bit keys. Only the words of its bitmap that are set reach the
+class Bitmap:
+    """A bitmap that travels compressed, since filters of small data are nearly empty."""
+
+    def __init__(self, bits: np.ndarray):
+        self.packed, self.held = zlib.compress(bits.tobytes(), 1), None
+
+    def __getstate__(self) -> bytes:
+        return self.packed
+
+    def __setstate__(self, packed: bytes) -> None:
+        self.packed, self.held = packed, None
+
+    def bits(self) -> np.ndarray:
+        if self.held is None:
+            self.held = np.frombuffer(zlib.decompress(self.packed), np.int64)
+        return self.held
+
+
+def bloom(keys: DataFrame, column: str, tables: Tables | None = None) -> Broadcast:
+    """A filter of fixed size over 64-bit keys, dropped with ``tables``. Only the words of its bitmap that are set reach the
     driver. It never misses a key; what else it lets through is decided by a join that follows, so
     a filter that fills up on very large data costs time and loses nothing."""
     spark = keys.sparkSession
@@ -113,11 +136,14 @@ def bloom(keys: DataFrame, column: str) -> Broadcast:
     bitmap = np.zeros(BITS // 64, np.int64)
     if words.num_rows:
         bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return spark.sparkContext.broadcast(bitmap)
+    shared = spark.sparkContext.broadcast(Bitmap(bitmap))
+    if tables is not None:
+        tables.filters.append(shared)
+    return shared
 
 
-def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (BITS - 1)
+def passes(filter_: Bitmap, keys: np.ndarray) -> np.ndarray:
+    bitmap, at = filter_.bits(), keys & (BITS - 1)
     return (bitmap[at >> 6] >> (at & 63)) & 1 > 0
 
 

@@ -133,7 +133,7 @@ def set_classes(rows: DataFrame) -> DataFrame:
     return cut(classes.join(shared, "digest", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("digest", "check")).otherwise(F.col("digest"))).drop("shared"))
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _full_sets(docs: DataFrame, wanted: DataFrame, tables: Tables) -> DataFrame:
     """node and set of the classes in ``wanted`` (doc, node, digest, check), from the text of the document named."""
     arrow = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int64()))])
 
@@ -144,7 +144,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 right = [k for k, (want, got) in enumerate(zip(told, zip(*_digests(sets), strict=True), strict=True)) if want == got]  # rows that repeat a doc_id may differ
                 yield T.batch_of(arrow, part.column("node").take(pa.array(right, pa.int64())), _lists([sets[k] for k in right]).cast(arrow.field(1).type))
 
-    likely = kept_by(bloom(wanted, "doc"))
+    likely = kept_by(bloom(wanted, "doc", tables))
     rows = _keyed(docs).mapInArrow(likely, "doc long, text string").join(wanted, "doc")
     return rows.select("node", "digest", "check", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
@@ -181,7 +181,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: int = THRESHOLD) -> Da
     pivots = pivots.filter("df > 1")
     families = tables.cut(spread_join(lists, pivots, ["value"], "df").select("pivot", "np", "node", "n").distinct())
     own.drop()
-    sets = tables.cut(_full_sets(docs, tables.cut(classes.join(families.select("node").distinct(), "node", "left_semi").select("doc", "node", "digest", "check"))))
+    sets = tables.cut(_full_sets(docs, tables.cut(classes.join(families.select("node").distinct(), "node", "left_semi").select("doc", "node", "digest", "check")), tables))
     pairs = families.filter((F.col("pivot") != F.col("node")) & _long_enough(F.col("np"), F.col("n"), threshold)).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     edges = tables.cut(verified(classes, sets, pairs, threshold))
     label = components(edges)

@@ -61,11 +61,11 @@ def _texts(docs: DataFrame, carried: list[str]) -> DataFrame:
     return docs.select(A.doc_key(F.col("doc_id"), text).alias("doc"), F.xxhash64(text).alias("print"), text.alias("text"), row.alias("row"))
 
 
-def occurrences(texts: DataFrame, often: DataFrame) -> DataFrame:
+def occurrences(texts: DataFrame, often: DataFrame, tables: Tables) -> DataFrame:
     """anchor, content, before, behind (the nodes at its ends), doc, print, start and windows of each run
     whose minimizer occurs often."""
     arrow = pa.schema([(c, pa.int64()) for c in ("anchor", "content", "before", "behind", "doc", "print", "start", "windows")])
-    likely = bloom(often, "anchor")
+    likely = bloom(often, "anchor", tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,7 @@ def spans(pieces: DataFrame, path: str) -> DataFrame:
     return held.select("doc", "print", "sdoc", "sprint", "shift", whole.alias("x")).select("doc", "print", (F.col("x.sstart") + F.col("shift")).alias("start"), "x.windows", "sdoc", "sprint", "x.sstart")
 
 
-def _edges(texts: DataFrame, open_: DataFrame) -> DataFrame:
+def _edges(texts: DataFrame, open_: DataFrame, tables: Tables) -> DataFrame:
     """e1, e2, doc, print and start of the edges of runs that differ under one minimizer."""
     arrow = pa.schema([(c, pa.int64()) for c in ("e1", "e2", "doc", "print", "start")])
 
@@ -145,7 +145,7 @@ def _edges(texts: DataFrame, open_: DataFrame) -> DataFrame:
                 e1, e2 = (T.signed(A.content_hash(h, start, size, seed)) for seed in (0, 1))
                 yield T.batch_of(arrow, e1, e2, part.column("doc").to_numpy()[row], part.column("print").to_numpy()[row], start - first[row])
 
-    likely = kept_by(bloom(open_, "doc"))
+    likely = kept_by(bloom(open_, "doc", tables))
     rows = texts.select("doc", "print", "text").mapInArrow(likely, "doc long, print long, text string").join(open_, "doc")
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in arrow.names))
 
@@ -154,13 +154,13 @@ def repeats(texts: DataFrame) -> DataFrame:
     """doc, print, start, windows and SOURCE of the spans that a document with a smaller key has."""
     tables = Tables()
     often = A.repeated_anchors(texts, read)
-    rows = tables.cut(occurrences(texts, often))
+    rows = tables.cut(occurrences(texts, often, tables))
     drop(often)
     run, edge = ["anchor", "content"], ["e1", "e2"]
     runs = tables.cut(_first(rows, run, ("before", "behind", "windows")))
     several = tables.cut(runs.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"))
     open_ = spread_join(runs.select(*run, "first"), several, ["anchor"], "k").groupBy(F.col("first").alias("doc")).agg(F.collect_list("content").alias("open"))
-    edges = tables.cut(_edges(texts, tables.cut(open_)))
+    edges = tables.cut(_edges(texts, tables.cut(open_), tables))
     shared = tables.cut(_first(edges, edge).filter(F.col("last") > F.col("first")).select(*edge, "first", "n"))
     later, sources = _sourced(edges, shared, edge, tables)
     single = spread_join(later, sources, edge, "n").select("doc", "print", "start", F.lit(1).cast("long").alias("windows"), F.lit(-1).cast("long").alias("head"), *SOURCE)
@@ -192,11 +192,12 @@ def _words(data: np.ndarray, offs: np.ndarray) -> Callable[[int], list[bytes]]:
 
 def digested(texts: DataFrame, found: DataFrame) -> DataFrame:
     """SOURCE, windows, digest and uses of the sources of spans, from their texts."""
-    wanted = A.cut(found.groupBy(*SOURCE, "windows").agg(F.count("*").alias("uses")))
-    each = A.cut(wanted.groupBy("sdoc", "sprint").agg(F.count("*").alias("k")))
+    tables = Tables()
+    wanted = tables.cut(found.groupBy(*SOURCE, "windows").agg(F.count("*").alias("uses")))
+    each = tables.cut(wanted.groupBy("sdoc", "sprint").agg(F.count("*").alias("k")))
     share = F.pmod(F.xxhash64("sstart", "windows"), F.ceil(F.col("k") / ASKED)).alias("share")
     shared = spread_join(wanted, each, ["sdoc", "sprint"], "k").select(F.col("sdoc").alias("doc"), F.col("sprint").alias("print"), share, F.struct("sstart", "windows", "uses").alias("a"))
-    asked = A.cut(shared.groupBy("doc", "print", "share").agg(F.collect_list("a").alias("asked")).drop("share"))
+    asked = tables.cut(shared.groupBy("doc", "print", "share").agg(F.collect_list("a").alias("asked")).drop("share"))
     arrow = pa.schema([*[(c, pa.int64()) for c in (*SOURCE, "windows")], ("digest", pa.binary()), ("uses", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +209,11 @@ def digested(texts: DataFrame, found: DataFrame) -> DataFrame:
                     rows += [(doc, print_, a["sstart"], a["windows"], _digest(words[a["sstart"] : a["sstart"] + a["windows"] + NODE]), a["uses"]) for a in asked_]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
 
-    rows = texts.select("doc", "print", "text").mapInArrow(kept_by(bloom(asked, "doc")), "doc long, print long, text string").join(asked, ["doc", "print"])
+    rows = texts.select("doc", "print", "text").mapInArrow(kept_by(bloom(asked, "doc", tables)), "doc long, print long, text string").join(asked, ["doc", "print"])
     schema = "sdoc long, sprint long, sstart long, windows long, digest binary, uses long"
     # Rows that repeat a document and its text give the same digests.
     out = A.cut(rows.mapInArrow(run, schema).dropDuplicates([*SOURCE, "windows"]))
-    for table in (wanted, each, asked):
-        drop(table)
+    tables.drop()
     return out
 
 
