@@ -23,6 +23,9 @@ A page is reduced to digests of its slots before anything is shuffled, and count
 so that a host with very many pages costs no more than others. First pages and wrappers of all hosts
 are broadcast only while they are below ``BROADCAST_BYTES``; beyond that they are joined by host,
 which Spark can split at skewed hosts. Reading takes time in proportion to the page and no recursion.
+Matching is the same whatever the sizes: it takes time with the product of the numbers of children that
+are matched, or with the larger number where they are much alike, and memory with that number times the
+square root of the other.
 
 Null html counts as empty, a null url as a host of its own. Repeated rows give repeated results.
 """
@@ -30,6 +33,7 @@ Null html counts as empty, a null url as a host of its own. Repeated rows give r
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
@@ -47,8 +51,11 @@ LEAST_MAIN_PAGES = 5
 CONSTANT = 0.9
 LINKED = 0.6
 REGION = 0.8
-#: Pairs of children above which they are aligned by label and rank instead of by matching.
-MATCHED = 1 << 26
+#: Sizes that decide on time and memory alone: bytes of gains held, rows held at once, and how much
+#: worse than the smaller side the matching of a first, narrow band may be.
+HELD = 64 << 20
+STEP = 64
+NARROW = 1024
 
 #: Fixed values of HTML: elements without content, with raw content, and that close an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -183,7 +190,7 @@ def _element(tag: str, raw: str) -> Node:
 class Slot:
     """A node of a shape: one label that stands for a run of siblings."""
 
-    __slots__ = ("children", "kind", "label", "linked", "nodes", "other", "text")
+    __slots__ = ("children", "kind", "label", "linked", "nodes", "other", "size", "text")
 
     def __init__(self, label: str, nodes: list[Node], linked: bool, other: bool):
         self.label, self.nodes = label, nodes
@@ -191,7 +198,7 @@ class Slot:
         self.text = _SPACE.sub(" ", html.unescape(" ".join([p for n in nodes for p in n.parts if isinstance(p, str)]))).strip()
         self.linked = len(self.text) if linked else 0
         self.other = other or all(n.other for n in nodes)
-        self.kind = 0
+        self.kind = self.size = 0
 
 
 def _label(node: Node) -> str:
@@ -231,93 +238,225 @@ def numbered(top: Slot) -> list[Slot]:
 
 
 def _kinds(slots: list[Slot], known: dict[tuple, int]) -> None:
-    """Numbers that slots with equal subtrees of labels share; slots in document order."""
+    """Sizes, and numbers that slots with equal subtrees of labels share; slots in document order."""
     for slot in reversed(slots):
-        slot.kind = known.setdefault((slot.label, *[c.kind for c in slot.children]), len(known))
-
+        key: list[str | int] = [slot.label]
+        slot.size = 1
+        for child in slot.children:
+            key.append(child.kind)
+            slot.size += child.size
+        slot.kind = known.setdefault(tuple(key), len(known))
+
+
+class Peers:
+    """Slots of one path of labels, one of each kind, whose children lie in one row of cells: before those
+    of a slot there is a cell without child. Cells of a slot start at ``starts``, and hold what was matched
+    below it more than ``base``, which keeps the cells of a slot above those before it."""
+
+    __slots__ = ("base", "cells", "ends", "inner", "of", "places", "slots", "starts")
+
+    def __init__(self, slots: list[Slot]):
+        self.slots = slots
+        self.places = {s.kind: k for k, s in enumerate(slots)}
+        base, starts, ends, at = [], [], [], 0
+        found: dict[str, tuple[dict[int, int], list[Slot], list[int], list[int]]] = {}
+        for slot in slots:
+            starts.append(len(base))
+            base.append(at)
+            for child in slot.children:
+                kinds, inner, cells, of = found.setdefault(child.label, ({}, [], [], []))
+                if child.kind not in kinds:
+                    kinds[child.kind] = len(inner)
+                    inner.append(child)
+                cells.append(len(base))
+                of.append(kinds[child.kind])
+                base.append(at)
+            ends.append(len(base) - 1)
+            at += slot.size
+        self.base, self.starts, self.ends = np.array(base, np.int32), np.array(starts), np.array(ends)
+        self.inner: dict[str, list[Slot] | Peers] = {label: f[1] for label, f in found.items()}
+        self.cells = {label: np.array(f[2]) for label, f in found.items()}
+        self.of = {label: np.array(f[3]) for label, f in found.items()}
+
+    def below(self, label: str) -> Peers | None:
+        """The children of a label, as peers."""
+        inner = self.inner.get(label)
+        if isinstance(inner, list):
+            inner = self.inner[label] = Peers(inner)
+        return inner
+
+    def add(self, row: np.ndarray, label: str, gains: np.ndarray) -> None:
+        """The row with one more child on the other side, of a label and with gains for the peers below."""
+        cells = self.cells[label]
+        row[cells] = np.maximum(row[cells], row[cells - 1] + gains[self.of[label]])
+        np.fmax.accumulate(row, out=row)
+
+
+class Gains:
+    """The most matched nodes of a slot with each of some peers. Those found are held up to ``HELD``
+    bytes; what was let go is found again."""
 
-def _table(x: Slot, y: Slot, memo: dict[tuple[int, int], int]) -> list[np.ndarray]:
-    """Row i, column j: the most matched nodes below the first i and j children."""
-    kinds, of = np.unique(np.array([q.kind for q in y.children], np.int64), return_inverse=True)
-    label = {q.kind: q.label for q in y.children}
-    gains: dict[int, np.ndarray] = {}
-    rows = [np.zeros(len(of) + 1, np.int32)]
-    for p in x.children:
-        if p.kind not in gains:
-            gains[p.kind] = np.array([memo[p.kind, k] if label[k] == p.label else 0 for k in kinds.tolist()], np.int32)
-        row = rows[-1].copy()
-        row[1:] = np.maximum(row[1:], rows[-1][:-1] + gains[p.kind][of])
-        rows.append(np.maximum.accumulate(row))
-    return rows
+    def __init__(self):
+        self.held: dict[tuple[int, Peers], np.ndarray] = {}
+        self.bytes = 0
+
+    def known(self, slot: Slot, peers: Peers) -> np.ndarray | None:
+        if not slot.children or not peers.inner:
+            return np.ones(len(peers.slots), np.int32)
+        if len(peers.slots) == 1 and peers.slots[0].kind == slot.kind:
+            return np.array([slot.size], np.int32)
+        return self.held.get((slot.kind, peers))
+
+    def of(self, slot: Slot, peers: Peers) -> np.ndarray:
+        gains = self.known(slot, peers)
+        if gains is not None:
+            return gains
+        todo = [(slot, peers, iter(slot.children), peers.base.copy())]
+        while True:
+            slot, peers, rest, row = todo[-1]
+            for child in rest:
+                below = peers.below(child.label)
+                if below is None:
+                    continue
+                gains = self.known(child, below)
+                if gains is None:
+                    todo.append((child, below, iter(child.children), below.base.copy()))
+                    break
+                peers.add(row, child.label, gains)
+            else:
+                gains = 1 + row[peers.ends] - row[peers.starts]
+                self._hold((slot.kind, peers), gains)
+                todo.pop()
+                if not todo:
+                    return gains
+                todo[-1][1].add(todo[-1][3], slot.label, gains)
+
+    def _hold(self, key: tuple[int, Peers], gains: np.ndarray) -> None:
+        self.held[key] = gains
+        self.bytes += gains.nbytes + 300
+        while self.bytes > HELD:
+            self.bytes -= self.held.pop(next(iter(self.held))).nbytes + 300
+
+
+class Table:
+    """Row i, cell j: the most matched nodes below the first i of some slots and the first j of others,
+    these being the last children of one of ``peers``. A row is kept of every ``step``, the others are
+    found again from there. Only cells are filled through which ``least`` matched nodes can be reached."""
+
+    def __init__(self, xs: list[Slot], ys: list[Slot], peers: Peers, k: int, gains: Gains):
+        self.xs, self.peers, self.gains = xs, peers, gains
+        end = int(peers.ends[k]) + 1
+        begin = end - len(ys)
+        self.cells: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for label in {q.label for q in ys}:
+            cells = peers.cells[label]
+            at = slice(*np.searchsorted(cells, (begin, end)))
+            self.cells[label] = cells[at] - (begin - 1), peers.of[label][at]
+        self.before = np.cumsum([0, *(p.size for p in xs)]), np.cumsum([0, *(q.size for q in ys)])
+        self.step = max(STEP, math.isqrt(len(xs)))
+        sizes = int(self.before[0][-1]), int(self.before[1][-1])
+        if len(xs) < self.step:
+            self._band(0)
+            self.kept = [np.zeros(len(ys) + 1, np.int32)]
+        else:
+            # What a narrow band reaches is reached; if it is less than what the band takes in, a band that does.
+            least = max(min(sizes) - NARROW, 0)
+            if (reached := self._fill(least)) < least:
+                self._fill(reached)
+
+    def _band(self, least: int) -> None:
+        x, y = self.before
+        self.low = np.searchsorted(y, x - (x[-1] - least)).tolist()
+        self.high = (np.searchsorted(y, x + (y[-1] - least), "right") - 1).tolist()
+
+    def _fill(self, least: int) -> int:
+        self._band(least)
+        row = np.zeros(len(self.before[1]), np.int32)
+        self.kept = [row.copy()]
+        for i in range(1, len(self.xs) + 1):
+            self._next(row, i)
+            if i % self.step == 0:
+                self.kept.append(row.copy())
+        return int(row[-1])
+
+    def _next(self, row: np.ndarray, i: int) -> None:
+        """Row i from the one before, in place."""
+        p, low, high = self.xs[i - 1], self.low[i], min(self.high[i], len(row) - 1)
+        if p.label in self.cells:
+            cells, of = self.cells[p.label]
+            if low > 1 or high < len(self.before[1]) - 1:
+                at = slice(*np.searchsorted(cells, (low, high + 1)))
+                cells, of = cells[at], of[at]
+            gains = self.gains.of(p, self.peers.below(p.label))
+            row[cells] = np.maximum(row[cells], row[cells - 1] + gains[of])
+        part = row[max(low - 1, 0) : high + 1]
+        np.fmax.accumulate(part, out=part)  # of integers the same as maximum, but faster
+
+    def _rows(self, first: int, width: int) -> list[tuple[int, np.ndarray]]:
+        """The filled cells of a kept row and of those up to the next, with the place of their first."""
+        row, rows = self.kept[first // self.step][:width].copy(), []
+        for i in range(first, min(first + self.step, len(self.xs) + 1)):
+            if i > first:
+                self._next(row, i)
+            rows.append((self.low[i], row[self.low[i] : self.high[i] + 1].copy()))
+        return rows
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """The places matched, from the last. Cells that aren't filled lie on no largest matching."""
+        out, i, j = [], len(self.xs), len(self.before[1]) - 1
+        first = i - i % self.step
+        rows = self._rows(first, j + 1)
+        low, here = rows.pop()
+        while i and j:
+            if not rows:
+                first -= self.step
+                rows = self._rows(first, j + 1)
+            start, above = rows[-1]
+            if start <= j < start + len(above) and here[j - low] == above[j - start]:
+                i -= 1
+                low, here = rows.pop()
+            elif j > low and here[j - low] == here[j - low - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                low, here = rows.pop()
+                out.append((i, j))
+        return out
 
 
 def match(a: list[Slot], b: list[Slot]) -> list[tuple[Slot, Slot]]:
-    """Simple tree matching of two shapes, given in document order with the top first: the matched pairs."""
+    """Simple tree matching of two shapes, given in document order with the top first: the matched pairs.
+    Of equally large matchings the one with the earliest slots, those of ``a`` first."""
     known: dict[tuple, int] = {}
     _kinds(a, known)
     _kinds(b, known)
     if a[0].label != b[0].label:
         return []
-    memo: dict[tuple[int, int], int] = {}
-    todo = [(a[0], b[0])]
-    while todo:
-        x, y = todo[-1]
-        if (x.kind, y.kind) in memo:
-            todo.pop()
-            continue
-        if x.kind == y.kind:
-            memo[x.kind, y.kind] = _weight(x)
-            todo.pop()
-            continue
-        if len(x.children) * len(y.children) > MATCHED:
-            pairs = _by_rank(x, y)
-        else:
-            labels: dict[str, dict[int, Slot]] = {}
-            for q in y.children:
-                labels.setdefault(q.label, {})[q.kind] = q
-            pairs = [(p, q) for p in {p.kind: p for p in x.children}.values() for q in labels.get(p.label, {}).values()]
-        new = {(p.kind, q.kind): (p, q) for p, q in pairs if (p.kind, q.kind) not in memo}
-        if new:
-            todo += new.values()
-            continue
-        if len(x.children) * len(y.children) > MATCHED:
-            memo[x.kind, y.kind] = 1 + sum(memo[p.kind, q.kind] for p, q in pairs)
-        else:
-            memo[x.kind, y.kind] = 1 + (int(_table(x, y, memo)[-1][-1]) if pairs else 0)
-        todo.pop()
-    found, todo = [], [(a[0], b[0])]
+    gains = Gains()
+    found: list[tuple[Slot, Slot]] = []
+    todo: list[tuple[Slot, Slot, Peers | None]] = [(a[0], b[0], None)]
     while todo:
-        x, y = todo.pop()
+        x, y, peers = todo.pop()
         found.append((x, y))
         if x.kind == y.kind:
-            todo += zip(x.children, y.children, strict=True)
-        elif len(x.children) * len(y.children) > MATCHED:
-            todo += _by_rank(x, y)
-        elif x.children and y.children:
-            best, i, j = _table(x, y, memo), len(x.children), len(y.children)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    todo.append((x.children[i], y.children[j]))
+            todo += zip(x.children, y.children, [None] * len(x.children), strict=True)
+            continue
+        same = 0  # equal first children are matched in every such matching
+        for p, q in zip(x.children, y.children, strict=False):
+            if p.kind != q.kind:
+                break
+            todo.append((p, q, None))
+            same += 1
+        xs, ys = x.children[same:], y.children[same:]
+        if len(xs) == len(ys) == 1:
+            if xs[0].label == ys[0].label:
+                todo.append((xs[0], ys[0], peers and peers.below(xs[0].label)))
+        elif xs and ys:
+            peers = peers or Peers([y])
+            todo += [(xs[i], ys[j], peers.below(xs[i].label)) for i, j in Table(xs, ys, peers, peers.places[y.kind], gains).pairs()]
     return found
 
 
-def _weight(slot: Slot) -> int:
-    return len(numbered(slot))
-
-
-def _by_rank(x: Slot, y: Slot) -> list[tuple[Slot, Slot]]:
-    """The n-th child of a label with the n-th of that label."""
-    left: dict[str, list[Slot]] = {}
-    for q in reversed(y.children):
-        left.setdefault(q.label, []).append(q)
-    return [(p, left[p.label].pop()) for p in x.children if left.get(p.label)]
-
-
 def _outermost(tops: list[Node], wanted: Callable[[Node], bool], entered: Callable[[Node], bool]) -> list[Node]:
     """The outermost nodes wanted, in order, of those reached through nodes that are entered."""
     out, todo = [], list(reversed(tops))

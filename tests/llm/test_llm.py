@@ -634,6 +634,39 @@ def test_matching_is_the_largest(a, b):
     assert all(p.label == q.label for p, q in pairs)
 
 
+def places(pairs, x, y):
+    of = {id(s): k for shape in (x, y) for k, s in enumerate(shape)}
+    return sorted((of[id(p)], of[id(q)]) for p, q in pairs)
+
+
+def test_matching_of_wide_shapes_keeps_order():
+    a, b = (f"<div>{t}</div>" for t in ("<b>t</b><i>u</i>" * 4200, "<i>u</i><b>t</b>" * 4200))
+    x, y = (html_pages.numbered(html_pages.shape(html_pages.parse(t))) for t in (a, b))
+    pairs = places(html_pages.match(x, y), x, y)
+    assert len(pairs) == len(x) - 1
+    assert [q for _, q in pairs] == sorted({q for _, q in pairs})
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TREES, min_size=1, max_size=30), st.lists(TREES, min_size=1, max_size=30), st.sampled_from([1, 3, 64]), st.sampled_from([0, 5, 1024]), st.sampled_from([0, 1000, 1 << 26]))
+def test_matching_is_the_same_by_parts(a, b, step, narrow, held):
+    x, y = (html_pages.numbered(html_pages.shape(html_pages.parse(f"<div>{''.join(t)}</div>"))) for t in (a, b))
+    want = places(html_pages.match(x, y), x, y)
+    assert len(want) == brute_match(x[0], y[0])
+    with pytest.MonkeyPatch.context() as m:
+        for name, size in (("STEP", step), ("NARROW", narrow), ("HELD", held)):
+            m.setattr(html_pages, name, size)
+        assert places(html_pages.match(x, y), x, y) == want
+
+
+def test_html_of_wide_pages(spark):
+    """A paragraph before all others moves none of thousands of slots."""
+    n = 4200
+    page = "<body><div>{0}" + "".join(f"<h2>{{1}} {k}</h2><p>Note {k}</p>" for k in range(n)) + "</div></body>"
+    got = html_texts(spark, [page.format("", f"Part {i}") for i in range(11)] + [page.format("<p>An extra word</p>", "Last")])
+    assert got == {i: " ".join(f"Part {i} {k}" for k in range(n)) for i in range(11)} | {11: " ".join(["An extra word", *(f"Last {k}" for k in range(n))])}
+
+
 def test_html_deep_and_broken_pages(spark):
     deep, broken = "<div>" * 100_000 + "x", "<p>text</p>" + '<a "' * 50_000
     unclosed = "<b>" * 20_000 + "<hr>" * 20_000 + "</x>" * 20_000 + "<ul>" + "<b>" * 20_000 + "<li></li>" * 20_000
