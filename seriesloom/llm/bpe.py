@@ -176,6 +176,7 @@ class PrefixEncoder:
                     self.spines[side][i] = self._spine(i, parts, side)
         self.automaton = SuffixAutomaton(tokens)
         self.pairs = HashMap(1 << 16)
+        self.path, self.rules = path, None
         self.words: dict[str, tuple[int, str, str]] = {}
         self.pieces: dict[str, tuple[int, str, str]] = {}
 
@@ -275,11 +276,23 @@ class PrefixEncoder:
         for k, part in enumerate(self.special.split(word) if "<" in word else [word]):
             if k % 2:
                 out.append(self.added[part])
+            elif not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+                out += self._library_cut(part)
             else:
                 part = unicodedata.normalize("NFC", part)
                 out += self.pattern.findall(part.lower() if "Σ" not in part else "".join(c.lower() for c in part))
         return out
 
+    def _library_cut(self, part: str) -> list[str]:
+        """The pre-tokens as the library's rules cut them: it, Python and ``regex`` know different versions
+        of Unicode, and take what is unassigned in one for letters in another."""
+        if self.rules is None:
+            from tokenizers import Tokenizer
+
+            self.rules = Tokenizer.from_file(self.path)
+        text = self.rules.normalizer.normalize_str(part)
+        return [text[a:b] for _, (a, b) in self.rules.pre_tokenizer.pre_tokenize_str(text)]
+
     def learn(self, words: set[str], keep: dict[str, tuple[int, str, str]]) -> None:
         """Encodes words into ``keep``: the number of ids, ids as text, tokens joined by spaces."""
         cut = {w: self.pieces_of(w) for w in words}

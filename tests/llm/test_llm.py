@@ -149,6 +149,16 @@ def test_bpe_any_text(text):
         assert array("I", ids).tolist() == want
 
 
+def test_bpe_of_code_points_younger_than_python():
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    odd = [chr(c) for c in (0x558, 0x58B, 0x88F, 0x1C89, 0x209D, 0xA7CB, 0xA7DA, 0x10D50, 0x11DE0, 0x16EA0, 0x18E00, 0x323B0, 0x3D000, 0x3FC3F, 0xE0080)]
+    texts = pa.array([f.format(c) for c in odd for f in ("{0}", "{0}. a{0}1{0},", "A{0}<|endoftext|>{0}É.", "e\u0301{0}Σ ΑΣ")])
+    for t, (known, code) in zip(texts.to_pylist(), bpe.encoder(P.path("word_bpe_49k.json")).texts(texts), strict=True):
+        assert [int(x) for c in code.tolist() for x in known[c][1].split()] == tk.encode(t, add_special_tokens=False).ids
+
+
 def test_quality(docs):
     got = by_id(quality.quality(docs.select("doc_id", "text")))
     for i, t in odd_texts():
