@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: quality rules, near-dedup, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns the
-columns of ``docs``; the last returns the packed pieces. ``run`` writes each stage's rows as Parquet
+columns of ``docs``, in few partitions; the last returns the packed pieces. ``run`` writes each stage's rows as Parquet
 and reads them again for the next.
 """
 
@@ -13,28 +13,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seriesloom.llm import near, packing, quality, substrings
-from seriesloom.llm.graph import shared_folder, tidy
+from seriesloom.llm.graph import compact, shared_folder, tidy
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.kept_documents(docs)
+    return compact(quality.kept_documents(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates (five words, similarity of 0.8 or more),
     that with the smallest doc_id."""
-    return near.kept_documents(docs, near.PIPELINE_THRESHOLD)
+    return compact(near.kept_documents(docs, near.PIPELINE_THRESHOLD))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the word spans that an earlier one has."""
-    return substrings.deduplicated(docs)
+    return compact(substrings.deduplicated(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 2048 tokens."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return compact(packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [("quality_rules", quality_stage), ("near_dedup", near_stage), ("substring_dedup", substring_stage), ("packing", packing_stage)]

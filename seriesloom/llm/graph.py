@@ -36,16 +36,33 @@ def _own_folder() -> str:
     return folder
 
 
+#: What holds for the actions in ``tidy``: shuffle files go when an action ends, and small partitions
+#: of a shuffle are read together up to Spark's advisory size, also where that leaves cores idle.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Actions within delete their shuffle files when they end."""
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
+    """Actions within delete their shuffle files when they end, and don't write a small table in many files."""
+    was = {setting: spark.conf.get(setting) for setting in TIDY}
+    for setting, value in TIDY.items():
+        spark.conf.set(setting, value)
     try:
         yield
     finally:
-        spark.conf.set(setting, was)
+        for setting, value in was.items():
+            spark.conf.set(setting, value)
+
+
+#: Files of a table for each core, at most.
+FILES = 2
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """The rows in ``FILES`` partitions a core at most, each of which takes whole ones of ``df``, one
+    after the other, without a shuffle. Hadoop's local file system starts three processes for each
+    file that it writes, and each of them is for a moment a second process of the executor's size."""
+    return df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)
 
 
 class Tables:
@@ -74,7 +91,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     with tidy(spark):
-        df.write.parquet(path)
+        compact(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seriesloom.llm import bpe, graph, html_pages, lm, media, near, packing, quality, substrings, suffixes, token_counts
@@ -304,6 +305,29 @@ def test_hot_keys_join_as_others(spark):
             graph.HOT = was
 
 
+def test_tables_are_few_files(spark, tmp_path, monkeypatch):
+    """However many partitions there are: each file costs the executor three processes of its size."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in (*conf, *graph.TIDY)}
+    most = graph.FILES * spark.sparkContext.defaultParallelism
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        table = graph.cut(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n")))
+        assert len(table.inputFiles()) <= most
+        assert sorted((r.k, r.n) for r in table.collect()) == [(k, 5) for k in range(1000)]
+    finally:
+        for k in conf:
+            spark.conf.set(k, was[k])
+    assert all(spark.conf.get(k) == v for k, v in was.items())
+    docs = spark.createDataFrame([(i, words(i, 60)) for i in range(40)], "doc_id long, text string").repartition(40)
+    for module, name in ((quality, "kept_documents"), (near, "kept_documents"), (substrings, "deduplicated"), (packing, "packed")):
+        monkeypatch.setattr(module, name, lambda docs, *_: docs)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").rdd.getNumPartitions() <= most
+        assert stage(spark, docs, "").count() == 40
+
+
 def test_linked_pairs_are_exact():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, 38)) for _ in range(60)]
